@@ -39,22 +39,22 @@ _DECISION = ("action", "reviewer", "reason", "notes", "reviewed_at", "corrected_
 
 
 def _apply(queue: DataFrame, chosen: DataFrame, guard: Column) -> DataFrame:
-    joined = queue.join(chosen, "extraction_id", "left")
-    acts = guard & F.col("action").isNotNull()
+    joined = queue.join(chosen, "extraction_id", "left").withColumn("_acts", guard & F.col("action").isNotNull())
+    acts = F.col("_acts")
     note = F.when(F.col("action") == "rejected", rejection_note(F.col("reason"), F.col("notes"))).otherwise(F.col("notes"))
-    result = (
-        joined.withColumn("status", F.when(acts, F.col("action")).otherwise(F.col("status")))
-        .withColumn("reviewer_id", F.when(acts, F.col("reviewer")))
-        .withColumn("review_notes", F.when(acts, note))
-    )
+    changed = {
+        "status": F.when(acts, F.col("action")).otherwise(F.col("status")),
+        "reviewer_id": F.when(acts, F.col("reviewer")),
+        "review_notes": F.when(acts, note),
+        "reviewed_at": F.when(acts, F.col("reviewed_at")),
+    }
     for items, fix in (("extracted_entities", "corrected_entity"), ("extracted_relations", "corrected_relation")):
         if items in queue.columns and fix in joined.columns:
             corrected = acts & (F.col("action") == "approved") & F.col(fix).isNotNull()
             one = F.concat(F.lit("["), F.col(fix), F.lit("]"))
-            result = result.withColumn(items, F.when(corrected, one).otherwise(F.col(items)))
-    return result.withColumn("reviewed_at", F.when(acts, F.col("reviewed_at"))).drop(
-        "action", "reviewer", "reason", "notes", "corrected_entity", "corrected_relation"
-    )
+            changed[items] = F.when(corrected, one).otherwise(F.col(items))
+    kept = [c for c in queue.columns if c not in changed]
+    return joined.select(*kept, *[column.alias(name) for name, column in changed.items()])
 
 
 def _choose(decisions: DataFrame, pick) -> DataFrame:
