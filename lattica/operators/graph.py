@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lattica.functions.text import keywords, stable_id
 from lattica.operators.scoring import MAX_REQUESTS, containment_kernel, top_matches
 from lattica.operators.topk import first_per_group, top_k_per_group
-from lattica.session import cut_lineage
+from lattica.session import cut_lineage, plain_unions
 
 # Keys of a node's properties that are never shown.
 HIDDEN_PROPERTIES = ("text", "start", "end")
@@ -80,6 +80,7 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     before are removed by an anti-join, and from the third level on the level
     is checkpointed so that the plan does not repeat all earlier ones.
     """
+    plain_unions(edges.sparkSession)
     steps = both_directions(edges)
     frontier = seeds.select(F.col("node_id").alias("seed"), "node_id").distinct()
     visited = frontier.withColumn("hops", F.lit(0).cast("bigint"))
@@ -94,7 +95,10 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
             .join(visited.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
         )
         frontier = new
+        # The explicit shuffle is the one the next anti-join needs.
         visited = visited.unionByName(new.withColumn("hops", F.lit(hop).cast("bigint")))
+        if hop < depth:
+            visited = visited.repartition("seed", "node_id")
     return visited
 
 
@@ -171,6 +175,7 @@ def search(
     score) lists seeds, then reached nodes by distance, then relations, at most
     `limit` rows per question.
     """
+    plain_unions(nodes.sparkSession)
     terms = questions.select("request_id", F.array_distinct(keywords(F.col("question"))).alias("payload"))
     matched = top_matches(
         nodes.select(F.col("node_id").alias("item_id"), F.col("text").alias("payload")),
@@ -180,24 +185,34 @@ def search(
         max_requests=max_requests,
     ).select("request_id", F.col("item_id").alias("node_id"), F.col("rank").cast("bigint").alias("seed_rank"))
 
+    # A handful of rows per question from here on, used several times below:
+    # written once instead of planned again in every branch.
+    matched = cut_lineage(matched)
     steps = both_directions(edges)
     found = matched.withColumn("hops", F.lit(0).cast("bigint"))
     frontier = matched.select("request_id", "node_id")
     for hop in range(1, depth + 1):
+        # At most limit * hop nodes are known already, so the first
+        # limit * (hop + 1) neighbours of a node hold every one that can be
+        # listed, and a hub hands on no more than these.
+        nearby = top_k_per_group(
+            steps.join(frontier.select("node_id").distinct(), "node_id", "left_semi").distinct(),
+            ["node_id"], [F.col("neighbor")], limit * (hop + 1), rank="_n",
+        )
         reached = (
-            frontier.join(steps, "node_id")
+            frontier.join(nearby, "node_id")
             .select("request_id", F.col("neighbor").alias("node_id"))
             .distinct()
             .join(found.select("request_id", "node_id"), ["request_id", "node_id"], "left_anti")
         )
-        # Rows are listed by distance and cut at the limit, so a level never
-        # contributes more than `limit` nodes to the answer.
+        # Nodes are listed by distance, so a level never contributes more than `limit`.
         reached = top_k_per_group(reached, ["request_id"], [F.col("node_id")], limit, rank="seed_rank").withColumn(
             "seed_rank", F.col("seed_rank").cast("bigint")
         )
         frontier = reached.select("request_id", "node_id")
         found = found.unionByName(reached.withColumn("hops", F.lit(hop).cast("bigint")))
 
+    found = cut_lineage(found)
     described = found.join(nodes, "node_id").select(
         "request_id",
         F.lit("node").alias("kind"),
@@ -207,11 +222,17 @@ def search(
         "hops",
         "seed_rank",
     )
-    inside = found.select("request_id", "node_id", "hops", "seed_rank")
-    by_src = inside.join(edges, inside["node_id"] == edges["src"]).select("request_id", *edges.columns)
-    by_dst = inside.join(edges, inside["node_id"] == edges["dst"]).select("request_id", *edges.columns)
+    # Relations are listed after nodes: only requests with room left need any,
+    # and the first `limit` relations of each of their nodes suffice.
+    room = found.groupBy("request_id").agg(F.count("*").alias("_nodes")).filter(F.col("_nodes") < limit)
+    inside = found.select("request_id", "node_id").join(room.select("request_id"), "request_id", "left_semi")
+    order = [F.col("src"), F.col("predicate"), F.col("dst")]
+    ends = edges.withColumn("node_id", F.explode(F.array_distinct(F.array("src", "dst"))))
+    per_node = top_k_per_group(
+        ends.join(inside.select("node_id").distinct(), "node_id", "left_semi"), ["node_id"], order, limit, rank="_e"
+    )
     touching = top_k_per_group(
-        by_src.unionByName(by_dst).distinct(), ["request_id"], [F.col("src"), F.col("predicate"), F.col("dst")], limit, rank="_n"
+        inside.join(per_node, "node_id").select("request_id", *edges.columns).distinct(), ["request_id"], order, limit, rank="_n"
     )
     relations = edge_texts(touching, nodes).select(
         "request_id",

@@ -3,36 +3,36 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.session import spread
 
-# Pattern rules (pattern, entity type, confidence).
+# Pattern rules (pattern, entity type, confidence, text every match contains).
 PATTERN_RULES = (
-    (r"\d+일", "Days", 0.9),
-    (r"\d+개월", "Duration", 0.9),
-    (r"\d+년", "Duration", 0.9),
-    (r"\d+주", "Duration", 0.9),
-    (r"\d+\s*days?", "Days", 0.9),
-    (r"\d+\s*months?", "Duration", 0.9),
-    (r"\d+\s*years?", "Duration", 0.9),
-    (r"\d+\s*weeks?", "Duration", 0.9),
-    (r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", "Date", 0.95),
-    (r"\d{1,2}[-/]\d{1,2}[-/]\d{4}", "Date", 0.95),
-    (r"\d{1,3}(,\d{3})*원", "Amount", 0.9),
-    (r"\d+만원", "Amount", 0.9),
-    (r"제\d+조", "Regulation", 0.85),
-    (r"제\d+항", "Regulation", 0.85),
-    (r"\S+신청서", "Form", 0.8),
-    (r"\S+양식", "Form", 0.8),
-    (r"[1-9]급", "Grade", 0.85),
-    (r"(사원|대리|과장|차장|부장|이사|상무|전무|부사장|사장)", "Position", 0.9),
+    (r"\d+일", "Days", 0.9, "일"),
+    (r"\d+개월", "Duration", 0.9, "개월"),
+    (r"\d+년", "Duration", 0.9, "년"),
+    (r"\d+주", "Duration", 0.9, "주"),
+    (r"\d+\s*days?", "Days", 0.9, "day"),
+    (r"\d+\s*months?", "Duration", 0.9, "month"),
+    (r"\d+\s*years?", "Duration", 0.9, "year"),
+    (r"\d+\s*weeks?", "Duration", 0.9, "week"),
+    (r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", "Date", 0.95, ""),
+    (r"\d{1,2}[-/]\d{1,2}[-/]\d{4}", "Date", 0.95, ""),
+    (r"\d{1,3}(,\d{3})*원", "Amount", 0.9, "원"),
+    (r"\d+만원", "Amount", 0.9, "만원"),
+    (r"제\d+조", "Regulation", 0.85, "제"),
+    (r"제\d+항", "Regulation", 0.85, "제"),
+    (r"\S+신청서", "Form", 0.8, "신청서"),
+    (r"\S+양식", "Form", 0.8, "양식"),
+    (r"[1-9]급", "Grade", 0.85, "급"),
+    (r"(사원|대리|과장|차장|부장|이사|상무|전무|부사장|사장)", "Position", 0.9, ""),
 )
 
 # Dictionary (term, entity type, aliases).
@@ -78,67 +78,127 @@ MENTION = T.StructType(
         T.StructField("text", T.StringType()),
         T.StructField("entity_type", T.StringType()),
         T.StructField("confidence", T.DoubleType()),
-        T.StructField("after", T.StringType()),
     ]
 )
+# Text that follows a mention; relations look for their keywords in it.
+CONTEXT = T.StructField("after", T.StringType())
 
 
 @dataclass(frozen=True)
 class RuleSet:
     """Extraction rules; small and fixed per job, so they travel inside the task."""
 
-    patterns: tuple[tuple[str, str, float], ...] = PATTERN_RULES
+    patterns: tuple[tuple[str, str, float, str], ...] = PATTERN_RULES
     dictionary: tuple[tuple[str, str, tuple[str, ...]], ...] = DICTIONARY
-    # Bytes of text after a mention that are kept for finding relations.
-    context_bytes: int = 150
 
-    def with_pattern(self, pattern: str, entity_type: str, confidence: float) -> RuleSet:
-        return RuleSet((*self.patterns, (pattern, entity_type, confidence)), self.dictionary, self.context_bytes)
+    def with_pattern(self, pattern: str, entity_type: str, confidence: float, contains: str = "") -> RuleSet:
+        return RuleSet((*self.patterns, (pattern, entity_type, confidence, contains)), self.dictionary)
 
     def with_term(self, term: str, entity_type: str, aliases: tuple[str, ...] = ()) -> RuleSet:
-        return RuleSet(self.patterns, (*self.dictionary, (term, entity_type, aliases)), self.context_bytes)
+        return RuleSet(self.patterns, (*self.dictionary, (term, entity_type, aliases)))
 
-    def compiled(self) -> list[tuple[re.Pattern, str, float]]:
-        rules = [(re.compile(p), kind, conf) for p, kind, conf in self.patterns]
+    def terms(self) -> list[tuple[str, str, float]]:
+        """Terms and aliases with their types and confidences."""
+        listed = []
         for term, kind, aliases in self.dictionary:
-            rules.append((re.compile(re.escape(term), re.IGNORECASE), kind, TERM_CONFIDENCE))
-            rules += [(re.compile(re.escape(a), re.IGNORECASE), kind, ALIAS_CONFIDENCE) for a in aliases]
-        return rules
+            listed.append((term, kind, TERM_CONFIDENCE))
+            listed += [(alias, kind, ALIAS_CONFIDENCE) for alias in aliases]
+        return listed
+
+
+def _finder(rules: RuleSet) -> Callable[[str], list[tuple[int, int, str, float]]]:
+    """Function giving all (start, end, type, confidence) of a text in characters, by start."""
+    patterns = [(re.compile(p), kind, conf, needed) for p, kind, conf, needed in rules.patterns]
+    terms = [(t.lower(), re.compile(re.escape(t), re.IGNORECASE), kind, conf) for t, kind, conf in rules.terms()]
+
+    def find(text: str) -> list[tuple[int, int, str, float]]:
+        found = []
+        for rule, kind, conf, needed in patterns:
+            if needed in text:
+                found += [(*m.span(), kind, conf) for m in rule.finditer(text)]
+        lowered = text.lower()
+        aligned = len(lowered) == len(text)
+        for term, rule, kind, conf in terms:
+            if aligned:
+                at, size = lowered.find(term), len(term)
+                while at >= 0:
+                    found.append((at, at + size, kind, conf))
+                    at = lowered.find(term, at + size)
+            else:
+                found += [(*m.span(), kind, conf) for m in rule.finditer(text)]
+        found.sort()
+        return found
+
+    return find
+
+
+def _non_overlapping(found: list[tuple[int, int, str, float]], text: str) -> list[tuple[int, int, str, float]]:
+    """Greedy choice by start, then higher confidence, longer span, type and text."""
+    kept, last = [], -1
+    for m in sorted(found, key=lambda m: (m[0], -m[3], m[0] - m[1], m[2], text[m[0] : m[1]])):
+        if m[0] >= last:
+            kept.append(m)
+            last = m[1]
+    return kept
 
 
-def _find(text: str, rules: list, context_bytes: int) -> list[tuple]:
-    """All matches of all rules with byte offsets."""
-    found = sorted((m.start(), m.end(), kind, conf) for rule, kind, conf in rules for m in rule.finditer(text))
-    mentions, at, offset = [], 0, 0
-    for start, end, kind, conf in found:
-        offset += len(text[at:start].encode())
-        at = start
-        size = len(text[start:end].encode())
-        after = text[end : end + context_bytes].encode()[:context_bytes].decode(errors="ignore")
-        mentions.append((offset, offset + size, text[start:end], kind, conf, after))
-    return mentions
-
-
-def find_mentions(text: Column, rules: RuleSet = RuleSet()) -> Column:
-    """Array of all rule matches in a text: byte span, text, type, confidence.
+def extract(
+    documents: DataFrame,
+    rules: RuleSet = RuleSet(),
+    document_id: str = "document_id",
+    text: str = "text",
+    selected: bool = True,
+    context_bytes: int = 0,
+) -> DataFrame:
+    """One row per mention: byte span, text, type, confidence.
 
     Spark's regular expressions return matches without offsets and know \\d and
-    \\s as ASCII only, so the rules run over Arrow batches.  A projection: no
-    shuffle, and the rules never meet the data in a join.
+    \\s as ASCII only, so the rules run over Arrow batches: one pass over each
+    text where it lies, no shuffle.  `selected` keeps only the non-overlapping
+    choice.  With `context_bytes` the column after holds that many bytes of
+    the text behind the mention.
     """
-
-    @F.pandas_udf(T.ArrayType(MENTION))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = rules.compiled()
-        for texts in batches:
-            yield pd.Series([_find(t or "", compiled, rules.context_bytes) for t in texts], dtype=object)
-
-    return run(text)
+    id_field = documents.schema[document_id]
+    fields = [id_field, *MENTION.fields, *([CONTEXT] if context_bytes else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(rules)
+        for batch in batches:
+            ids = batch.column(0)
+            rows, starts, ends, texts, kinds, confidences, afters = [], [], [], [], [], [], []
+            for row, value in enumerate(batch.column(1).to_pylist()):
+                if not value:
+                    continue
+                found = find(value)
+                if selected:
+                    found = _non_overlapping(found, value)
+                at, offset = 0, 0
+                for start, end, kind, conf in found:
+                    offset += len(value[at:start].encode())
+                    at = start
+                    piece = value[start:end]
+                    rows.append(row)
+                    starts.append(offset)
+                    ends.append(offset + len(piece.encode()))
+                    texts.append(piece)
+                    kinds.append(kind)
+                    confidences.append(conf)
+                    if context_bytes:
+                        following = value[end : end + context_bytes].encode()[:context_bytes]
+                        afters.append(following.decode(errors="ignore"))
+            columns = [ids.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()),
+                       pa.array(texts, pa.string()), pa.array(kinds, pa.string()), pa.array(confidences, pa.float64())]
+            if context_bytes:
+                columns.append(pa.array(afters, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return spread(documents.select(document_id, text)).mapInArrow(run, T.StructType(fields))
 
 
 def select_spans(mentions: Column) -> Column:
-    """Greedy selection of non-overlapping mentions.
+    """Greedy selection of non-overlapping mentions in an array column.
 
+    For mentions that come from elsewhere; `extract` selects while it scans.
     Ordered by start, then higher confidence, longer span, type and text; a
     mention is kept when it begins at or after the end of the last kept one.
     """
@@ -153,14 +213,13 @@ def select_spans(mentions: Column) -> Column:
                 m["text"].alias("text"),
                 m["end"].alias("end"),
                 m["confidence"].alias("confidence"),
-                m["after"].alias("after"),
             ),
         )
     )
     # Spans are visited by start, so the last kept end is also the largest one.
     empty = F.array().cast(
         "array<struct<start:bigint,order_confidence:double,order_length:bigint,entity_type:string,"
-        "text:string,end:bigint,confidence:double,after:string>>"
+        "text:string,end:bigint,confidence:double>>"
     )
     kept = F.aggregate(
         ordered,
@@ -174,20 +233,6 @@ def select_spans(mentions: Column) -> Column:
     return F.transform(kept, lambda m: F.struct(*[m[c].alias(c) for c in MENTION.fieldNames()]))
 
 
-def extract(
-    documents: DataFrame,
-    rules: RuleSet = RuleSet(),
-    document_id: str = "document_id",
-    text: str = "text",
-    selected: bool = True,
-) -> DataFrame:
-    """One row per mention; `selected` keeps only the non-overlapping choice."""
-    arrays = spread(documents.select(document_id, text)).select(document_id, find_mentions(F.col(text), rules).alias("_m"))
-    if selected:
-        arrays = arrays.select(document_id, select_spans(F.col("_m")).alias("_m"))
-    return arrays.select(document_id, F.inline("_m"))
-
-
 # --- language-model extraction -------------------------------------------------
 
 

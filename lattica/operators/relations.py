@@ -76,6 +76,11 @@ def _slice(data: Column, start: Column, length: Column) -> Column:
     return F.when(length > 0, F.substring(data, start, length)).otherwise(F.lit(b""))
 
 
+def context_bytes(rules: tuple[RelationRule, ...] = RELATION_RULES) -> int:
+    """Bytes behind a mention the rules may look at."""
+    return max(r.max_distance for r in rules)
+
+
 def find_relations(
     mentions: DataFrame, rules: tuple[RelationRule, ...] = RELATION_RULES, document_id: str = "document_id"
 ) -> DataFrame:
@@ -85,17 +90,20 @@ def find_relations(
     partner may start in, the later one in the stretch it starts in, and the
     two meet on (document, rule, stretch).  Work grows with the mentions near
     each other, never with all pairs of a document, and one huge document
-    spreads over its stretches.  Mentions carry the bytes that follow them, so
-    the texts are not joined back.
+    spreads over its stretches.  Mentions carry the bytes that follow them
+    (column after, at least `context_bytes(rules)` of them), so the texts are
+    not joined back.
     """
     spark = mentions.sparkSession
-    reach = max(r.max_distance for r in rules)
+    reach = context_bytes(rules)
     table = F.broadcast(_rule_table(spark, rules))  # a handful of rows fixed in this module or by the caller
 
-    base = mentions.select(
+    types = sorted({t for r in rules for t in (r.subject_type, r.object_type)})
+    base = mentions.filter(F.col("entity_type").isin(types)).select(
         F.col(document_id).alias("_doc"), "start", "end", "text", "entity_type", "after"
     )
-    roles = base.join(
+    # Both sides of the join read the mentions from this one shuffle.
+    roles = base.repartition("_doc", "start").join(
         table.select("rule_id", F.col("subject_type").alias("entity_type"), F.lit("subject").alias("role")).unionAll(
             table.select("rule_id", F.col("object_type").alias("entity_type"), F.lit("object").alias("role"))
         ),

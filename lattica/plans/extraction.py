@@ -15,20 +15,20 @@ from lattica.plans.registry import query
 # Rules that find something in the given texts, beside the default ones.
 TEXT_RULES = RuleSet(
     patterns=(
-        (r"[0-9]{4,}", "Number", 0.85),
-        (r"[A-Za-z0-9.]+@[a-z0-9.]+", "Email", 0.95),
-        (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "Address", 0.9),
-        (r"[A-Z][a-z]+\.", "Closing", 0.8),
+        (r"[0-9]{4,}", "Number", 0.85, ""),
+        (r"[A-Za-z0-9.]+@[a-z0-9.]+", "Email", 0.95, "@"),
+        (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "Address", 0.9, "."),
+        (r"[A-Z][a-z]+\.", "Closing", 0.8, "."),
     ),
     dictionary=(("with", "Preposition", ("para", "von", "pour")), ("that", "Pronoun", ("nicht", "que", "le")), ("TL", "Manager", ())),
 )
 STRICT_RULES = RuleSet(
     patterns=(
-        (r"[0-9]{5,}", "Number", 0.85),
-        (r"[A-Za-z0-9.]+@[a-z0-9.]+", "Email", 0.95),
-        (r"[A-Z][a-z]+\.", "Closing", 0.8),
-        (r"(with|para|von|pour)", "Preposition", 0.9),
-        (r"(that|nicht|que)", "Pronoun", 0.9),
+        (r"[0-9]{5,}", "Number", 0.85, ""),
+        (r"[A-Za-z0-9.]+@[a-z0-9.]+", "Email", 0.95, "@"),
+        (r"[A-Z][a-z]+\.", "Closing", 0.8, "."),
+        (r"(with|para|von|pour)", "Preposition", 0.9, ""),
+        (r"(that|nicht|que)", "Pronoun", 0.9, ""),
     ),
     dictionary=(),
 )
@@ -43,6 +43,9 @@ CLOSE_RELATIONS = (
 )
 
 
+CONTEXT = relations.context_bytes(TEXT_RELATIONS)
+
+
 # --- chunks ---------------------------------------------------------------------
 
 _HEX = "IN ('8', '9', 'A', 'B')"
@@ -56,29 +59,28 @@ def _boundary(p: str) -> str:
     )
 
 
-def _chunk_end(start: str) -> str:
-    """Columns t, lo, hi, win, e computed from a start column."""
-    marks = ["\n\n", *chunking.SENTENCE_BREAKS, "\n"]
+def _break_end() -> str:
+    """End of a chunk inside the window win, which begins at byte lo."""
     tries = []
-    for mark in marks:
+    for mark in ("\n\n", *chunking.SENTENCE_BREAKS, "\n"):
         code = mark.encode().hex().upper()
-        size = len(mark.encode())
-        tries.append(f"CASE WHEN regexp_matches(win, '^(?:..)*{code}') THEN lo + strlen(regexp_extract(win, '^((?:..)*){code}', 1)) // 2 + {size} END")
-    return (
-        f"least({start} + 1000, n) AS t0, {_boundary('t0')} AS t, greatest(t - 100, 0) AS l0, {_boundary('l0')} AS lo, "
-        f"least(t + 100, n) AS h0, {_boundary('h0')} AS hi, substr(h, 2*lo+1, 2*(hi-lo)) AS win, "
-        f"CASE WHEN t >= n THEN n ELSE coalesce({', '.join(tries)}, t) END AS e"
-    )
+        tries.append(f"nullif(strlen(regexp_extract(win, '^(?:..)*{code}')), 0)")
+    return f"CASE WHEN t >= n THEN n ELSE coalesce(lo + coalesce({', '.join(tries)}) // 2, t) END"
+
+
+def _chunk_step(source: str) -> str:
+    """(doc_id, step, s, e, n) from (doc_id, step, s, h, n), one computed column per level."""
+    return f"""(SELECT doc_id, step, s, n, {_break_end()} AS e FROM (SELECT *, substr(h, 2*lo+1, 2*(hi-lo)) AS win FROM (
+  SELECT *, {_boundary('l0')} AS lo, {_boundary('h0')} AS hi FROM (SELECT *, greatest(t - 100, 0) AS l0, least(t + 100, n) AS h0 FROM (
+    SELECT *, {_boundary('t0')} AS t FROM (SELECT *, least(s + 1000, n) AS t0 FROM {source})))))) """
 
 
 _EXACT_CHUNKS_SQL = f"""
 raw AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents),
 walk AS (
-  SELECT doc_id, 0 AS step, s, CASE WHEN n <= 1000 THEN n ELSE e END AS e FROM (SELECT doc_id, n, 0::BIGINT AS s, {_chunk_end('s')} FROM raw)
+  SELECT doc_id, step, s, CASE WHEN n <= 1000 THEN n ELSE e END AS e FROM {_chunk_step("(SELECT doc_id, 0 AS step, 0::BIGINT AS s, h, n FROM raw)")}
   UNION ALL
-  SELECT doc_id, step + 1, s, e FROM (
-    SELECT w.doc_id, w.step, r.h, r.n, CASE WHEN w.e > 200 THEN w.e - 200 ELSE w.e END AS o, {_boundary('o')} AS s, {_chunk_end('s')}
-    FROM (SELECT doc_id, step, e FROM walk) w JOIN raw r ON r.doc_id = w.doc_id AND w.e < r.n)),
+  SELECT doc_id, step, s, e FROM {_chunk_step(f"(SELECT doc_id, step, {_boundary('o')} AS s, h, n FROM (SELECT w.doc_id, w.step + 1 AS step, r.h, r.n, CASE WHEN w.e > 200 THEN w.e - 200 ELSE w.e END AS o FROM walk w JOIN raw r ON r.doc_id = w.doc_id AND w.e < r.n))")}),
 exact_chunks AS (
   SELECT w.doc_id AS document_id, CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY step) - 1 AS BIGINT) AS chunk_index,
     w.s AS start_offset, CAST(w.e AS BIGINT) AS end_offset, decode(unhex(substr(h, 2*w.s+1, 2*(w.e-w.s)))) AS content
@@ -180,10 +182,7 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rules_sql(rules: RuleSet) -> str:
-    rows = [(p, kind, conf) for p, kind, conf in rules.patterns]
-    for term, kind, aliases in rules.dictionary:
-        rows.append((f"(?i){term}", kind, mentions.TERM_CONFIDENCE))
-        rows += [(f"(?i){a}", kind, mentions.ALIAS_CONFIDENCE) for a in aliases]
+    rows = [(p, kind, conf) for p, kind, conf, _ in rules.patterns] + [(f"(?i){t}", kind, conf) for t, kind, conf in rules.terms()]
     return " UNION ALL ".join(
         f"SELECT doc_id AS document_id, {i} AS rule_id, '{kind}' AS entity_type, {conf}::DOUBLE AS confidence, "
         f"string_split(regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS pieces FROM documents"
@@ -310,7 +309,7 @@ _RELATION_COLUMNS = ["document_id", "subject", "subject_start", "predicate", "ob
 )
 def text_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations between mentions near each other."""
-    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES)
+    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES, context_bytes=CONTEXT)
     return relations.find_relations(found, TEXT_RELATIONS).select(*_RELATION_COLUMNS)
 
 
@@ -319,7 +318,7 @@ def text_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overlapping_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations among all matches, overlapping ones included."""
-    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES, selected=False)
+    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES, selected=False, context_bytes=CONTEXT)
     return relations.find_relations(found, TEXT_RELATIONS).select(*_RELATION_COLUMNS)
 
 
@@ -334,7 +333,7 @@ def overlapping_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of two extractors merged by subject, predicate and object."""
-    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES)
+    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES, context_bytes=CONTEXT)
     return relations.merge_extractors(
         relations.find_relations(found, TEXT_RELATIONS), relations.find_relations(found, CLOSE_RELATIONS)
     )
@@ -372,7 +371,7 @@ _PREDICTED_SQL = (
 def _predicted_and_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Case-insensitive rules are judged against stricter, case-sensitive ones."""
     docs = tables.documents(spark, sf_dir)
-    return mentions.extract(docs, TEXT_RULES), mentions.extract(docs, STRICT_RULES)
+    return mentions.extract(docs, TEXT_RULES, context_bytes=CONTEXT), mentions.extract(docs, STRICT_RULES, context_bytes=CONTEXT)
 
 
 @query(sql=tables.with_sql(*_PREDICTED_SQL, _entity_counts_sql("text, entity_type")) + _scores_sql("SELECT * FROM counts"), headline=True)
@@ -439,7 +438,7 @@ def relation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _approved(spark: SparkSession, sf_dir: str, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Mentions and relations sure enough to need no reviewer."""
-    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES)
+    found = mentions.extract(tables.documents(spark, sf_dir), TEXT_RULES, context_bytes=CONTEXT)
     related = relations.find_relations(found, TEXT_RELATIONS)
     return review.approved(review.enqueue(found, threshold)), review.approved(review.enqueue(related, threshold))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.access import Principal
+from lattica.session import plain_unions
 
 PRINCIPALS = {
     "guest": Principal("guest"),
@@ -23,6 +24,7 @@ _EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

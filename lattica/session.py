@@ -13,6 +13,10 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union that keeps its inputs' partitioning fails in 4.1 when adaptive
+    # execution later reads one of the inputs locally, with another number of
+    # partitions ("Can't zip RDDs with unequal numbers of partitions").
+    "spark.sql.unionOutputPartitioning": "false",
     # Texts are wide rows: smaller Arrow batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
@@ -36,6 +40,12 @@ def local_session(app: str = "lattica", cores: int | str = "*", shuffle_partitio
     return spark
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Apply the union setting to a session made elsewhere."""
+    key = "spark.sql.unionOutputPartitioning"
+    spark.conf.set(key, DEFAULTS[key])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; choose one only on an unset session."""
     context = spark.sparkContext
