@@ -24,6 +24,7 @@ def search(
     id_column: str = "doc_id",
     text: str = "text",
     max_requests: int = MAX_REQUESTS,
+    balanced: bool = False,
 ) -> DataFrame:
     """k best texts per question; `questions` has (request_id, question)."""
     if principal is not None:
@@ -35,4 +36,5 @@ def search(
         k,
         min_score=min_score,
         max_requests=max_requests,
+        balanced=balanced,
     )

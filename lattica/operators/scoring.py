@@ -85,12 +85,14 @@ def top_matches(
     k: int,
     min_score: float | None = None,
     max_requests: int = MAX_REQUESTS,
+    balanced: bool = False,
 ) -> DataFrame:
     """k best items per request.
 
     `items` has the columns (item_id, payload), `requests` (request_id,
     payload).  The result is (request_id, item_id, score, rank), ordered by
-    score descending and item id ascending within a request.
+    score descending and item id ascending within a request.  `balanced` says
+    that the items already fill the cores.
     """
     schema = T.StructType(
         [
@@ -101,7 +103,7 @@ def top_matches(
     )
     head = requests.select("request_id", "payload").limit(max_requests + 1).collect()
     if len(head) <= max_requests:
-        found = _scan(items, [r.request_id for r in head], [r.payload for r in head], kernel, k, schema)
+        found = _scan(items if balanced else spread(items.select("item_id", "payload")), [r.request_id for r in head], [r.payload for r in head], kernel, k, schema)
     else:
         found = _grid(items, requests, kernel, k, schema, max_requests)
     if min_score is not None:
@@ -124,7 +126,7 @@ def _scan(items: DataFrame, request_ids: list, payloads: list, kernel: Kernel, k
                 names=["request_id", "item_id", "score"],
             )
 
-    return spread(items.select("item_id", "payload")).mapInArrow(score, schema)
+    return items.select("item_id", "payload").mapInArrow(score, schema)
 
 
 def _grid(items: DataFrame, requests: DataFrame, kernel: Kernel, k: int, schema: T.StructType, cell_requests: int) -> DataFrame:

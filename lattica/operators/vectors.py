@@ -83,7 +83,7 @@ def embed_distinct(df: DataFrame, text: str, embedder: Embedder, vector: str = "
     moves digests rather than texts.
     """
     keyed = df.withColumn("_digest", F.sha2(F.col(text), 256))
-    distinct = keyed.groupBy("_digest").agg(F.first(text).alias("_text"))
+    distinct = keyed.groupBy("_digest").agg(F.min(text).alias("_text"))
     vectors = distinct.select("_digest", embed(F.col("_text"), embedder).alias(vector))
     return keyed.join(vectors, "_digest").drop("_digest")
 
@@ -130,6 +130,7 @@ def search(
     vector: str = "embedding",
     document_id: str = "document_id",
     max_requests: int = MAX_REQUESTS,
+    balanced: bool = False,
 ) -> DataFrame:
     """Exact cosine top-k per request vector.
 
@@ -148,6 +149,7 @@ def search(
         k,
         min_score=min_score,
         max_requests=max_requests,
+        balanced=balanced,
     )
 
 

@@ -11,6 +11,7 @@ from lattica.operators import answers, evaluation, fusion, graph, keyword_search
 from lattica.operators.fusion import RetrievalConfig
 from lattica.plans import tables
 from lattica.plans.registry import query
+from lattica.session import spread
 
 DIMENSION = 64
 
@@ -33,15 +34,16 @@ def retrieve(
     chunks before any ranking.
     """
     embedder = embedder or vectors.HashingEmbedder(DIMENSION)
-    readable = visible_to(chunks, principal)
+    # Both searches read this one spread, which is nothing on a table of many splits.
+    readable = spread(visible_to(chunks, principal))
     min_score = config.min_score or None
     asked = questions.select("request_id", vectors.embed(F.col("question"), embedder).alias("vector"))
     embedded = readable if "vector" in chunks.columns else readable.withColumn("vector", vectors.embed(F.col("content"), embedder))
     by_vector = vectors.search(
-        embedded, asked, config.vector_top_k, min_score=min_score, id_column="chunk_id", vector="vector"
+        embedded, asked, config.vector_top_k, min_score=min_score, id_column="chunk_id", vector="vector", balanced=True
     )
     by_keyword = keyword_search.search(
-        readable, questions, config.keyword_top_k, min_score=min_score, id_column="chunk_id", text="content"
+        readable, questions, config.keyword_top_k, min_score=min_score, id_column="chunk_id", text="content", balanced=True
     )
     found = by_vector.select("request_id", "item_id", "score", F.lit("vector").alias("result_type")).unionByName(
         by_keyword.select("request_id", "item_id", "score", F.lit("keyword").alias("result_type"))
