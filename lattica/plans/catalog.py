@@ -332,3 +332,24 @@ def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), path.alias("path"))
     kind = text_functions.file_type(F.col("path"))
     return paths.withColumn("file_type", kind).withColumn("mime_type", text_functions.mime_type(F.col("file_type")))
+
+
+@query(
+    sql="""SELECT doc_id AS document_id, CASE WHEN lang = 'fr' AND n_chars < 500 THEN 'Title cannot be empty'
+  WHEN lang = 'de' THEN 'Invalid PDF file: magic bytes do not match' WHEN lang = 'es' THEN 'Invalid DOCX file: magic bytes do not match (expected ZIP signature)' END AS problem,
+  CASE WHEN lang = 'en' OR (lang = 'fr' AND n_chars >= 500) THEN sha256(text) END AS accepted_digest FROM documents"""
+)
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sent as base64 uploads: untitled ones and texts posing as PDF or DOCX are rejected."""
+    from lattica.sources import uploads
+
+    docs = tables.read(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "de", "pdf").when(F.col("lang") == "es", "DOCX").otherwise("txt")
+    sent = docs.select(
+        F.col("doc_id").alias("document_id"),
+        F.when((F.col("lang") == "fr") & (F.col("n_chars") < 500), " \n").otherwise(F.col("source")).alias("title"),
+        F.base64(F.encode("text", "UTF-8")).alias("content"),
+        kind.alias("file_type"),
+    )
+    digest = F.when(F.col("problem").isNull(), F.sha2("bytes", 256))
+    return uploads.validate(sent).select("document_id", "problem", digest.alias("accepted_digest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,3 +242,28 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     tabled = rows.groupBy("p_type").agg(F.array_sort(F.collect_list(F.array("p_name", "p_brand"))).alias("rows"))
     headers = F.array(F.lit("name"), F.lit("brand"))
     return tabled.select("p_type", text_functions.table_markdown(headers, F.col("rows")).alias("markdown"))
+
+
+@query(sql="SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL")
+def audit_by_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts kept by a stream that reads the event files and is run to its end."""
+    from lattica.session import ensure_checkpoint_dir
+    from lattica.streaming import metrics
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/audit-{uuid.uuid4().hex}"
+    schema = tables.read(spark, sf_dir, "events").select("ts", "event_type").schema
+    events = metrics.read_events(spark, f"{sf_dir}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = metrics.audit_by_day(events, "ts", "event_type")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    stream = (
+        counts.writeStream.outputMode("update").foreachBatch(store)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    stream.awaitTermination()
+    # Later batches hold newer counts of the same day and kind.
+    stored = spark.read.parquet(f"{folder}/counts")
+    return stored.groupBy("day", "event_type").agg(F.max_by("events", "batch").alias("events"))
