@@ -17,9 +17,8 @@ from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +128,10 @@ def _scan(items: DataFrame, request_ids: list, payloads: list, kernel: Kernel, k
     return items.select("item_id", "payload").mapInArrow(score, schema)
 
 
+def _cells(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
 def _grid(items: DataFrame, requests: DataFrame, kernel: Kernel, k: int, schema: T.StructType, cell_requests: int) -> DataFrame:
     item_cells = max(1, ceil(items.count() / CELL_ITEMS))
     request_cells = max(1, ceil(requests.count() / cell_requests))
@@ -136,13 +139,13 @@ def _grid(items: DataFrame, requests: DataFrame, kernel: Kernel, k: int, schema:
         "item_id",
         "payload",
         F.pmod(F.xxhash64("item_id"), F.lit(item_cells)).alias("item_cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(request_cells - 1))).cast("bigint").alias("request_cell"),
+        F.explode(_cells(request_cells)).alias("request_cell"),
     )
     right = requests.select(
         "request_id",
         "payload",
         F.pmod(F.xxhash64("request_id"), F.lit(request_cells)).alias("request_cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_cells - 1))).cast("bigint").alias("item_cell"),
+        F.explode(_cells(item_cells)).alias("item_cell"),
     )
 
     def score(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
