@@ -29,12 +29,12 @@ def attempt(failed_attempts: int, locked_until, at, success: bool) -> tuple[str,
     return "failure", failed_attempts, None
 
 
-def lockouts(attempts: DataFrame, timeout_days: int = 30) -> DataFrame:
+def lockouts(attempts: DataFrame, timeout_days: int = 30, late: str = "1 hour") -> DataFrame:
     """Every login attempt with its outcome.
 
     `attempts` is a stream of (user_id string, at timestamp, success boolean).
     The state of a user is two values; users without attempts for
-    `timeout_days` are forgotten.  Attempts of one user are judged in time
+    `timeout_days` of event time are forgotten, attempts later than `late` are dropped.  Attempts of one user are judged in time
     order within a micro-batch.
     """
 
@@ -50,9 +50,12 @@ def lockouts(attempts: DataFrame, timeout_days: int = 30) -> DataFrame:
             outcome, failed, until = attempt(failed, until, at, bool(success))
             out.append((key[0], at, outcome, failed, until))
         state.update((failed, until))
-        state.setTimeoutDuration(timeout_days * 86_400_000)
+        newest = int(rows["at"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + timeout_days * 86_400_000)
         frame = pd.DataFrame(out, columns=["user_id", "at", "outcome", "failed_attempts", "locked_until"])
         frame["locked_until"] = pd.to_datetime(frame["locked_until"])
         yield frame
 
-    return attempts.groupBy("user_id").applyInPandasWithState(run, _OUT, _STATE, "append", "ProcessingTimeTimeout")
+    # Event-time timeouts let a stream that is run to its end stop; processing-time ones never do.
+    timed = attempts.withWatermark("at", late)
+    return timed.groupBy("user_id").applyInPandasWithState(run, _OUT, _STATE, "append", "EventTimeTimeout")
