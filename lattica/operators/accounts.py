@@ -15,32 +15,32 @@ LOCKOUT_MINUTES = 15
 def failure_streaks(logins: DataFrame, user: str, at: str, order: str, failed: Column, succeeded: Column) -> DataFrame:
     """Failures since the user's last success, after each attempt (failed_attempts).
 
-    Streaks are counted inside (user, day); each day takes over what the
-    user's earlier days left open.  The second step sees one row per user and
-    day, so a user with a third of all attempts is spread over the days.
+    Streaks are counted inside (user, hour); each hour takes over what the
+    user's earlier hours left open.  The second step sees one row per user and
+    hour, so a user with a third of all attempts is spread over the hours.
     """
     flagged = logins.withColumn("_fail", F.coalesce(failed, F.lit(False)).cast("bigint")).withColumn(
         "_ok", F.coalesce(succeeded, F.lit(False)).cast("bigint")
-    ).withColumn("_day", F.to_date(at))
-    in_day = Window.partitionBy(user, "_day").orderBy(at, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islands = flagged.withColumn("_island", F.sum("_ok").over(in_day))
-    in_island = Window.partitionBy(user, "_day", "_island").orderBy(at, order).rowsBetween(
+    ).withColumn("_hour", F.date_trunc("hour", at))
+    in_hour = Window.partitionBy(user, "_hour").orderBy(at, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    islands = flagged.withColumn("_island", F.sum("_ok").over(in_hour))
+    in_island = Window.partitionBy(user, "_hour", "_island").orderBy(at, order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = islands.withColumn("_streak", F.sum("_fail").over(in_island))
 
     tail = F.max_by(F.struct("_island", "_streak"), F.struct(at, order))
-    days = local.groupBy(user, "_day").agg(tail.alias("_t"), F.sum("_ok").alias("_oks"))
-    by_day = Window.partitionBy(user).orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    days = days.withColumn("_epoch", F.sum(F.when(F.col("_oks") > 0, 1).otherwise(0)).over(by_day))
-    in_epoch = Window.partitionBy(user, "_epoch").orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    days = days.withColumn("_open", F.sum("_t._streak").over(in_epoch))
-    carry = days.select(
-        user, "_day", F.coalesce(F.lag("_open").over(Window.partitionBy(user).orderBy("_day")), F.lit(0)).alias("_carry")
+    hours = local.groupBy(user, "_hour").agg(tail.alias("_t"), F.sum("_ok").alias("_oks"))
+    by_hour = Window.partitionBy(user).orderBy("_hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hours = hours.withColumn("_epoch", F.sum(F.when(F.col("_oks") > 0, 1).otherwise(0)).over(by_hour))
+    in_epoch = Window.partitionBy(user, "_epoch").orderBy("_hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hours = hours.withColumn("_open", F.sum("_t._streak").over(in_epoch))
+    carry = hours.select(
+        user, "_hour", F.coalesce(F.lag("_open").over(Window.partitionBy(user).orderBy("_hour")), F.lit(0)).alias("_carry")
     )
-    joined = local.join(carry, [user, "_day"])
+    joined = local.join(carry, [user, "_hour"])
     streak = F.col("_streak") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)
-    return joined.withColumn("failed_attempts", streak).drop("_fail", "_ok", "_day", "_island", "_streak", "_carry")
+    return joined.withColumn("failed_attempts", streak).drop("_fail", "_ok", "_hour", "_island", "_streak", "_carry")
 
 
 def lockouts(streaks: DataFrame, at: str, failed: Column, limit: int = MAX_FAILED_ATTEMPTS) -> DataFrame:
