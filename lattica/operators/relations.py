@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import lookup
@@ -56,16 +56,38 @@ RELATION_RULES = (
 )
 
 
-def _rule_table(spark: SparkSession, rules: tuple[RelationRule, ...]) -> DataFrame:
-    rows = [
-        (i, r.subject_type, r.object_type, r.predicate, [k.lower() for k in r.keywords], r.max_distance, r.confidence)
+def _roles(entity_type: Column, rules: tuple[RelationRule, ...]) -> Column:
+    """(rule_id, role, reach) an entity type can play; literals in the plan, so no join."""
+    played = [
+        (kind, F.struct(F.lit(i).alias("rule_id"), F.lit(role).alias("role"), F.lit(r.max_distance).cast("bigint").alias("reach")))
         for i, r in enumerate(rules)
+        for role, kind in (("subject", r.subject_type), ("object", r.object_type))
     ]
-    return spark.createDataFrame(
-        rows,
-        "rule_id int, subject_type string, object_type string, predicate string, keywords array<string>, "
-        "max_distance bigint, confidence double",
-    )
+    kinds = sorted({kind for kind, _ in played})
+    entries = [x for k in kinds for x in (F.lit(k), F.array(*[p for kind, p in played if kind == k]))]
+    return F.try_element_at(F.create_map(*entries), entity_type)
+
+
+def _by_rule(rules: tuple[RelationRule, ...], value) -> Column:
+    """A value of the rule the row's rule_id names."""
+    branches = F.when(F.col("rule_id") == 0, value(rules[0]))
+    for i, rule in enumerate(rules[1:], 1):
+        branches = branches.when(F.col("rule_id") == i, value(rule))
+    return branches
+
+
+def _any_keyword(context: Column, rules: tuple[RelationRule, ...]) -> Column:
+    def holds(bound: Column) -> Column:
+        def of(rule: RelationRule) -> Column:
+            found = F.lit(False)
+            for keyword in rule.keywords:
+                found = found | F.contains(bound, F.lit(keyword.lower()))
+            return found
+
+        return _by_rule(rules, of)
+
+    # The one-element array makes Spark build the context once, not once per keyword.
+    return F.exists(F.array(context), holds)
 
 
 def _bytes(text: Column) -> Column:
@@ -94,26 +116,17 @@ def find_relations(
     (column after, at least `context_bytes(rules)` of them), so the texts are
     not joined back.
     """
-    spark = mentions.sparkSession
-    reach = context_bytes(rules)
-    table = F.broadcast(_rule_table(spark, rules))  # a handful of rows fixed in this module or by the caller
-
     types = sorted({t for r in rules for t in (r.subject_type, r.object_type)})
     base = mentions.filter(F.col("entity_type").isin(types)).select(
         F.col(document_id).alias("_doc"), "start", "end", "text", "entity_type", "after"
     )
     # Both sides of the join read the mentions from this one shuffle.
-    roles = base.repartition("_doc", "start").join(
-        table.select("rule_id", F.col("subject_type").alias("entity_type"), F.lit("subject").alias("role")).unionAll(
-            table.select("rule_id", F.col("object_type").alias("entity_type"), F.lit("object").alias("role"))
-        ),
-        "entity_type",
-    )
-    stretch = reach + 1
+    roles = base.repartition("_doc", "start").select("*", F.inline(_roles(F.col("entity_type"), rules)))
+    stretch = F.col("reach") + 1
     first = roles.select(
-        "_doc", "rule_id", F.col("role").alias("first_role"),
+        "_doc", "rule_id", "reach", F.col("role").alias("first_role"),
         *[F.col(c).alias(f"a_{c}") for c in ("start", "end", "text", "entity_type", "after")],
-        F.explode(F.sequence(F.floor(F.col("start") / stretch), F.floor((F.col("end") + reach) / stretch))).alias("_s"),
+        F.explode(F.sequence(F.floor(F.col("start") / stretch), F.floor((F.col("end") + F.col("reach")) / stretch))).alias("_s"),
     )
     second = roles.select(
         "_doc", "rule_id", F.col("role").alias("second_role"),
@@ -121,14 +134,10 @@ def find_relations(
         F.floor(F.col("start") / stretch).alias("_s"),
     )
     gap = F.col("b_start") - F.col("a_end")
-    pairs = (
-        first.join(second, ["_doc", "rule_id", "_s"])
-        .filter((F.col("b_start") > F.col("a_start")) & (F.col("first_role") != F.col("second_role")))
-        .filter(gap <= reach)
-        .join(table.select("rule_id", "predicate", "keywords", "max_distance", "confidence"), "rule_id")
-        .filter(gap <= F.col("max_distance"))
+    pairs = first.join(second, ["_doc", "rule_id", "_s"]).filter(
+        (F.col("b_start") > F.col("a_start")) & (F.col("first_role") != F.col("second_role")) & (gap <= F.col("reach"))
     )
-    behind = _slice(_bytes(F.col("b_after")), F.lit(1), F.col("max_distance"))
+    behind = _slice(_bytes(F.col("b_after")), F.lit(1), F.col("reach"))
     context = (
         F.when(
             gap >= 0,
@@ -138,10 +147,9 @@ def find_relations(
             F.col("b_end") >= F.col("a_end"),
             F.concat(_slice(_bytes(F.col("b_text")), 1 - gap, F.col("b_end") - F.col("a_end")), behind),
         )
-        .otherwise(_slice(_bytes(F.col("a_after")), F.lit(1), F.col("b_end") + F.col("max_distance") - F.col("a_end")))
+        .otherwise(_slice(_bytes(F.col("a_after")), F.lit(1), F.col("b_end") + F.col("reach") - F.col("a_end")))
     )
-    lowered = F.lower(context.cast("string"))
-    found = pairs.filter(F.exists("keywords", lambda k: F.contains(lowered, k)))
+    found = pairs.filter(_any_keyword(F.lower(context.cast("string")), rules))
     subject_first = F.col("first_role") == "subject"
 
     def side(when_first: bool, column: str) -> Column:
@@ -154,12 +162,12 @@ def find_relations(
         side(True, "entity_type").alias("subject_type"),
         side(True, "start").alias("subject_start"),
         side(True, "end").alias("subject_end"),
-        "predicate",
+        _by_rule(rules, lambda r: F.lit(r.predicate)).alias("predicate"),
         side(False, "text").alias("object"),
         side(False, "entity_type").alias("object_type"),
         side(False, "start").alias("object_start"),
         side(False, "end").alias("object_end"),
-        "confidence",
+        _by_rule(rules, lambda r: F.lit(r.confidence)).alias("confidence"),
     )
 
 
