@@ -22,7 +22,9 @@ def ingest_folder(
     access_level: str = "internal",
     department: str | None = None,
 ) -> DataFrame:
-    """Append a folder of files to the tables under `root`; the result counts rows per table.
+    """Write the tables of a folder of files under `root`; the result counts rows per table.
+
+    A repeated run replaces what the first one wrote.
 
     Written tables: documents (with their access rules), chunks (with vectors
     and the same rules), mentions, relations and rejected files.  Later stages
@@ -45,8 +47,8 @@ def ingest_folder(
         F.array().cast("array<string>").alias("allowed_users"),
         F.lit(None).cast("timestamp").alias("deleted_at"),
     )
-    tables.append(documents, root, "documents")
-    tables.append(rejected, root, "rejected")
+    tables.replace(documents, root, "documents")
+    tables.replace(rejected, root, "rejected")
     stored = spark.read.parquet(f"{root}/documents")
     acl = ["access_level", "owner_id", "department", "required_roles", "allowed_users"]
     pieces = spread(stored.select("document_id", *acl, "text")).select(
