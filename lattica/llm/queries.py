@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate
-from lattica.llm.common import LOWER, UPPER, table
+from lattica.llm import decontaminate, quality
+from lattica.llm.common import LOWER, UPPER, fold, table
 from lattica.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 @query(DECONTAMINATION_SQL)
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
