@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, language, quality
+from lattica.llm import decontaminate, language, quality, secrets
 from lattica.llm.common import LOWER, UPPER, fold, table
 from lattica.plans.registry import Query
 
@@ -58,6 +58,44 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0)
 
 
+# DuckDB has no positions of matches: the text up to each match is rebuilt from
+# the pieces between marks that stand for the matches.
+def _secret_sql() -> str:
+    kinds = {
+        "assign": ("(?i)" + secrets.BASE_RULES[0].pattern.replace("'", "''"), 2, 6),
+        "access": (secrets.BASE_RULES[1].pattern, 0, 20),
+        "hex": ("[0-9a-f]+", 0, 24),
+        **{r.kind: (r.pattern, 0, 0) for r in secrets.MORE_RULES},
+    }
+    parts = [
+        f"""
+  SELECT doc_id, {k} AS k, '{kind}' AS kind, size, kept >= {least} AS good,
+         gap + coalesce(sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM (
+    SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(g, lambda x: len(x))) AS kept,
+           unnest(list_transform(m, lambda x: len(x))) AS size, unnest(list_transform(string_split_regex(t, '{pattern}')[1:len(m)], lambda x: len(x))) AS gap
+    FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g FROM d))"""
+        for k, (kind, (pattern, group, least)) in enumerate(kinds.items())
+    ]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+spans AS (SELECT doc_id, k, kind, s, concat_ws(':', kind, CAST(s AS BIGINT), CAST(s + size AS BIGINT)) AS x FROM found WHERE good),
+per AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (k < 3), '') AS base, string_agg(x, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
+@query(_secret_sql())
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
