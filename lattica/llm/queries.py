@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, language, quality, secrets, toxicity
+from lattica.llm import decontaminate, language, packing, quality, secrets, toxicity
 from lattica.llm.common import LOWER, UPPER, fold, table
 from lattica.plans.registry import Query
 
@@ -104,3 +104,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
+
+
+def tokenizer() -> dict[str, str]:
+    """Where the vocabulary of byte_bpe_50k lies, and how it splits texts."""
+    import public_tokenizers
+
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+@query()
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
