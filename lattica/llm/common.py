@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.session import ensure_checkpoint_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes -> bytes: A-Z to a-z, nothing else.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -62,3 +65,16 @@ def append_columns(
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table to the folder of checkpoints, and read again.
+
+    Like a checkpoint it survives the loss of any executor; columns are
+    compressed, and a reader fetches only those it needs.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
