@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, jaccard, language, packing, quality, secrets, toxicity
+from lattica.llm import classlm, decontaminate, jaccard, language, packing, quality, secrets, toxicity
 from lattica.llm.common import LOWER, UPPER, fold, table
 from lattica.plans.registry import Query
 
@@ -58,6 +58,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0)
 
 
+@query()
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.scored(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 # DuckDB has no positions of matches: the text up to each match is rebuilt from
 # the pieces between marks that stand for the matches.
 def _secret_sql() -> str:
