@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import classlm, decontaminate, jaccard, language, packing, quality, secrets, toxicity
+from lattica.llm import classlm, decontaminate, jaccard, language, multi_index, packing, quality, secrets, toxicity
 from lattica.llm.common import LOWER, UPPER, fold, table
 from lattica.plans.registry import Query
 
@@ -58,6 +59,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0)
 
 
+@query()
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @query()
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.scored(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
