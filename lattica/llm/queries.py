@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import classlm, decontaminate, jaccard, language, multi_index, packing, quality, secrets, toxicity
+from lattica.llm import classlm, decontaminate, jaccard, language, licences, multi_index, packing, quality, secrets, toxicity
 from lattica.llm.common import LOWER, UPPER, fold, table
 from lattica.plans.registry import Query
 
@@ -147,3 +147,8 @@ def tokenizer() -> dict[str, str]:
 @query()
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
+
+
+@query()
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.documents(table(spark, sf_dir, "documents"))
