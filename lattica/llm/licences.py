@@ -10,6 +10,7 @@ once the paragraph holds most words of one of the family's templates.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.ml.classification import LogisticRegression
@@ -95,11 +96,14 @@ def examples(docs: DataFrame, id_col: str, text_col: str, bound: int = NEGATIVES
     """
     spark = docs.sparkSession
     rows = [(lead.format(name), FAMILIES.index(f)) for f, names in NAMES.items() for name in names for lead in LEADS]
-    rows += [(text, FAMILIES.index(f)) for f, texts in NOTICES.items() for text in texts for _ in range(3)]
-    rows += [(text, 0) for text in NOT_LICENCES for _ in range(3)]
+    for f, texts in NOTICES.items():
+        for text in texts:  # whole, and cut at either end
+            w = text.split()
+            rows += [(" ".join(part), FAMILIES.index(f)) for part in (w, w[: len(w) * 2 // 3], w[len(w) // 3 :], w[2:], w[:-2])]
+    rows += [(text, 0) for text in NOT_LICENCES]
     total = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")))).first()[0] or 0
     some = paragraphs_of(docs, id_col, text_col).where(F.pmod(F.xxhash64("id", "paragraph"), F.lit(_GRID)) < ceil(_GRID * min(1.0, bound / max(total, 1))))
-    some = some.where(_covered(F.col("paragraph")) == 0).select("paragraph", F.lit(0).alias("label"))
+    some = some.where(~_names_one(F.col("paragraph"))).select("paragraph", F.lit(0).alias("label"))
     return spark.createDataFrame(rows, "paragraph string, label int").union(some)
 
 
@@ -118,11 +122,10 @@ def _coverage(tokens: Column, family: str) -> Column:
     return F.greatest(*shares, F.lit(0.0))
 
 
-def _covered(text: Column) -> Column:
-    """1 if the text holds the words of a template of three or more words, else 0."""
-    lower = F.lower(text)
-    tests = [F.contains(lower, F.lit(s.lower())).cast("int") for _, s in _templates() if len(s.split()) > 2]
-    return F.greatest(*tests)
+def _names_one(text: Column) -> Column:
+    """Whether a template is part of the text, whatever the case."""
+    tests = [F.contains(F.lower(text), F.lit(s.lower())) for _, s in _templates()]
+    return reduce(lambda a, b: a | b, tests)
 
 
 class Model:
@@ -157,7 +160,7 @@ def _bin(confidence: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = NEGATIVES) -> Model:
-    """Fit on seven tenths of the examples, calibrate on the rest."""
+    """Calibrate on three tenths of the examples by a fit on the others, then fit on all."""
     rows = vectors(examples(docs, id_col, text_col, bound), "paragraph", "_v").withColumn("_fold", F.pmod(F.xxhash64("paragraph"), F.lit(10)))
     regression = LogisticRegression(featuresCol="_v", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction",
                                     family="multinomial", regParam=1e-4, maxIter=60)
@@ -174,7 +177,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound:
         while len(pools) > 1 and pools[-2][2] / pools[-2][1] > pools[-1][2] / pools[-1][1]:
             last = pools.pop()
             pools[-1] = [x + y for x, y in zip(pools[-1], last)]
-    return Model(fitted, [good / n for width, n, good in pools for _ in range(int(width))])
+    return Model(regression.fit(rows.select("_v", "label")), [good / n for width, n, good in pools for _ in range(int(width))])
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
