@@ -47,12 +47,12 @@ def lookup(values: dict[str, str], key: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
 def words(text: Column) -> Column:
     """White-space separated words, empty strings removed."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +67,7 @@ def keywords(question: Column) -> Column:
     """Words of more than one byte that are not stop words, in order, case kept."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     return F.filter(
-        F.split(question, r"\s+"),
+        F.split(question, r"(?U)\s+"),
         lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, F.lower(w)),
     )
 

@@ -87,30 +87,14 @@ def total_counts(counts: DataFrame) -> DataFrame:
     )
 
 
-def report(entity_scores: DataFrame, relation_scores: DataFrame) -> DataFrame:
-    """Text report of two one-row score tables with the verdicts against the targets."""
-
-    def block(title: str, prefix: str) -> list[Column]:
-        return [
-            F.lit(f"{title}:\n  Precision: "), percent(F.col(f"{prefix}precision")),
-            F.lit("\n  Recall:    "), percent(F.col(f"{prefix}recall")),
-            F.lit("\n  F1 Score:  "), percent(F.col(f"{prefix}f1")),
-            F.format_string(
-                "\n  Gold: %d | Predicted: %d | TP: %d | FP: %d | FN: %d",
-                *[F.col(f"{prefix}{c}") for c in ("gold_total", "predicted_total", "tp", "fp", "fn")],
-            ),
-        ]
-
-    left = entity_scores.select(*[F.col(c).alias(f"e_{c}") for c in entity_scores.columns], F.lit(1).alias("_one"))
-    right = relation_scores.select(*[F.col(c).alias(f"r_{c}") for c in relation_scores.columns], F.lit(1).alias("_one"))
-    text = F.concat(
-        F.lit("=== Extraction Quality Report ===\n\nDocuments evaluated: "), F.col("e_num_documents").cast("string"), F.lit("\n\n"),
-        *block("Entity Extraction", "e_"), F.lit("\n\n"), *block("Relation Extraction", "r_"), F.lit("\n"),
-    )
-    return left.join(right, "_one").select(
-        text.alias("report"),
-        (F.col("e_precision") >= NER_PRECISION_TARGET).alias("ner_ok"),
-        (F.col("r_precision") >= RE_PRECISION_TARGET).alias("re_ok"),
+def targets_met(entity_scores: DataFrame, relation_scores: DataFrame) -> DataFrame:
+    """Both one-row score tables side by side, and whether their precision reaches the targets."""
+    sides = [
+        scores.select("num_documents", *[F.col(c).alias(f"{name}_{c}") for c in ("precision", "recall", "f1")])
+        for name, scores in (("entity", entity_scores), ("relation", relation_scores))
+    ]
+    return sides[0].join(sides[1], "num_documents").select(
+        "*", (F.col("entity_precision") >= NER_PRECISION_TARGET).alias("ner_ok"), (F.col("relation_precision") >= RE_PRECISION_TARGET).alias("re_ok")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import keywords, stable_id
-from lattica.operators.scoring import MAX_REQUESTS, containment_kernel, top_matches
+from lattica.operators.scoring import containment_kernel, top_matches
 from lattica.operators.topk import first_per_group, top_k_per_group
 from lattica.session import cut_lineage, plain_unions
 
@@ -166,7 +166,6 @@ def search(
     questions: DataFrame,
     limit: int = 20,
     depth: int = 1,
-    max_requests: int = MAX_REQUESTS,
 ) -> DataFrame:
     """Graph context per question: matching nodes, what they reach, and their relations.
 
@@ -182,7 +181,6 @@ def search(
         terms,
         containment_kernel(),
         limit,
-        max_requests=max_requests,
     ).select("request_id", F.col("item_id").alias("node_id"), F.col("rank").cast("bigint").alias("seed_rank"))
 
     # A handful of rows per question from here on, used several times below:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.access import Principal, visible_to
 from lattica.functions.text import keywords
-from lattica.operators.scoring import MAX_REQUESTS, keyword_kernel, top_matches
+from lattica.operators.scoring import keyword_kernel, top_matches
 
 
 def search_terms(question: Column) -> Column:
@@ -23,18 +23,19 @@ def search(
     min_score: float | None = None,
     id_column: str = "doc_id",
     text: str = "text",
-    max_requests: int = MAX_REQUESTS,
-    balanced: bool = False,
+    carry: str | None = None,
 ) -> DataFrame:
-    """k best texts per question; `questions` has (request_id, question)."""
+    """k best texts per question; `questions` has (request_id, question).
+
+    The column `carry` follows the winners.
+    """
     if principal is not None:
         items = visible_to(items, principal)
     return top_matches(
-        items.select(F.col(id_column).alias("item_id"), F.col(text).alias("payload")),
+        items.select(F.col(id_column).alias("item_id"), F.col(text).alias("payload"), *[c for c in [carry] if c]),
         questions.select("request_id", search_terms(F.col("question")).alias("payload")),
         keyword_kernel(),
         k,
         min_score=min_score,
-        max_requests=max_requests,
-        balanced=balanced,
+        carry=carry,
     )

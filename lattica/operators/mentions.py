@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.session import spread
 
 # Pattern rules (pattern, entity type, confidence, text every match contains).
 PATTERN_RULES = (
@@ -192,7 +191,7 @@ def extract(
                 columns.append(pa.array(afters, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return spread(documents.select(document_id, text)).mapInArrow(run, T.StructType(fields))
+    return documents.select(document_id, text).mapInArrow(run, T.StructType(fields))
 
 
 def select_spans(mentions: Column) -> Column:

@@ -6,29 +6,27 @@ request batch as one matrix and keeps only the k best items per request, so at
 most ``requests * k`` rows per task reach the shuffle.  No item is sent
 anywhere and no pair is materialised.
 
-The request batch is checked against MAX_REQUESTS before it is captured in the
-task.  A larger one is matched on a grid: items and requests are hashed into
-cells of bounded size and each cell is scored by the same kernel.
+Requests are taken in blocks of at most REQUEST_BYTES, so that what travels to
+the tasks and what a task holds is bounded; every block is one more pass over
+the items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.operators.topk import top_k_per_group
-from lattica.session import spread
 
-# A request batch up to this size travels inside the task.
-MAX_REQUESTS = 4096
-# Items scored together in one cell of the grid.
-CELL_ITEMS = 50_000
+# Size of the requests that are scored together.
+REQUEST_BYTES = 4 << 20
+# Digits of a score that decide a rank; further ones depend on the order of adding.
+RANK_DIGITS = 12
 
 NO_MATCH = -np.inf
 
@@ -46,10 +44,13 @@ class _Best:
         self.request = np.empty(0, dtype=np.int64)
         self.item = None
         self.score = np.empty(0, dtype=np.float64)
+        self.row = np.empty(0, dtype=np.int64)  # number of the item among all that were added
+        self.added = 0
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         if not len(ids):
             return
+        first, self.added = self.added, self.added + len(ids)
         floor = self.floor
         if len(ids) > self.k:
             kth = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
@@ -58,6 +59,7 @@ class _Best:
         self.request = np.concatenate([self.request, cols])
         self.item = ids[rows] if self.item is None else np.concatenate([self.item, ids[rows]])
         self.score = np.concatenate([self.score, scores[rows, cols]])
+        self.row = np.concatenate([self.row, rows + first])
         self._trim()
 
     def _trim(self) -> None:
@@ -67,7 +69,7 @@ class _Best:
         rank = np.arange(len(request)) - starts
         kept = rank < self.k
         order = order[kept]
-        self.request, self.item, self.score = self.request[order], self.item[order], self.score[order]
+        self.request, self.item, self.score, self.row = self.request[order], self.item[order], self.score[order], self.row[order]
         last = rank[kept] == self.k - 1
         self.floor[self.request[last]] = self.score[last]
 
@@ -83,90 +85,63 @@ def top_matches(
     kernel: Kernel,
     k: int,
     min_score: float | None = None,
-    max_requests: int = MAX_REQUESTS,
-    balanced: bool = False,
+    carry: str | None = None,
+    block_bytes: int = REQUEST_BYTES,
 ) -> DataFrame:
     """k best items per request.
 
     `items` has the columns (item_id, payload), `requests` (request_id,
     payload).  The result is (request_id, item_id, score, rank), ordered by
-    score descending and item id ascending within a request.  `balanced` says
-    that the items already fill the cores.
+    score descending and item id ascending within a request, and the column
+    `carry` of the items, which only winners take along.
     """
-    schema = T.StructType(
-        [
-            requests.schema["request_id"],
-            items.schema["item_id"],
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    head = requests.select("request_id", "payload").limit(max_requests + 1).collect()
-    if len(head) <= max_requests:
-        found = _scan(items if balanced else spread(items.select("item_id", "payload")), [r.request_id for r in head], [r.payload for r in head], kernel, k, schema)
-    else:
-        found = _grid(items, requests, kernel, k, schema, max_requests)
+    fields = [requests.schema["request_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields + [items.schema[c] for c in [carry] if c])
+    found = None
+    for ids, payloads in _blocks(requests, block_bytes):
+        part = _scan(items, ids, payloads, kernel, k, schema)
+        found = part if found is None else found.unionByName(part)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
     return top_k_per_group(found, ["request_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
+def _blocks(requests: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
+    """(ids, payloads) of requests that add up to about `block_bytes`; one empty block without requests."""
+    ids, payloads, size, any_yet = [], [], 0, False
+    for r in requests.select("request_id", "payload").toLocalIterator():
+        ids.append(r.request_id)
+        payloads.append(r.payload)
+        size += 64 + sum(8 if isinstance(x, float) else len(str(x)) for x in (r.payload or ()))
+        if size >= block_bytes:
+            yield ids, payloads
+            ids, payloads, size, any_yet = [], [], 0, True
+    if ids or not any_yet:
+        yield ids, payloads
+
+
 def _scan(items: DataFrame, request_ids: list, payloads: list, kernel: Kernel, k: int, schema: T.StructType) -> DataFrame:
+    shared = items.sparkSession.sparkContext.broadcast(payloads)
+    carried = schema.names[3:]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not request_ids:
             return
-        scorer = kernel(payloads)
-        best = _Best(k, len(request_ids))
+        scorer = kernel(shared.value)
+        best, kept = _Best(k, len(request_ids)), {}
         for batch in batches:
             if batch.num_rows:
+                first = best.added
                 best.add(_ids(batch.column("item_id").to_numpy(zero_copy_only=False)), scorer(batch.column("payload")))
+                if carried:
+                    column = batch.column(carried[0])
+                    kept = {i: kept[i] if i < first else column[i - first].as_py() for i in np.unique(best.row).tolist()}
         if len(best.score):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([request_ids[i] for i in best.request]), pa.array(best.item), pa.array(best.score)],
-                names=["request_id", "item_id", "score"],
-            )
-
-    return items.select("item_id", "payload").mapInArrow(score, schema)
-
-
-def _cells(count: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
-
-
-def _grid(items: DataFrame, requests: DataFrame, kernel: Kernel, k: int, schema: T.StructType, cell_requests: int) -> DataFrame:
-    item_cells = max(1, ceil(items.count() / CELL_ITEMS))
-    request_cells = max(1, ceil(requests.count() / cell_requests))
-    left = items.select(
-        "item_id",
-        "payload",
-        F.pmod(F.xxhash64("item_id"), F.lit(item_cells)).alias("item_cell"),
-        F.explode(_cells(request_cells)).alias("request_cell"),
-    )
-    right = requests.select(
-        "request_id",
-        "payload",
-        F.pmod(F.xxhash64("request_id"), F.lit(request_cells)).alias("request_cell"),
-        F.explode(_cells(item_cells)).alias("item_cell"),
-    )
-
-    def score(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
-        request_ids = right_table.column("request_id").to_pylist()
-        best = _Best(k, len(request_ids))
-        if request_ids and left_table.num_rows:
-            scorer = kernel(right_table.column("payload").to_pylist())
-            for batch in left_table.to_batches(max_chunksize=2048):
-                best.add(_ids(batch.column("item_id").to_numpy(zero_copy_only=False)), scorer(batch.column("payload")))
-        item_type = left_table.schema.field("item_id").type
-        request_type = right_table.schema.field("request_id").type
-        return pa.table(
-            {
-                "request_id": pa.array([request_ids[i] for i in best.request], type=request_type),
-                "item_id": pa.array([] if best.item is None else best.item.tolist(), type=item_type),
-                "score": pa.array(best.score),
-            }
-        )
+            columns = [pa.array([request_ids[i] for i in best.request]), pa.array(best.item), pa.array(best.score)]
+            columns += [pa.array([kept[i] for i in best.row.tolist()]) for _ in carried]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    keys = ["item_cell", "request_cell"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
+    return items.select("item_id", "payload", *carried).mapInArrow(score, schema)
 
 
 # --- kernels -----------------------------------------------------------------
@@ -184,7 +159,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def cosine_kernel(digits: int = 6) -> Kernel:
+def cosine_kernel(digits: int = RANK_DIGITS) -> Kernel:
     """Cosine similarity; an all-zero vector scores 0."""
 
     def prepare(payloads: list) -> Scorer:
@@ -199,7 +174,7 @@ def cosine_kernel(digits: int = 6) -> Kernel:
     return prepare
 
 
-def keyword_kernel(saturation: float = 1.2, digits: int = 6) -> Kernel:
+def keyword_kernel(saturation: float = 1.2, digits: int = RANK_DIGITS) -> Kernel:
     """Mean saturated frequency of the request's keywords among the item's words.
 
     Requests are arrays of distinct lower-case keywords, items are texts.  A
@@ -258,15 +233,5 @@ def containment_kernel() -> Kernel:
 
 
 def _term_finder(terms: list[str]) -> Callable[[str], set[str]]:
-    """Function giving the terms that occur in a text, in one pass over it where possible."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {t for t in terms if t in text}
-    if not terms:
-        return lambda text: set()
-    automaton = ahocorasick.Automaton()
-    for term in terms:
-        automaton.add_word(term, term)
-    automaton.make_automaton()
-    return lambda text: {term for _, term in automaton.iter(text)}
+    """Function giving the terms that occur in a text."""
+    return lambda text: {t for t in terms if t in text}

@@ -130,8 +130,8 @@ def cache_stats(accesses: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cache_replay(requests: DataFrame, key: str, at: str, order: str, ttl_seconds: int) -> DataFrame:
-    """Mark each request as a hit when the same key was asked within the time to live.
+def repeats_within(requests: DataFrame, key: str, at: str, order: str, seconds_before: int) -> DataFrame:
+    """Mark each request whose key was asked within the given seconds before (`repeated`).
 
     The previous request is looked up within (key, hour); the first request of
     an hour takes the last one of the key's previous hour.  A key asked by a
@@ -144,8 +144,8 @@ def cache_replay(requests: DataFrame, key: str, at: str, order: str, ttl_seconds
     carried = blocks.withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_block"))).drop("_last")
     joined = timed.withColumn("_prev", F.lag("_us").over(inside)).join(carried, [key, "_block"])
     previous = F.coalesce("_prev", "_carry")
-    hit = F.coalesce((F.col("_us") - previous) < ttl_seconds * 1_000_000, F.lit(False))
-    return joined.withColumn("hit", hit).drop("_us", "_block", "_prev", "_carry")
+    repeated = F.coalesce((F.col("_us") - previous) < seconds_before * 1_000_000, F.lit(False))
+    return joined.withColumn("repeated", repeated).drop("_us", "_block", "_prev", "_carry")
 
 
 def prometheus_lines(hist: DataFrame, metric: str = "http_request_duration_seconds", endpoint: str = "endpoint") -> DataFrame:

@@ -17,8 +17,10 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20, max_size: int = 100) -> DataFrame:
-    """One page of a sorted listing."""
-    number, size = max(number, 1), min(size, max_size)
+    """One page of a sorted listing; a larger page than `max_size` is refused."""
+    if size > max_size:
+        raise ValueError(f"at most {max_size} rows a page")
+    number = max(number, 1)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.access import DEFAULT_ACL, Principal, visible_to
-from lattica.operators.scoring import MAX_REQUESTS, cosine_kernel, top_matches
+from lattica.operators.scoring import cosine_kernel, top_matches
 
 # Vector length of the embedding models people configure by name.
 MODEL_DIMENSIONS = {
@@ -106,7 +106,12 @@ def check_dimension(vectors: DataFrame, dimension: int, vector: str = "vector")
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Table after overwriting by key; unknown keys are added."""
+    """Table after overwriting by key; unknown keys are added.
+
+    Of several changes of one key the one with the largest values stays.
+    """
+    rest = [c for c in changes.columns if c != key]
+    changes = changes.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else changes.distinct()
     kept = current.join(changes.select(key), key, "left_anti")
     return kept.unionByName(changes, allowMissingColumns=True)
 
@@ -129,8 +134,7 @@ def search(
     id_column: str = "vec_id",
     vector: str = "embedding",
     document_id: str = "document_id",
-    max_requests: int = MAX_REQUESTS,
-    balanced: bool = False,
+    carry: str | None = None,
 ) -> DataFrame:
     """Exact cosine top-k per request vector.
 
@@ -143,13 +147,12 @@ def search(
     if principal is not None:
         vectors = visible_to(vectors, principal, DEFAULT_ACL)
     return top_matches(
-        vectors.select(F.col(id_column).alias("item_id"), F.col(vector).alias("payload")),
+        vectors.select(F.col(id_column).alias("item_id"), F.col(vector).alias("payload"), *[c for c in [carry] if c]),
         requests.select("request_id", F.col("vector").alias("payload")),
         cosine_kernel(),
         k,
         min_score=min_score,
-        max_requests=max_requests,
-        balanced=balanced,
+        carry=carry,
     )
 
 

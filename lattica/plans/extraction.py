@@ -93,9 +93,7 @@ exact_chunks AS (
 )
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping chunks that break at paragraphs, sentences or lines."""
-    from lattica.session import spread
-
-    return chunking.chunk_documents(spread(tables.documents(spark, sf_dir).select("document_id", "text")))
+    return chunking.chunk_documents(tables.documents(spark, sf_dir).select("document_id", "text"))
 
 
 @query(

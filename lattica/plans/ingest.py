@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lattica.functions.text import stable_id
 from lattica.operators import chunking, mentions, relations, review
 from lattica.operators.vectors import Embedder, HashingEmbedder, embed
-from lattica.session import spread
 from lattica.sources import files, tables
 
 
@@ -51,7 +50,7 @@ def ingest_folder(
     tables.replace(rejected, root, "rejected")
     stored = spark.read.parquet(f"{root}/documents")
     acl = ["access_level", "owner_id", "department", "required_roles", "allowed_users"]
-    pieces = spread(stored.select("document_id", *acl, "text")).select(
+    pieces = stored.select(
         "document_id", *acl, F.posexplode(chunking.split_text(F.col("text"), config)).alias("chunk_index", "_c")
     ).select("document_id", "chunk_index", *acl, "_c.*")
     vector = embed(F.col("content"), embedder or HashingEmbedder())

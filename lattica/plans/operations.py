@@ -89,16 +89,17 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql="""SELECT endpoint, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, count(*) AS total_requests,
-  count(*) FILTER (WHERE hit) / count(*)::DOUBLE AS hit_rate, 1.0::DOUBLE - count(*) FILTER (WHERE hit) / count(*)::DOUBLE AS miss_rate FROM (
-  SELECT event_type AS endpoint, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY props ORDER BY ts, event_id) < 3600000000, FALSE) AS hit FROM events)
+    sql="""SELECT endpoint, count(*) FILTER (WHERE repeated) AS repeated_requests, count(*) AS total_requests,
+  count(*) FILTER (WHERE repeated) / count(*)::DOUBLE AS repeated_share FROM (
+  SELECT event_type AS endpoint, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY props ORDER BY ts, event_id) < 3600000000, FALSE) AS repeated FROM events)
 GROUP BY endpoint""",
     headline=True,
 )
-def cache_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hit rates of a cache keyed by the request payload with an hour to live."""
-    replayed = telemetry.cache_replay(tables.requests(spark, sf_dir), "props", "ts", "event_id", 3600)
-    return telemetry.cache_stats(replayed, ["endpoint"])
+def repeated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per endpoint whose payload was sent within the hour before."""
+    marked = telemetry.repeats_within(tables.requests(spark, sf_dir), "props", "ts", "event_id", 3600)
+    counted = marked.groupBy("endpoint").agg(F.count_if("repeated").alias("repeated_requests"), F.count("*").alias("total_requests"))
+    return counted.withColumn("repeated_share", F.col("repeated_requests") / F.col("total_requests"))
 
 
 _STREAK_SQL = """
@@ -232,16 +233,16 @@ def password_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql="""SELECT p_type, '| name | brand |' || chr(10) || '| --- | --- |' || chr(10) ||
-  string_agg('| ' || p_name || ' | ' || p_brand || ' |' || chr(10), '' ORDER BY p_name, p_brand) AS markdown
-FROM (SELECT DISTINCT p_type, p_name, p_brand FROM part) GROUP BY p_type"""
+    sql="""SELECT l_orderkey, '| line | part |' || chr(10) || '| --- | --- |' || chr(10) ||
+  string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' |' || chr(10), '' ORDER BY l_linenumber, l_partkey) AS markdown
+FROM lineitem GROUP BY l_orderkey"""
 )
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct name and brand pairs of each part type as a Markdown table."""
-    rows = tables.read(spark, sf_dir, "part").select("p_type", "p_name", "p_brand").distinct()
-    tabled = rows.groupBy("p_type").agg(F.array_sort(F.collect_list(F.array("p_name", "p_brand"))).alias("rows"))
-    headers = F.array(F.lit("name"), F.lit("brand"))
-    return tabled.select("p_type", text_functions.table_markdown(headers, F.col("rows")).alias("markdown"))
+    """Lines of each order as a Markdown table; an order has a handful of lines."""
+    rows = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("line"))
+    tabled = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    cells = F.transform("lines", lambda x: F.array(x["l_linenumber"].cast("string"), x["l_partkey"].cast("string")))
+    return tabled.select("l_orderkey", text_functions.table_markdown(F.array(F.lit("line"), F.lit("part")), cells).alias("markdown"))
 
 
 @query(sql="SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL")

@@ -11,9 +11,10 @@ from lattica.operators import answers, evaluation, fusion, graph, keyword_search
 from lattica.operators.fusion import RetrievalConfig
 from lattica.plans import tables
 from lattica.plans.registry import query
-from lattica.session import spread
 
 DIMENSION = 64
+# Digits of scores in results; ranks are decided on RANK_DIGITS of scoring.
+SCORE_DIGITS = 6
 
 
 def retrieve(
@@ -34,23 +35,19 @@ def retrieve(
     chunks before any ranking.
     """
     embedder = embedder or vectors.HashingEmbedder(DIMENSION)
-    # Both searches read this one spread, which is nothing on a table of many splits.
-    readable = spread(visible_to(chunks, principal))
+    readable = visible_to(chunks, principal)
     min_score = config.min_score or None
     asked = questions.select("request_id", vectors.embed(F.col("question"), embedder).alias("vector"))
     embedded = readable if "vector" in chunks.columns else readable.withColumn("vector", vectors.embed(F.col("content"), embedder))
     by_vector = vectors.search(
-        embedded, asked, config.vector_top_k, min_score=min_score, id_column="chunk_id", vector="vector", balanced=True
+        embedded, asked, config.vector_top_k, min_score=min_score, id_column="chunk_id", vector="vector", carry="content"
     )
     by_keyword = keyword_search.search(
-        readable, questions, config.keyword_top_k, min_score=min_score, id_column="chunk_id", text="content", balanced=True
+        readable, questions, config.keyword_top_k, min_score=min_score, id_column="chunk_id", text="content", carry="content"
     )
-    found = by_vector.select("request_id", "item_id", "score", F.lit("vector").alias("result_type")).unionByName(
-        by_keyword.select("request_id", "item_id", "score", F.lit("keyword").alias("result_type"))
-    )
-    texts = readable.select(F.col("chunk_id").alias("item_id"), "content")
-    chunk_hits = found.join(texts, "item_id").select(
-        "request_id", "result_type", F.col("item_id").cast("string").alias("hit_id"), "content", "score"
+    columns = ["request_id", F.col("item_id").cast("string").alias("hit_id"), "content", F.round("score", SCORE_DIGITS).alias("score")]
+    chunk_hits = by_vector.select(F.lit("vector").alias("result_type"), *columns).unionByName(
+        by_keyword.select(F.lit("keyword").alias("result_type"), *columns)
     )
     by_graph = graph.search(nodes, edges, questions, config.vector_top_k, depth=1).select(
         "request_id", F.lit("graph").alias("result_type"), "hit_id", "content", "score"
@@ -72,7 +69,7 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda line: line != "")
     acl = ["access_level", "owner_id", "department", "required_roles", "allowed_users"]
     return docs.select("document_id", *acl, F.posexplode(lines).alias("chunk_index", "content")).withColumn(
-        "chunk_id", F.col("document_id") * 1_000_000 + F.col("chunk_index")
+        "chunk_id", F.concat_ws(":", "document_id", "chunk_index")
     )
 
 
@@ -142,19 +139,19 @@ def _cosine_sql(out: str, requests: str, items: str, source: str, key: str, k: i
 {out}_dots AS (SELECT q.request_id, i.{key}, sum(q.weight * i.weight) AS dot FROM {requests} q JOIN {items} i USING (position) GROUP BY ALL),
 {out}_scores AS (
   SELECT q.request_id, s.{key},
-    round(coalesce(CASE WHEN qn.norm > 0 AND n.norm > 0 THEN d.dot / (qn.norm * n.norm) END, 0::DOUBLE), 6) + 0.0::DOUBLE AS score
+    round(coalesce(CASE WHEN qn.norm > 0 AND n.norm > 0 THEN d.dot / (qn.norm * n.norm) END, 0::DOUBLE), 12) + 0.0::DOUBLE AS score
   FROM questions q CROSS JOIN (SELECT {key} FROM {source}) s
   LEFT JOIN {requests}_norm qn ON qn.request_id = q.request_id LEFT JOIN {items}_norm n ON n.{key} = s.{key}
   LEFT JOIN {out}_dots d ON d.request_id = q.request_id AND d.{key} = s.{key}),
-{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, {key}) AS rank FROM {out}_scores) WHERE rank <= {k})"""
+{out} AS (SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, {key}) AS rank FROM {out}_scores) WHERE rank <= {k})"""
 
 
 def _keyword_sql(out: str, source: str, key: str, text: str, k: int) -> str:
     return f"""
 {out}_tf AS (SELECT {key}, w AS term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_split_to_array(lower({text}), '\\s+')) AS w FROM {source}) GROUP BY ALL),
-{out}_scores AS (SELECT t.request_id, f.{key}, round(sum(f.tf / (f.tf + 1.2::DOUBLE)) / any_value(c.n_terms), 6) AS score
+{out}_scores AS (SELECT t.request_id, f.{key}, round(sum(f.tf / (f.tf + 1.2::DOUBLE)) / any_value(c.n_terms), 12) AS score
   FROM terms t JOIN {out}_tf f USING (term) JOIN term_counts c USING (request_id) GROUP BY t.request_id, f.{key}),
-{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, {key}) AS rank FROM {out}_scores WHERE score > 0) WHERE rank <= {k})"""
+{out} AS (SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, {key}) AS rank FROM {out}_scores WHERE score > 0) WHERE rank <= {k})"""
 
 
 _CENTROID_SQL = """
@@ -179,16 +176,16 @@ def _centroid_search(spark: SparkSession, sf_dir: str, k: int, principal: Princi
 
 @query(
     sql=_CENTROID_SQL
-    + """scored AS (SELECT c.label AS request_id, e.vec_id, round(list_cosine_similarity(c.vector, e.embedding::DOUBLE[]), 6) AS score
+    + """scored AS (SELECT c.label AS request_id, e.vec_id, round(list_cosine_similarity(c.vector, e.embedding::DOUBLE[]), 12) AS score
   FROM centroid c CROSS JOIN embeddings e)
-SELECT CAST(request_id AS BIGINT) AS request_id, vec_id, score, rank FROM (
+SELECT CAST(request_id AS BIGINT) AS request_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20""",
     headline=True,
 )
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors nearest to the mean of each label."""
     return _centroid_search(spark, sf_dir, 20).select(
-        "request_id", F.col("item_id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank")
+        "request_id", F.col("item_id").alias("vec_id"), F.round("score", SCORE_DIGITS).alias("score"), F.col("rank").cast("bigint").alias("rank")
     )
 
 
@@ -197,20 +194,20 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     + tables.DOCUMENTS_SQL
     + f""",
 readable AS (SELECT e.* FROM embeddings e JOIN docs ON document_id = vec_id WHERE {tables.acl_sql('manager')}),
-scored AS (SELECT c.label AS request_id, e.vec_id, round(list_cosine_similarity(c.vector, e.embedding::DOUBLE[]), 6) AS score
+scored AS (SELECT c.label AS request_id, e.vec_id, round(list_cosine_similarity(c.vector, e.embedding::DOUBLE[]), 12) AS score
   FROM centroid c CROSS JOIN readable e)
-SELECT CAST(request_id AS BIGINT) AS request_id, vec_id, score, rank FROM (
+SELECT CAST(request_id AS BIGINT) AS request_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20"""
 )
 def vector_search_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among the vectors a manager may read: access control below the top-k."""
     found = _centroid_search(spark, sf_dir, 20, tables.PRINCIPALS["manager"])
-    return found.select("request_id", F.col("item_id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+    return found.select("request_id", F.col("item_id").alias("vec_id"), F.round("score", SCORE_DIGITS).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
     sql=_CENTROID_SQL
-    + """scored AS (SELECT c.label AS request_id, e.label AS found, e.vec_id, round(list_cosine_similarity(c.vector, e.embedding::DOUBLE[]), 6) AS score
+    + """scored AS (SELECT c.label AS request_id, e.label AS found, e.vec_id, round(list_cosine_similarity(c.vector, e.embedding::DOUBLE[]), 12) AS score
   FROM centroid c CROSS JOIN embeddings e),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT CAST(request_id AS BIGINT) AS request_id,
@@ -254,7 +251,7 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keyword_search.search(
         tables.documents(spark, sf_dir), questions(spark, sf_dir), 10, id_column="document_id"
     )
-    return found.select("request_id", F.col("item_id").alias("document_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+    return found.select("request_id", F.col("item_id").alias("document_id"), F.round("score", SCORE_DIGITS).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _READABLE_SQL = f"readable AS (SELECT * FROM docs WHERE {tables.acl_sql('manager')})"
@@ -309,7 +306,7 @@ _HYBRID_SQL = tables.with_sql(
     tables.DOCUMENTS_SQL,
     _READABLE_SQL,
     """
-lines AS (SELECT document_id * 1000000 + n AS chunk_id, content FROM (
+lines AS (SELECT document_id || ':' || n AS chunk_id, content FROM (
   SELECT document_id, line AS content, row_number() OVER (PARTITION BY document_id ORDER BY line_no) - 1 AS n FROM (
     SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM readable)
   WHERE line <> ''))""",
@@ -320,9 +317,9 @@ lines AS (SELECT document_id * 1000000 + n AS chunk_id, content FROM (
     _DOCGRAPH_SQL,
     """
 hits AS (
-  SELECT request_id, 'vector' AS result_type, 0 AS priority, 1.0::DOUBLE AS weight, CAST(chunk_id AS VARCHAR) AS hit_id, content, score FROM by_vector JOIN lines USING (chunk_id)
+  SELECT request_id, 'vector' AS result_type, 0 AS priority, 1.0::DOUBLE AS weight, chunk_id AS hit_id, content, score FROM by_vector JOIN lines USING (chunk_id)
   UNION ALL SELECT request_id, 'graph', 1, 1.5::DOUBLE, hit_id, content, score FROM graph_found WHERE content <> ''
-  UNION ALL SELECT request_id, 'keyword', 2, 0.8::DOUBLE, CAST(chunk_id AS VARCHAR), content, score FROM by_keyword JOIN lines USING (chunk_id)),
+  UNION ALL SELECT request_id, 'keyword', 2, 0.8::DOUBLE, chunk_id, content, score FROM by_keyword JOIN lines USING (chunk_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, result_type ORDER BY score DESC, hit_id) AS rn FROM hits),
 fused AS (
   SELECT request_id, substr(content, 1, 100) AS content_key, round(sum(weight / (60.0::DOUBLE + rn)), 9) AS score,
@@ -359,10 +356,10 @@ def hybrid_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_results(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """Whole documents found by keyword, as results to build answers from."""
     docs = tables.documents(spark, sf_dir)
-    found = keyword_search.search(docs, questions(spark, sf_dir), k, id_column="document_id")
-    texts = docs.select(F.col("document_id").alias("item_id"), F.col("text").alias("content"))
-    return found.join(texts, "item_id").select(
-        "request_id", F.col("rank").cast("bigint").alias("rank"), F.col("item_id").cast("string").alias("source"), "content", "score"
+    found = keyword_search.search(docs, questions(spark, sf_dir), k, id_column="document_id", carry="text")
+    return found.select(
+        "request_id", F.col("rank").cast("bigint").alias("rank"), F.col("item_id").cast("string").alias("source"),
+        F.col("text").alias("content"), F.round("score", SCORE_DIGITS).alias("score"),
     )
 
 

@@ -64,15 +64,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of few input splits one partition per core.
-
-    Only for scans that feed a CPU-heavy stage.  A large table has far more
-    splits than cores and passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores:
-        return df
-    return df.repartition(cores)

@@ -172,6 +172,7 @@ def decode_xlsx(data: bytes, sheet_filter: list[str] | None = None, first_row_he
         grid = []
         for row in root.iter(f"{_S}row"):
             cells: dict[int, str] = {}
+            column = -1
             for cell in row.findall(f"{_S}c"):
                 kind, value = cell.get("t"), cell.find(f"{_S}v")
                 text = value.text if value is not None else None
@@ -179,7 +180,9 @@ def decode_xlsx(data: bytes, sheet_filter: list[str] | None = None, first_row_he
                     text = shared[int(text)]
                 elif kind == "inlineStr":
                     text = "".join(t.text or "" for t in cell.iter(f"{_S}t"))
-                cells[_column_index(cell.get("r"))] = cell_text(kind, text)
+                # A cell without a reference follows the one before.
+                column = _column_index(cell.get("r")) if cell.get("r") else column + 1
+                cells[column] = cell_text(kind, text)
             grid.append(cells)
         width = max((max(c) + 1 for c in grid if c), default=0)
         rows = [[c.get(i, "") for i in range(width)] for c in grid]

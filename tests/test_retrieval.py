@@ -12,23 +12,22 @@ def _random_vectors(spark, n, width, seed, key):
     return spark.createDataFrame(rows, f"{key} long, payload array<double>"), np.array([v for _, v in rows])
 
 
-def test_search_equals_brute_force_on_both_paths(spark):
+def test_search_equals_brute_force_in_blocks(spark):
     items, a = _random_vectors(spark, 300, 8, 1, "item_id")
     asked, b = _random_vectors(spark, 25, 8, 2, "request_id")
-    sims = np.round((b / np.linalg.norm(b, axis=1, keepdims=True)) @ (a / np.linalg.norm(a, axis=1, keepdims=True)).T, 6)
+    sims = np.round((b / np.linalg.norm(b, axis=1, keepdims=True)) @ (a / np.linalg.norm(a, axis=1, keepdims=True)).T, 12)
     expected = {(q, int(i), r + 1) for q in range(25) for r, i in enumerate(np.lexsort((np.arange(300), -sims[q]))[:7])}
     scan = scoring.top_matches(items, asked, scoring.cosine_kernel(), 7)
-    grid = scoring.top_matches(items, asked, scoring.cosine_kernel(), 7, max_requests=10)
-    for found in (scan, grid):
+    blocks = scoring.top_matches(items, asked, scoring.cosine_kernel(), 7, block_bytes=1000)
+    for found in (scan, blocks):
         assert {(r.request_id, r.item_id, r["rank"]) for r in found.collect()} == expected
 
 
 def test_ties_are_broken_by_id_across_tasks(spark):
     items = spark.range(2000).select(F.col("id").alias("item_id"), F.lit("same words here").alias("payload")).repartition(4)
     asked = spark.createDataFrame([(1, "words here"), (2, "nothing")], "request_id long, question string")
-    for limit in (100, 1):
-        found = keyword_search.search(items.withColumnRenamed("payload", "text"), asked, 5, id_column="item_id", max_requests=limit)
-        assert [(r.request_id, r.item_id) for r in found.orderBy("rank").collect()] == [(1, i) for i in range(5)]
+    found = keyword_search.search(items.withColumnRenamed("payload", "text"), asked, 5, id_column="item_id", carry="text")
+    assert [(r.request_id, r.item_id, r.text) for r in found.orderBy("rank").collect()] == [(1, i, "same words here") for i in range(5)]
 
 
 def test_substring_kernel_with_string_ids(spark):
