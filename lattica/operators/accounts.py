@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +44,50 @@ def failure_streaks(logins: DataFrame, user: str, at: str, order: str, failed: C
     return joined.withColumn("failed_attempts", streak).drop("_fail", "_ok", "_hour", "_island", "_streak", "_carry")
 
 
-def lockouts(streaks: DataFrame, at: str, failed: Column, limit: int = MAX_FAILED_ATTEMPTS) -> DataFrame:
-    """Failures that reach the limit, with the end of the lock they start."""
-    return streaks.filter(failed & (F.col("failed_attempts") >= limit)).withColumn(
-        "locked_until", F.col(at) + F.expr(f"INTERVAL {LOCKOUT_MINUTES} MINUTES")
-    )
+def attempt(failed_attempts: int, locked_until: int | None, at: int, success: bool) -> tuple[str, int, int | None]:
+    """Outcome and new state of one login attempt; instants are microseconds.
+
+    While locked an attempt is refused and changes nothing; a success clears
+    the counter, a failure raises it and locks the account at the limit.
+    """
+    if locked_until is not None and at < locked_until:
+        return "refused", failed_attempts, locked_until
+    if success:
+        return "success", 0, None
+    failed_attempts += 1
+    if failed_attempts >= MAX_FAILED_ATTEMPTS:
+        return "locked", failed_attempts, at + LOCKOUT_MINUTES * 60_000_000
+    return "failure", failed_attempts, None
+
+
+def judged(attempts: DataFrame, user: str, at: str, order: str, success: Column) -> DataFrame:
+    """Every attempt with its outcome, failed_attempts and locked_until.
+
+    Each attempt depends on the one before, so the attempts of a user are read
+    in order by one task; they stream through it, and its memory holds the
+    state of one user.
+    """
+    columns = [user, order, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"), F.coalesce(success, F.lit(False)).alias("_ok")]
+    ordered = attempts.select(*columns).repartition(user).sortWithinPartitions(user, "_us", order)
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+
+    def run(batches):
+        current, state = object(), (0, None)
+        for batch in batches:
+            out = []
+            for who, us, ok in zip(*(batch.column(c).to_pylist() for c in (user, "_us", "_ok"))):
+                if who != current:
+                    current, state = who, (0, None)
+                outcome, *state = attempt(*state, us, ok)
+                out.append((outcome, *state))
+            names, failed, until = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(user), batch.column(order), batch.column("_us"), pa.array(names, pa.string()), pa.array(failed, pa.int64()), pa.array(until, pa.int64())],
+                names=[user, order, "_us", "outcome", "failed_attempts", "_until"],
+            )
+
+    found = ordered.mapInArrow(run, f"{user} {kinds[user]}, {order} {kinds[order]}, _us long, outcome string, failed_attempts long, _until long")
+    return found.select(user, order, F.timestamp_micros("_us").alias(at), "outcome", "failed_attempts", F.timestamp_micros("_until").alias("locked_until"))
 
 
 def usable_tokens(tokens: DataFrame, blacklist: DataFrame, as_of: Column) -> DataFrame:

@@ -154,14 +154,18 @@ def generate(prompts: DataFrame, model: AnswerModel) -> DataFrame:
     @F.pandas_udf("struct<answer:string,error:string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            answers, errors = [], []
-            for text in texts:
-                try:
-                    answers.append(model.generate_batch([text])[0])
-                    errors.append(None)
-                except Exception as problem:
-                    answers.append(None)
-                    errors.append(str(problem))
+            try:
+                answers, errors = list(model.generate_batch(texts.tolist())), [None] * len(texts)
+            except Exception:
+                # Some prompt failed: one at a time, so that it fails alone.
+                answers, errors = [], []
+                for text in texts:
+                    try:
+                        answers.append(model.generate_batch([text])[0])
+                        errors.append(None)
+                    except Exception as problem:
+                        answers.append(None)
+                        errors.append(str(problem))
             yield pd.DataFrame({"answer": answers, "error": errors})
 
     return prompts.select("request_id", run("prompt").alias("_out")).select("request_id", "_out.*")

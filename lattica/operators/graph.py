@@ -166,21 +166,27 @@ def search(
     questions: DataFrame,
     limit: int = 20,
     depth: int = 1,
+    seed_limit: int | None = None,
+    relation_limit: int | None = None,
 ) -> DataFrame:
     """Graph context per question: matching nodes, what they reach, and their relations.
 
     `questions` has (request_id, question).  Seeds are the nodes whose text
     holds most of the keywords.  The result (request_id, kind, hit_id, content,
-    score) lists seeds, then reached nodes by distance, then relations, at most
+    score) lists up to `seed_limit` seeds (half of `limit` by default), reached
+    nodes by distance, and up to `relation_limit` relations (a quarter), at most
     `limit` rows per question.
     """
+    seed_limit = max(1, limit // 2) if seed_limit is None else seed_limit
+    relation_limit = limit // 4 if relation_limit is None else relation_limit
+    near_limit = max(0, limit - seed_limit - relation_limit)
     plain_unions(nodes.sparkSession)
     terms = questions.select("request_id", F.array_distinct(keywords(F.col("question"))).alias("payload"))
     matched = top_matches(
         nodes.select(F.col("node_id").alias("item_id"), F.col("text").alias("payload")),
         terms,
         containment_kernel(),
-        limit,
+        seed_limit,
     ).select("request_id", F.col("item_id").alias("node_id"), F.col("rank").cast("bigint").alias("seed_rank"))
 
     # A handful of rows per question from here on, used several times below:
@@ -190,12 +196,11 @@ def search(
     found = matched.withColumn("hops", F.lit(0).cast("bigint"))
     frontier = matched.select("request_id", "node_id")
     for hop in range(1, depth + 1):
-        # At most limit * hop nodes are known already, so the first
-        # limit * (hop + 1) neighbours of a node hold every one that can be
-        # listed, and a hub hands on no more than these.
+        # So many nodes are known at most, and so many more can be listed:
+        # a hub hands on no more neighbours than these.
         nearby = top_k_per_group(
             steps.join(frontier.select("node_id").distinct(), "node_id", "left_semi").distinct(),
-            ["node_id"], [F.col("neighbor")], limit * (hop + 1), rank="_n",
+            ["node_id"], [F.col("neighbor")], seed_limit + near_limit * hop, rank="_n",
         )
         reached = (
             frontier.join(nearby, "node_id")
@@ -203,13 +208,16 @@ def search(
             .distinct()
             .join(found.select("request_id", "node_id"), ["request_id", "node_id"], "left_anti")
         )
-        # Nodes are listed by distance, so a level never contributes more than `limit`.
-        reached = top_k_per_group(reached, ["request_id"], [F.col("node_id")], limit, rank="seed_rank").withColumn(
+        # Nodes are listed by distance, so a level never contributes more than its share.
+        reached = top_k_per_group(reached, ["request_id"], [F.col("node_id")], near_limit, rank="seed_rank").withColumn(
             "seed_rank", F.col("seed_rank").cast("bigint")
         )
         frontier = reached.select("request_id", "node_id")
         found = found.unionByName(reached.withColumn("hops", F.lit(hop).cast("bigint")))
 
+    if depth > 1:
+        nearest = top_k_per_group(found.filter("hops > 0"), ["request_id"], [F.col("hops"), F.col("seed_rank")], near_limit, rank="_n").drop("_n")
+        found = found.filter("hops = 0").unionByName(nearest)
     found = cut_lineage(found)
     described = found.join(nodes, "node_id").select(
         "request_id",
@@ -220,17 +228,15 @@ def search(
         "hops",
         "seed_rank",
     )
-    # Relations are listed after nodes: only requests with room left need any,
-    # and the first `limit` relations of each of their nodes suffice.
-    room = found.groupBy("request_id").agg(F.count("*").alias("_nodes")).filter(F.col("_nodes") < limit)
-    inside = found.select("request_id", "node_id").join(room.select("request_id"), "request_id", "left_semi")
+    # The first `relation_limit` relations of each node suffice.
+    inside = found.select("request_id", "node_id")
     order = [F.col("src"), F.col("predicate"), F.col("dst")]
     ends = edges.withColumn("node_id", F.explode(F.array_distinct(F.array("src", "dst"))))
     per_node = top_k_per_group(
-        ends.join(inside.select("node_id").distinct(), "node_id", "left_semi"), ["node_id"], order, limit, rank="_e"
+        ends.join(inside.select("node_id").distinct(), "node_id", "left_semi"), ["node_id"], order, relation_limit, rank="_e"
     )
     touching = top_k_per_group(
-        inside.join(per_node, "node_id").select("request_id", *edges.columns).distinct(), ["request_id"], order, limit, rank="_n"
+        inside.join(per_node, "node_id").select("request_id", *edges.columns).distinct(), ["request_id"], order, relation_limit, rank="_n"
     )
     relations = edge_texts(touching, nodes).select(
         "request_id",

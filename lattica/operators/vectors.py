@@ -79,11 +79,11 @@ def embed(text: Column, embedder: Embedder) -> Column:
 def embed_distinct(df: DataFrame, text: str, embedder: Embedder, vector: str = "vector") -> DataFrame:
     """Embed every distinct text once and join the vectors back.
 
-    Copies collapse on the map side before the expensive call, and the join
-    moves digests rather than texts.
+    Copies collapse on the map side before the expensive call; any copy stands
+    for the others, so texts need no ordering.
     """
     keyed = df.withColumn("_digest", F.sha2(F.col(text), 256))
-    distinct = keyed.groupBy("_digest").agg(F.min(text).alias("_text"))
+    distinct = keyed.groupBy("_digest").agg(F.any_value(text).alias("_text"))
     vectors = distinct.select("_digest", embed(F.col("_text"), embedder).alias(vector))
     return keyed.join(vectors, "_digest").drop("_digest")
 

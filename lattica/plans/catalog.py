@@ -123,10 +123,10 @@ FROM chunk_rows JOIN live USING (document_id) GROUP BY access_level"""
 def live_chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of live documents per access level: deleting a document hides its chunks."""
     docs = tables.live_documents(spark, sf_dir)
-    chunks = catalog.live_chunks(tables.chunks(spark, sf_dir), docs)
+    sizes = tables.chunks(spark, sf_dir).select("document_id", F.octet_length("content").cast("bigint").alias("size"))
     levels = docs.select("document_id", "access_level")
-    return chunks.join(levels, "document_id").groupBy("access_level").agg(
-        F.count("*").alias("chunks"), F.sum(F.octet_length("content").cast("bigint")).alias("bytes")
+    return catalog.live_chunks(sizes, docs).join(levels, "document_id").groupBy("access_level").agg(
+        F.count("*").alias("chunks"), F.sum("size").alias("bytes")
     )
 
 

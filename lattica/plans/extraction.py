@@ -288,11 +288,19 @@ def _relations_sql(out: str, source: str, rules: tuple[RelationRule, ...]) -> st
   SELECT s.document_id, s.text AS subject, s.start AS subject_start, o.text AS object, o.start AS object_start, r.predicate, r.confidence, r.keywords, r.max_distance,
     CASE WHEN s.start < o.start THEN s."end" ELSE o."end" END AS first_end, CASE WHEN s.start < o.start THEN o.start ELSE s.start END AS second_start,
     CASE WHEN s.start < o.start THEN o."end" ELSE s."end" END AS second_end
-  FROM {out}_rules r JOIN {source} s ON s.entity_type = r.subject_type JOIN {source} o ON o.entity_type = r.object_type AND o.document_id = s.document_id AND o.start <> s.start),
+  FROM {out}_rules r JOIN {source} s ON s.entity_type = r.subject_type JOIN {source} o ON o.entity_type = r.object_type AND o.document_id = s.document_id AND o.start <> s.start
+    AND o.start <= s."end" + r.max_distance AND s.start <= o."end" + r.max_distance),
+{out}_slices AS (
+  SELECT document_id, first_end, upto, substr(h, 2*first_end+1, 2*(least(upto, n) - first_end)) AS slice
+  FROM (SELECT DISTINCT document_id, first_end, second_end + max_distance AS upto FROM {out}_pairs) JOIN {out}_bytes USING (document_id)),
+{out}_words AS (SELECT DISTINCT unnest(keywords) AS k FROM {out}_rules),
+{out}_held AS (
+  SELECT document_id, first_end, upto, k FROM {out}_slices, {out}_words
+  WHERE contains(slice, k) AND regexp_matches(slice, '^(?:..)*' || k)),
 {out} AS (
-  SELECT p.document_id, subject, subject_start, predicate, object, object_start, confidence FROM {out}_pairs p JOIN {out}_bytes b USING (document_id)
-  WHERE greatest(second_start - first_end, 0) <= max_distance
-    AND len(list_filter(keywords, lambda k: regexp_matches(substr(h, 2*first_end+1, 2*(least(second_end + max_distance, n) - first_end)), '^(?:..)*' || k))) > 0)"""
+  SELECT document_id, subject, subject_start, predicate, object, object_start, confidence FROM {out}_pairs p
+  WHERE EXISTS (SELECT 1 FROM {out}_held w WHERE w.document_id = p.document_id AND w.first_end = p.first_end
+    AND w.upto = p.second_end + p.max_distance AND list_contains(p.keywords, w.k)))"""
 
 
 _RELATION_COLUMNS = ["document_id", "subject", "subject_start", "predicate", "object", "object_start", "confidence"]

@@ -11,6 +11,7 @@ from lattica.operators import answers, evaluation, fusion, graph, keyword_search
 from lattica.operators.fusion import RetrievalConfig
 from lattica.plans import tables
 from lattica.plans.registry import query
+from lattica.session import cut_lineage
 
 DIMENSION = 64
 # Digits of scores in results; ranks are decided on RANK_DIGITS of scoring.
@@ -26,9 +27,13 @@ def retrieve(
     embedder: vectors.Embedder | None = None,
     config: RetrievalConfig = RetrievalConfig(),
     top_k: int | None = None,
+    document_filter: DataFrame | None = None,
 ) -> DataFrame:
     """Fused results per question.
 
+    `document_filter` (document_id) limits the chunks; `config.min_score` holds
+    for the hits of all three searches, `config.graph_depth` for the graph.
+
     `questions` (request_id, question); `chunks` (chunk_id, content and ACL
     columns, and a vector column when already embedded); `nodes`/`edges` hold
     what the principal may see of the graph.  Access control is applied to the
@@ -36,6 +41,8 @@ def retrieve(
     """
     embedder = embedder or vectors.HashingEmbedder(DIMENSION)
     readable = visible_to(chunks, principal)
+    if document_filter is not None:
+        readable = readable.join(document_filter.select("document_id").distinct(), "document_id", "left_semi")
     min_score = config.min_score or None
     asked = questions.select("request_id", vectors.embed(F.col("question"), embedder).alias("vector"))
     embedded = readable if "vector" in chunks.columns else readable.withColumn("vector", vectors.embed(F.col("content"), embedder))
@@ -49,9 +56,11 @@ def retrieve(
     chunk_hits = by_vector.select(F.lit("vector").alias("result_type"), *columns).unionByName(
         by_keyword.select(F.lit("keyword").alias("result_type"), *columns)
     )
-    by_graph = graph.search(nodes, edges, questions, config.vector_top_k, depth=1).select(
+    by_graph = graph.search(nodes, edges, questions, config.vector_top_k, depth=config.graph_depth).select(
         "request_id", F.lit("graph").alias("result_type"), "hit_id", "content", "score"
     )
+    if min_score is not None:
+        by_graph = by_graph.filter(F.col("score") >= min_score)
     return fusion.fuse(chunk_hits.unionByName(by_graph), config, top_k)
 
 
@@ -109,7 +118,8 @@ def document_graph(spark: SparkSession, sf_dir: str, principal: Principal) -> tu
 def _results(spark: SparkSession, sf_dir: str, name: str = "manager", top_k: int | None = None) -> DataFrame:
     principal = tables.PRINCIPALS[name]
     nodes, edges = document_graph(spark, sf_dir, principal)
-    return retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), nodes, edges, principal, top_k=top_k)
+    config = RetrievalConfig(graph_depth=1)
+    return retrieve(questions(spark, sf_dir), chunk_table(spark, sf_dir), nodes, edges, principal, config=config, top_k=top_k)
 
 
 # --- SQL of the parts -----------------------------------------------------------
@@ -268,12 +278,12 @@ gsteps AS (SELECT src AS node_id, dst AS neighbor FROM gedges UNION ALL SELECT d
 gwords AS (SELECT DISTINCT request_id, w FROM raw_words),
 gseeds AS (SELECT * FROM (
   SELECT request_id, node_id, row_number() OVER (PARTITION BY request_id ORDER BY hits DESC, node_id) AS seed_rank FROM (
-    SELECT request_id, node_id, count(*) AS hits FROM gwords JOIN gnodes ON contains(text, w) GROUP BY ALL)) WHERE seed_rank <= 20),
+    SELECT request_id, node_id, count(*) AS hits FROM gwords JOIN gnodes ON contains(text, w) GROUP BY ALL)) WHERE seed_rank <= 10),
 greached AS (
   SELECT request_id, neighbor AS node_id, row_number() OVER (PARTITION BY request_id ORDER BY neighbor) AS seed_rank FROM (
     SELECT DISTINCT s.request_id, t.neighbor FROM gseeds s JOIN gsteps t USING (node_id)
     WHERE NOT EXISTS (SELECT 1 FROM gseeds x WHERE x.request_id = s.request_id AND x.node_id = t.neighbor))),
-gfound AS (SELECT *, 0 AS hops FROM gseeds UNION ALL SELECT *, 1 FROM greached WHERE seed_rank <= 20),
+gfound AS (SELECT *, 0 AS hops FROM gseeds UNION ALL SELECT *, 1 FROM greached WHERE seed_rank <= 5),
 gtouching AS (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY src, predicate, dst) AS n FROM (
     SELECT DISTINCT f.request_id, e.* FROM gfound f JOIN gedges e ON e.src = f.node_id OR e.dst = f.node_id)),
@@ -283,7 +293,7 @@ glisted AS (
   UNION ALL
   SELECT t.request_id, 'relation', t.src || '|' || t.predicate || '|' || t.dst,
     coalesce(s.text, t.src) || ' [' || t.predicate || '] ' || coalesce(o.text, t.dst), t.confidence, NULL, t.n
-  FROM gtouching t LEFT JOIN gnodes s ON s.node_id = t.src LEFT JOIN gnodes o ON o.node_id = t.dst WHERE t.n <= 20),
+  FROM gtouching t LEFT JOIN gnodes s ON s.node_id = t.src LEFT JOIN gnodes o ON o.node_id = t.dst WHERE t.n <= 5),
 graph_found AS (SELECT * FROM (
   SELECT request_id, kind, hit_id, content, score,
     row_number() OVER (PARTITION BY request_id ORDER BY kind, hops NULLS FIRST, seed_rank, hit_id) AS position FROM glisted) WHERE position <= 20)"""
@@ -350,6 +360,34 @@ def hybrid_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.confidence(_results(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    sql=_HYBRID_SQL.rstrip()
+    + f""",
+running AS (SELECT *, sum(strlen(content)) OVER (PARTITION BY request_id ORDER BY rank) AS used FROM final WHERE rank <= 5),
+quoted AS (
+  SELECT request_id, string_agg(substr(content, 1, 200) || ' [{answers.SOURCE_MARK}: ' || rank || ']', chr(10) ORDER BY rank) AS answer,
+    string_agg(hit_id, ',' ORDER BY rank) AS sources
+  FROM running WHERE used <= 8000 GROUP BY request_id)
+SELECT q.request_id, coalesce(answer, '{answers.NOT_FOUND_ANSWER}') AS answer, coalesce(sources, '') AS sources,
+  coalesce(c.confidence, 0.0::DOUBLE) AS confidence
+FROM questions q LEFT JOIN quoted USING (request_id) LEFT JOIN (
+  SELECT request_id, round(least(avg(score) * 10, 1.0::DOUBLE), 6) AS confidence FROM final WHERE rank <= 5 GROUP BY request_id) c USING (request_id)"""
+)
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question answering end to end: search, fuse, pack, answer, cite, with the confidence of each answer."""
+    asked = questions(spark, sf_dir)
+    results = cut_lineage(_results(spark, sf_dir).withColumnRenamed("hit_id", "source"))  # five rows a question, used three times
+    packed = fusion.pack_context(results, ["request_id"], [F.col("rank")])
+    answered = answers.extractive_answers(asked, packed)
+    cited = answers.citations(answered, packed).groupBy("request_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", "source"))), lambda x: x["source"]), ",").alias("sources")
+    )
+    sure = fusion.confidence(results).withColumn("confidence", F.round("confidence", 6))
+    return answered.join(cited, "request_id", "left").join(sure, "request_id", "left").select(
+        "request_id", "answer", F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
+    )
+
+
 # --- prompts, answers, citations ------------------------------------------------
 
 

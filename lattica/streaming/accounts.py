@@ -7,28 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lattica.operators.accounts import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
+from lattica.operators.accounts import attempt
 
 _OUT = "user_id string, at timestamp, outcome string, failed_attempts int, locked_until timestamp"
 _STATE = "failed_attempts int, locked_until timestamp"
 
 
-def attempt(failed_attempts: int, locked_until, at, success: bool) -> tuple[str, int, object]:
-    """Outcome and new state of one login attempt.
-
-    While locked an attempt is refused and changes nothing; a success clears
-    the counter, a failure raises it and locks the account at the limit.
-    """
-    if locked_until is not None and at < locked_until:
-        return "refused", failed_attempts, locked_until
-    if success:
-        return "success", 0, None
-    failed_attempts += 1
-    if failed_attempts >= MAX_FAILED_ATTEMPTS:
-        return "locked", failed_attempts, at + pd.Timedelta(minutes=LOCKOUT_MINUTES)
-    return "failure", failed_attempts, None
-
-
 def lockouts(attempts: DataFrame, timeout_days: int = 30, late: str = "1 hour") -> DataFrame:
     """Every login attempt with its outcome.
 
@@ -43,13 +27,13 @@ def lockouts(attempts: DataFrame, timeout_days: int = 30, late: str = "1 hour")
             state.remove()
             return
         failed, until = state.get if state.exists else (0, None)
-        until = None if pd.isna(until) else pd.Timestamp(until)
+        until = None if pd.isna(until) else pd.Timestamp(until).value // 1000
         out = []
         rows = pd.concat(list(batches)).sort_values("at", kind="stable")
         for at, success in zip(rows["at"], rows["success"]):
-            outcome, failed, until = attempt(failed, until, at, bool(success))
-            out.append((key[0], at, outcome, failed, until))
-        state.update((failed, until))
+            outcome, failed, until = attempt(failed, until, at.value // 1000, bool(success))
+            out.append((key[0], at, outcome, failed, None if until is None else pd.Timestamp(until, unit="us")))
+        state.update((failed, None if until is None else pd.Timestamp(until, unit="us")))
         newest = int(rows["at"].iloc[-1].timestamp() * 1000)
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + timeout_days * 86_400_000)
         frame = pd.DataFrame(out, columns=["user_id", "at", "outcome", "failed_attempts", "locked_until"])

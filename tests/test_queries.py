@@ -52,3 +52,32 @@ def test_filters_reach_the_scan(spark):
 
 def test_entry(spark):
     assert entry_module.entry(spark).columns == ["request_id", "rank", "result_type", "hit_id", "content", "score"]
+
+
+def test_graph_search_lists_nodes_neighbours_and_relations(spark):
+    rows = entry_module.queries()["graph_search"](spark, SF_DIR).collect()
+    assert {r.kind for r in rows} == {"node", "relation"}
+    assert any(r.hit_id.startswith("doc:") for r in rows) and any(r.hit_id.startswith(("source:", "lang:")) for r in rows if r.kind == "node")
+
+
+def test_stream_counts_every_event_whatever_the_order_of_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    events.repartition(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(map(tuple, entry_module.queries()["audit_by_day"](spark, SF_DIR).collect()))
+    assert sorted(map(tuple, entry_module.queries()["audit_by_day_stream"](spark, str(tmp_path)).select("day", "event_type", "events").collect())) == want
+
+
+def test_no_text_in_the_joins_of_the_queue(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("pending_page", "verify_stats", "queue_stats", "live_chunk_totals"):
+            plan = entry_module.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan()
+            node = plan.toString()
+            lines = node.split("\n")
+            for i, line in enumerate(lines):
+                if "Exchange hashpartitioning" in line:
+                    below = next(x for x in lines[i + 1 :] if "Project" in x or "Filter" in x or "FileScan" in x)
+                    assert " text#" not in below.split("[", 1)[-1].split(" AS ")[0] or "Project" not in below, (name, below[:200])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

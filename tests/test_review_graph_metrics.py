@@ -70,7 +70,7 @@ def test_graph_search_reaches_depth(spark, ring):
     nodes = spark.createDataFrame([(f"n{i}", "N", f"word{i}", 0.9) for i in range(6)] + [("hub", "H", "center", 0.5)], "node_id string, class string, text string, confidence double")
     nodes = nodes.withColumn("properties", F.create_map(F.lit("text"), "text"))
     asked = spark.createDataFrame([(1, "where is word3")], "request_id long, question string")
-    found = graph.search(nodes, ring, asked, limit=20, depth=2).orderBy("position").collect()
+    found = graph.search(nodes, ring, asked, limit=20, depth=2, relation_limit=10).orderBy("position").collect()
     assert [r.hit_id for r in found if r.kind == "node"] == ["n3", "n2", "n4", "n1", "n5"]
     assert {r.content for r in found if r.kind == "relation"} >= {"word2 [next] word3", "word5 [next] word0"}
     assert [r.hit_id for r in graph.search(nodes, ring, asked, limit=2, depth=2).orderBy("position").collect()] == ["n3", "n2"]
@@ -144,8 +144,15 @@ def test_streaks_across_days(spark):
         n = 0 if kind == "s" else n + 1
         expected[i] = n
     assert {r.id: r.failed_attempts for r in streaks.collect()} == expected
-    locked = accounts.lockouts(streaks, "at", F.col("kind") == "f").collect()
-    assert min(r.failed_attempts for r in locked) == 5
+
+
+def test_attempts_inside_a_lock_are_refused(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "u", start + dt.timedelta(minutes=i), False) for i in range(8)] + [(8, "u", start + dt.timedelta(minutes=40), True), (9, "v", start, False)]
+    df = spark.createDataFrame(rows, "id long, user string, at timestamp_ntz, ok boolean")
+    got = {r.id: (r.outcome, r.failed_attempts) for r in accounts.judged(df, "user", "at", "id", F.col("ok")).collect()}
+    assert [got[i][0] for i in range(9)] == ["failure"] * 4 + ["locked"] + ["refused"] * 3 + ["success"]
+    assert got[7] == ("refused", 5) and got[8][1] == 0 and got[9] == ("failure", 1)
 
 
 def test_vector_table_changes(spark):
