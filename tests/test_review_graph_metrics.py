@@ -70,7 +70,7 @@ def test_graph_search_reaches_depth(spark, ring):
     nodes = spark.createDataFrame([(f"n{i}", "N", f"word{i}", 0.9) for i in range(6)] + [("hub", "H", "center", 0.5)], "node_id string, class string, text string, confidence double")
     nodes = nodes.withColumn("properties", F.create_map(F.lit("text"), "text"))
     asked = spark.createDataFrame([(1, "where is word3")], "request_id long, question string")
-    found = graph.search(nodes, ring, asked, limit=20, depth=2, relation_limit=10).orderBy("position").collect()
+    found = graph.search(nodes, ring, asked, limit=20, depth=2, seed_limit=5, relation_limit=10).orderBy("position").collect()
     assert [r.hit_id for r in found if r.kind == "node"] == ["n3", "n2", "n4", "n1", "n5"]
     assert {r.content for r in found if r.kind == "relation"} >= {"word2 [next] word3", "word5 [next] word0"}
     assert [r.hit_id for r in graph.search(nodes, ring, asked, limit=2, depth=2).orderBy("position").collect()] == ["n3", "n2"]
