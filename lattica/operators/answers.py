@@ -156,6 +156,8 @@ def generate(prompts: DataFrame, model: AnswerModel) -> DataFrame:
         for texts in batches:
             try:
                 answers, errors = list(model.generate_batch(texts.tolist())), [None] * len(texts)
+                if len(answers) != len(texts):
+                    raise ValueError("not one answer per prompt")
             except Exception:
                 # Some prompt failed: one at a time, so that it fails alone.
                 answers, errors = [], []
