@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,40 +48,46 @@ CHUNK_TYPE = T.ArrayType(
 _BREAKS = tuple(b.encode() for b in ("\n\n", *SENTENCE_BREAKS, "\n"))
 
 
-def _char_start(data: bytes, at: int) -> int:
-    """Nearest start of a character at or before a byte position."""
-    if at >= len(data):
-        return len(data)
-    while at > 0 and data[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
+class _Text:
+    """Bytes of a text, with the places of each break found once and looked up by bisection."""
 
+    def __init__(self, data: bytes):
+        self.data = data
+        self._places: dict[bytes, list[int]] = {}
 
-def _cut(data: bytes, target: int, config: ChunkConfig) -> int:
-    if target >= len(data) or not config.respect_paragraphs:
-        return target
-    low = _char_start(data, max(target - BREAK_WINDOW, 0))
-    high = _char_start(data, target + BREAK_WINDOW)
-    for mark in _BREAKS:
-        found = data.rfind(mark, low, high)
-        if found >= 0:
-            return found + len(mark)
-    return target
+    def floor(self, at: int) -> int:
+        """The last character start up to a byte position; a character has at most four bytes."""
+        if at >= len(self.data):
+            return len(self.data)
+        return next(i for i in range(at, -1, -1) if not 0x80 <= self.data[i] < 0xC0)
+
+    def last_break(self, low: int, high: int) -> int | None:
+        """End of the last break of the best kind that lies between two positions."""
+        for mark in _BREAKS:
+            if mark not in self._places:
+                self._places[mark] = [m.start() for m in re.finditer(b"(?=" + re.escape(mark) + b")", self.data)]
+            places = self._places[mark]
+            n = bisect_right(places, high - len(mark))
+            if n and places[n - 1] >= low:
+                return places[n - 1] + len(mark)
+        return None
 
 
 def split_spans(data: bytes, config: ChunkConfig) -> list[tuple[int, int]]:
     """Byte spans of the chunks of one text."""
-    size = len(data)
+    size, text = len(data), _Text(data)
     if size <= config.chunk_size:
         return [(0, size)]
-    spans, start = [], 0
-    while True:
-        end = _cut(data, _char_start(data, start + config.chunk_size), config)
-        if end - start >= config.min_chunk_size or config.keep_tail:
+    spans, start, end = [], 0, 0
+    while end < size:
+        end = text.floor(start + config.chunk_size)
+        if end < size and config.respect_paragraphs:
+            window = text.floor(max(end - BREAK_WINDOW, 0)), text.floor(end + BREAK_WINDOW)
+            end = text.last_break(*window) or end
+        if config.keep_tail or end - start >= config.min_chunk_size:
             spans.append((start, end))
-        if end >= size:
-            return spans
-        start = _char_start(data, end - config.overlap if end > config.overlap else end)
+        start = text.floor(end - config.overlap if end > config.overlap else end)
+    return spans
 
 
 def split_text(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:

@@ -236,6 +236,7 @@ def select_spans(mentions: Column) -> Column:
 
 
 def model_prompt(system: Column, entity_types: list[str], text: Column) -> Column:
+    # The words around the parts.
     return F.concat(
         system,
         F.lit(f"\n\nEntity types to extract: {', '.join(entity_types)}\n\nText:\n"),

@@ -177,6 +177,7 @@ def relation_type(name: Column) -> Column:
 
 
 def model_prompt(system: Column, relation_types: list[str], entities_json: Column, text: Column) -> Column:
+    # The words around the parts.
     return F.concat(
         system,
         F.lit(f"\n\nRelation types to extract: {', '.join(relation_types)}\n\nEntities:\n"),

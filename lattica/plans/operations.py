@@ -121,20 +121,24 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streaks(spark, sf_dir).select("event_id", "user_id", "failed_attempts")
 
 
-@query(
-    sql="""WITH RECURSIVE attempts AS (
+LOCKS_SQL = """WITH RECURSIVE attempts AS (
   SELECT user_id, epoch_us(ts) AS us, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM events WHERE event_type IN ('error', 'signup')),
 judged AS (
-  SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS failed, CAST(NULL AS BIGINT) AS until, '' AS outcome FROM (SELECT DISTINCT user_id FROM attempts)
+  SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS failed, CAST(NULL AS BIGINT) AS until, '' AS outcome, CAST(NULL AS BIGINT) AS us FROM (SELECT DISTINCT user_id FROM attempts)
   UNION ALL
   SELECT user_id, n, CASE outcome WHEN 'refused' THEN failed WHEN 'success' THEN 0 ELSE failed + 1 END,
-    CASE outcome WHEN 'refused' THEN until WHEN 'locked' THEN us + 900000000 END, outcome
+    CASE outcome WHEN 'refused' THEN until WHEN 'locked' THEN us + 900000000 END, outcome, us
   FROM (
     SELECT a.user_id, a.n, a.us, j.failed, j.until,
       CASE WHEN j.until IS NOT NULL AND a.us < j.until THEN 'refused' WHEN a.ok THEN 'success' WHEN j.failed + 1 >= 5 THEN 'locked' ELSE 'failure' END AS outcome
     FROM judged j JOIN attempts a ON a.user_id = j.user_id AND a.n = j.n + 1))
-SELECT user_id, count(*) AS locks, max(failed) AS longest, strftime(make_timestamp(max(until)), '%Y-%m-%d %H:%M:%S') AS last_locked_until
+"""
+
+
+@query(
+    sql=LOCKS_SQL
+    + """SELECT user_id, count(*) AS locks, max(failed) AS longest, strftime(make_timestamp(max(until)), '%Y-%m-%d %H:%M:%S') AS last_locked_until
 FROM judged WHERE outcome = 'locked' GROUP BY user_id"""
 )
 def account_lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
