@@ -46,6 +46,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """`df` and a column that is computed once per row, however often it is used above.
+
+    Plain projections may be copied into every expression and filter that uses
+    them; a generator of one row is not.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -72,6 +81,11 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def few(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
+    """`df`, which holds about `rows` small rows, in tasks of about `per_task` rows and no more tasks than that takes."""
+    return df.coalesce(rows // per_task + 1)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table to the folder of checkpoints, and read again.
 

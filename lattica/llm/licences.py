@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import once
+
 # Families, how they are named, and sentences of their notices.
 NAMES = {
     "mit": ["the MIT License", "the MIT license terms", "The MIT License (MIT)"],
@@ -141,7 +143,7 @@ class Model:
         right; below one half the family is unknown.
         """
         ready = vectors(paragraphs, "paragraph", "_v")
-        scored = self.regression.transform(ready).withColumn("_p", vector_to_array("_probability"))
+        scored = once(self.regression.transform(ready).drop("_v", "_raw", "_prediction"), vector_to_array("_probability"), "_p")
         best = F.array_max(F.slice("_p", 2, len(FAMILIES) - 1))
         scored = scored.withColumn("_best", best).withColumn("_place", F.array_position("_p", F.col("_best")).cast("int"))
         rate = F.element_at(F.array(*[F.lit(r) for r in self.rates]), _bin(F.col("_best")) + 1)

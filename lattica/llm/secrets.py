@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import free_name
+from lattica.llm.common import free_name, once
 
 # re's own reader of regular expressions; the module moved in Python 3.11.
 try:
@@ -137,8 +137,8 @@ def with_postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
         bits = [F.when(F.contains(F.col(name + "_l"), F.lit(g)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
                 for k, g in enumerate(grams[at : at + 62])]
         words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
-    out = docs.withColumn(name + "_l", lower).withColumn(name, F.array(*words) if words else F.array().cast("array<bigint>")).drop(name + "_l")
-    return out, name, grams
+    lowered = once(docs, lower, name + "_l")
+    return once(lowered, F.array(*words) if words else F.array().cast("array<bigint>"), name).drop(name + "_l"), name, grams
 
 
 def candidate(rule: Rule, postings: Column, grams: list[str]) -> Column:
@@ -192,7 +192,7 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
         # regexp_like stops at the first match, so most candidates cost one search.
         verify = candidate(rule, F.col(postings), grams) & F.rlike(text, F.lit(rule.java))
         parts.append(F.when(verify, _spans(rule, number, text)).otherwise(none))
-    return out.withColumn(name, F.array_sort(F.concat(*parts))).drop(postings), name
+    return once(out, F.array_sort(F.concat(*parts)), name).drop(postings), name
 
 
 def listed(spans: Column, rules: tuple[Rule, ...], first: int | None = None) -> Column:
