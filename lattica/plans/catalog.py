@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as text_functions
-from lattica.functions.access import level_rank, visible_by_principal, visible_to
+from lattica.functions.access import level_rank, visible_by_principal
 from lattica.operators import catalog, review
 from lattica.plans import tables
 from lattica.plans.registry import query
