@@ -13,7 +13,6 @@ and each of them is compared directly.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterable
 from math import ceil

@@ -15,7 +15,6 @@ every document.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
