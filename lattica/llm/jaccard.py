@@ -13,11 +13,12 @@ least 3/4, that is when sets of a and b elements share c(a, b) = ceil(3(a+b)/7).
   first common element.  Sizes and positions discard most pairs in the join.
 
 Lists of many near copies would make pairs in the square of their length.  Only
-components are asked for, so each list first compares its sets with `PIVOTS` of
-its own, chosen by hash; sets that end up in one component need no comparison
-any more, and what is left over between components is compared in full.  Every
-link is checked on whole sets, and no pair that could join two components is
-left out.
+components are asked for, so each list compares its sets with `PIVOTS` of its
+own, chosen by hash, in several turns; sets that end up in one component need no
+comparison any more, and what is left over between components is compared in
+full.  Bits that count elements modulo two bound the difference of two sets and
+spare most pairs that do not link; every link is checked on whole sets, and no
+pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -34,15 +35,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import free_name, stored, texts_of
+from lattica.llm.common import append_columns, few, free_name, stored, texts_of
 from lattica.llm.components import components
 from lattica.llm.shingles import Hasher, mix
 
-SKETCH = 1 << 19  # counters of the sketch that orders elements; it never decides a result
-CHUNK = 1 << 13  # counters per row while sketches are added up
+SKETCH = 1 << 23  # counters of the sketch that orders elements; it never decides a result
+CHUNK = 1 << 16  # counters per row while sketches are added up
 LIGHT = 10  # largest boundary that is considered
 VERIFY = 4  # cost of checking a heavy set, in rows of a list
 PIVOTS = 8
+SETS_PER_TASK = 10_000  # while pairs are checked
+TURNS = 6  # of pivots for long lists, at most; what they leave is compared in full
+WORDS = 16  # numbers of 64 bits that hold the parities of a set
 LONG_LIST = 5_000  # elements estimated more frequent skip the sort that drops lists of one class
 FILTER_BITS = 1 << 24  # of the filter that keeps sets of no candidate out of the shuffle
 
@@ -78,53 +82,64 @@ def _class_of(elements: np.ndarray) -> int:
     return int.from_bytes(blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parities(elements: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * WORDS cells: whether an odd number of elements falls into it.
+
+    Two sets differ in at least as many elements as their bits differ.
+    """
+    cells = np.bincount((elements >> np.uint64(40)) % np.uint64(64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters as they are, or places (two bytes) and counts of those that are not zero if that is shorter."""
+    used = np.flatnonzero(counts)
+    return counts.tobytes() if 3 * len(used) >= len(counts) else used.astype("<u2").tobytes() + counts[used].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if len(data) == CHUNK:
+        return np.frombuffer(data, np.uint8)
+    n, counts = len(data) // 3, np.zeros(CHUNK, np.uint8)
+    counts[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, np.uint8, n, 2 * n)
+    return counts
+
+
 def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document (class and size of its set), and rows of sketch counters."""
+    """One row per document (class, size and parities of its set), and rows of sketch counters."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([source.schema["id"], T.StructField("class", T.LongType()), T.StructField("size", T.IntegerType()),
-                           T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+                           T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
-        hasher, sketch, seen, kind = Hasher(), np.zeros(SKETCH, np.uint32), set(), None
+        hasher, sketch, seen, kind = Hasher(), np.zeros(SKETCH, np.uint16), set(), None
         for batch in batches:
             kind = batch.schema.field("id").type
-            classes, sizes = [], []
+            classes, sizes, bits = [], [], []
             for elements in hasher.sets(texts_of(batch.column("text"))):
                 key = _class_of(elements)
                 classes.append(key)
                 sizes.append(len(elements))
+                bits.append(_parities(elements))
                 if key not in seen:  # copies within a task are counted once
                     seen.add(key)
-                    sketch += np.bincount(elements & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint32)
+                    np.add.at(sketch, (elements & np.uint64(SKETCH - 1)).astype(np.int64), np.uint16(1))
             n = len(classes)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()),
-                                              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
+                                              pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
         if kind is None:
             return
-        small = np.minimum(sketch, 65535).astype("<u2")
+        small = np.minimum(sketch, 255).astype(np.uint8)
         for chunk in range(SKETCH // CHUNK):
-            counts = small[chunk * CHUNK : (chunk + 1) * CHUNK]
+            counts = _packed(small[chunk * CHUNK : (chunk + 1) * CHUNK])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
-                                              pa.array([chunk], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=schema.names)
+                                              pa.nulls(1, pa.list_(pa.int64())), pa.array([chunk], pa.int32()), pa.array([counts], pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of the sketches: SKETCH numbers, whatever the input."""
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    parts = rows.where("chunk IS NOT NULL").select("chunk", "counts")
-    total = np.zeros(SKETCH, np.int64)
-    for r in parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
-    return total
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.round(8 * np.log2(1 + counts)).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -134,11 +149,6 @@ class Order:
     levels: np.ndarray  # one byte per counter
     hot: int  # level from which lists may be long
 
-    @staticmethod
-    def of(sketch: np.ndarray) -> Order:
-        level = lambda n: np.round(6 * np.log2(1 + n)).astype(np.uint8)
-        return Order(level(sketch), int(level(sketch.mean() + LONG_LIST)))
-
     def prefix(self, elements: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The first n elements and whether the list of each may be long."""
         levels = self.levels[(elements & np.uint64(SKETCH - 1)).astype(np.int64)]
@@ -146,6 +156,27 @@ class Order:
         return elements[first], levels[first] >= self.hot
 
 
+def _order(rows: DataFrame) -> Order:
+    """Order by the sum of the sketches: SKETCH bytes, whatever the input."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                sums[chunk] = sums.get(chunk, 0) + _unpacked(counts).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())],
+            names=["chunk", "levels", "total"],
+        )
+
+    parts = rows.where("chunk IS NOT NULL").select("chunk", "counts")
+    levels, total = np.zeros(SKETCH, np.uint8), 0
+    for r in parts.repartition("chunk").mapInArrow(add, "chunk int, levels binary, total long").collect():
+        levels[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, np.uint8)
+        total += r.total
+    return Order(levels, int(_level(np.array(total / SKETCH + LONG_LIST))))
+
+
 def _postings(docs: DataFrame, text_col: str, order: Order, x: int) -> DataFrame:
     """Rows of inverted lists (`kind` 0) and of enumerated subsets (`kind` 1).
 
@@ -216,16 +247,14 @@ def _passes(left: Column, left_meta: Column, right: Column, right_meta: Column)
     return (4 * a >= 3 * b) & (4 * b >= 3 * a) & (i <= a - least) & (j <= b - least)
 
 
-def _candidates(lists: DataFrame, pivots: DataFrame | None) -> DataFrame:
-    """Distinct pairs of classes of different components that share a list and pass the filters."""
-    other = (lists if pivots is None else pivots).select(
-        F.col("token").alias("t"), F.col("class").alias("c"), F.col("meta").alias("m"), F.col("root").alias("r")
-    )
-    apart = (F.col("token") == F.col("t")) & (F.col("root") != F.col("r"))
-    if pivots is None:
-        apart &= F.col("class") < F.col("c")
-    pairs = lists.join(other, apart & _passes(F.col("class"), F.col("meta"), F.col("c"), F.col("m")))
-    return pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
+def _difference(left: list[Column], right: list[Column]) -> Column:
+    """Bits in which parities differ."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left, right)), F.lit(0))
+
+
+def _near(a: Column, b: Column, difference: Column) -> Column:
+    """Whether sets of sizes a and b may link if they differ in `difference` elements at least."""
+    return difference <= a + b - 2 * F.floor((3 * (a + b) + 6) / 7)
 
 
 def _pivots(lists: DataFrame, turn: int) -> DataFrame:
@@ -234,48 +263,101 @@ def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     return lists.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PIVOTS).drop("place")
 
 
-def _with_roots(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Lists with the component of each set, without those that lie in one component."""
-    if roots is None:
-        return lists.withColumn("root", F.col("class"))
-    known = lists.drop("root").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+def _by_pivots(lists: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs `a`, `b` of a pivot and another set of its list that pass the filters.
+
+    Lists with a column `root` pair only sets of different components.
+    """
+    rooted = "root" in lists.columns
+    other = _pivots(lists, turn).select(F.col("token").alias("t"), F.col("class").alias("c"), F.col("meta").alias("m"), *[F.col("root").alias("r")] * rooted)
+    apart = F.col("root") != F.col("r") if rooted else F.col("class") != F.col("c")
+    pairs = lists.join(other, (F.col("token") == F.col("t")) & apart & _passes(F.col("class"), F.col("meta"), F.col("c"), F.col("m")))
+    return pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
+
+
+def _filtered(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs whose parities allow a link."""
+    left = bits.select(F.col("class").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
+    right = bits.select(F.col("class").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    difference = _difference([F.col("x")[k] for k in range(WORDS)], [F.col("y")[k] for k in range(WORDS)])
+    return both.where(_near(F.col("n"), F.col("m"), difference)).select(*pairs.columns)
+
+
+def _all_pairs(lists: DataFrame, bits: DataFrame) -> DataFrame:
+    """All distinct pairs of sets of different components that share a list and pass the filters."""
+    known = lists.join(bits.select("class", *[F.col("bits")[k].alias(f"x{k}") for k in range(WORDS)]), "class")
+    other = known.select(F.col("token").alias("t"), F.col("class").alias("c"), F.col("meta").alias("m"), F.col("root").alias("r"),
+                         *[F.col(f"x{k}").alias(f"y{k}") for k in range(WORDS)])
+    difference = _difference([F.col(f"x{k}") for k in range(WORDS)], [F.col(f"y{k}") for k in range(WORDS)])
+    near = _near(F.shiftright("meta", 32), F.shiftright("m", 32), difference)
+    apart = (F.col("token") == F.col("t")) & (F.col("root") != F.col("r")) & (F.col("class") < F.col("c"))
+    pairs = known.join(other, apart & _passes(F.col("class"), F.col("meta"), F.col("c"), F.col("m")) & near)
+    return pairs.select(F.col("class").alias("a"), F.col("c").alias("b")).distinct()
+
+
+def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists with the component of each set, without lists that lie in one component."""
+    known = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     return known.join(mixed, "token", "left_semi")
 
 
-def _wanted_sets(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """Sets of (about) the given classes: `class`, `elements`.
-
-    A filter of FILTER_BITS bits keeps most other sets from being written.
-    """
+def _filter_of(classes: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits that are set for the classes of the column `class`, and few others."""
     bit = F.pmod(F.col("class"), F.lit(FILTER_BITS)) + 1  # bitmaps number their bits from 1
     rows = (
         classes.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     )
-    bits = np.zeros(FILTER_BITS, np.uint8)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:  # buckets of 32768 bits, numbered from 1
-        bits[(r.bucket - 1) * 32768 : r.bucket * 32768] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+        bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def _holds(bits: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    place = classes % FILTER_BITS
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _wanted_sets(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
+    """Sets of (about) the given classes: `class`, `elements`; a filter keeps most others from being written."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(classes))
 
     def run(batches):
-        wanted, hasher, seen = np.unpackbits(shared.value), Hasher(), set()
+        hasher, seen = Hasher(), set()
         for batch in batches:
-            classes, sets = [], []
-            for elements in hasher.sets(texts_of(batch.column("text"))):
-                key = _class_of(elements)
-                if len(elements) and key not in seen and wanted[key % FILTER_BITS]:
+            sets = list(hasher.sets(texts_of(batch.column("text"))))
+            keys = np.array([_class_of(s) for s in sets], np.int64)
+            chosen = []
+            for i in np.flatnonzero(_holds(shared.value, keys)).tolist():
+                key = int(keys[i])
+                if len(sets[i]) and key not in seen:
                     seen.add(key)
-                    classes.append(key)
-                    sets.append(elements.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "elements"])
+                    chosen.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[chosen]), pa.array([sets[i].tobytes() for i in chosen], pa.binary())], names=["class", "elements"])
 
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "class long, elements binary")
     return stored(found.dropDuplicates(["class"]))
 
 
+def _some_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(About) the sets that the pairs name, so that no other is shuffled."""
+    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("a", "b")).alias("class"))))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_holds(shared.value, batch.column("class").to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose whole sets link."""
+    pairs = stored(pairs)
+    rows = pairs.count()
+    pairs, sets = few(pairs, rows), few(_some_sets(sets, pairs), 2 * rows, SETS_PER_TASK)
     left = sets.select(F.col("class").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("elements").alias("y"))
 
@@ -289,7 +371,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    both = few(few(pairs.join(left, "a"), rows, SETS_PER_TASK).join(right, "b"), rows, SETS_PER_TASK)
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def classes_and_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -298,26 +381,36 @@ def classes_and_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = first.where("chunk IS NULL").select("id", "class", "size")
     small = rows.where(F.col("size").between(1, 2 * LIGHT)).groupBy("class").agg(F.first("size").alias("size")).groupBy("size").count().collect()
     x = boundary({r["size"]: r["count"] for r in small})
-    order = Order.of(_sketch(first))
+    order = _order(first)
     shared = _shared_lists(_postings(docs, text_col, order, x))
     lists = shared.where("kind = 0").select("token", "class", "meta")
-    start = _with_roots(lists, None)
-    firsts = stored(_candidates(start, _pivots(start, 1)))
-    # Lists of up to PIVOTS + 1 sets are now compared in full.
+    bits = first.where("size > 0").dropDuplicates(["class"]).select("class", "size", "bits")
+    pairs = stored(_filtered(_by_pivots(lists, 1), bits))
+    # Lists of up to PIVOTS + 1 sets are now paired in full.
     long = lists.groupBy("token").count().where(F.col("count") > PIVOTS + 1).select("token")
     rest = stored(lists.join(long, "token", "left_semi"))
-    ends = firsts.select(F.explode(F.array("a", "b")).alias("class")).union(rest.select("class"))
-    sets = _wanted_sets(docs, text_col, ends)
-    links = stored(_light_links(shared).union(_verified(firsts, sets)))
-    roots = stored(components(links))
-    for turn in (2, None):
-        mixed = stored(_with_roots(rest, roots))
-        pairs = _candidates(mixed, None if turn is None else _pivots(mixed, turn))
-        more = stored(_verified(pairs, sets))
+    rest = few(rest, rest.count())
+    some = rest.select("class").distinct()
+    bits = stored(bits.join(some, "class", "left_semi"))
+    sets = _wanted_sets(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("class")).union(some))
+
+    def joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+        links = more if roots is None else more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return stored(components(links))
+
+    roots = joined(None, _light_links(shared).union(_verified(pairs, sets)))
+    for turn in range(2, TURNS + 1):
+        rest = stored(_with_roots(rest.select("token", "class", "meta"), roots))
+        rest = few(rest, rest.count())
+        more = stored(_verified(_filtered(_by_pivots(rest, turn), bits), sets))
         if more.isEmpty():
-            continue
-        links = stored(links.union(more))
-        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+            break
+        roots = joined(roots, more)
+    else:
+        rest = stored(_with_roots(rest.select("token", "class", "meta"), roots))
+    more = stored(_verified(_all_pairs(rest, bits), sets))
+    if not more.isEmpty():
+        roots = joined(roots, more)
     return rows, roots.select(F.col("node").alias("class"), "root")
 
 
@@ -341,7 +434,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the component's: one document of each group stays.
 
-    Rows without an id stay.
+    Rows without an id stay.  Bits of the ids that go tell most rows that stay;
+    only the others are joined with these ids, so few texts are shuffled.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(free_name(docs, "_dropped"))).distinct()
-    return docs.join(kept, docs[id_col] == kept[kept.columns[0]], "left_anti")
+    found = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id")
+    gone = stored(found.select(F.xxhash64("doc_id").alias("class"), F.col("doc_id").alias("_gone")).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(gone))
+    key, flag = free_name(docs, "_key"), free_name(docs, "_flag")
+
+    def start():
+        return lambda batch: [pa.array(_holds(shared.value, batch.column(key).to_numpy()))]
+
+    marked = append_columns(docs.withColumn(key, F.xxhash64(id_col)), [T.StructField(flag, T.BooleanType())], start)
+    doubtful = marked.where(F.col(flag))
+    stay = doubtful.join(gone, (doubtful[key] == gone["class"]) & (doubtful[id_col] == gone["_gone"]), "left_anti")
+    return marked.where(~F.col(flag)).select(*docs.columns).union(stay.select(*docs.columns))
