@@ -116,6 +116,13 @@ def test_bounds_never_hide_a_link(x, y):
         assert differ <= len(a) + len(b) - 2 * both
 
 
+def test_counters_survive_packing():
+    rng = np.random.default_rng(1)
+    for share in (0, 1e-4, 0.1, 0.5, 1):
+        counts = np.where(rng.random(jaccard.CHUNK) < share, rng.integers(1, 256, jaccard.CHUNK), 0).astype(np.uint8)
+        assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({}) == 0
     assert jaccard.boundary({2: 1000, 3: 1000}) >= 3
