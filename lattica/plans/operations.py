@@ -268,7 +268,7 @@ def audit_by_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.streaming import metrics
 
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/audit-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/audit-{uuid.uuid4().hex}"
     schema = tables.read(spark, sf_dir, "events").select("ts", "event_type").schema
     events = metrics.read_events(spark, f"{sf_dir}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = metrics.audit_by_day(events, "ts", "event_type")
