@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import once
+from lattica.llm.common import few, once, stored
 
 # Families, how they are named, and sentences of their notices.
 NAMES = {
@@ -163,7 +163,9 @@ def _bin(confidence: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = NEGATIVES) -> Model:
     """Calibrate on three tenths of the examples by a fit on the others, then fit on all."""
-    rows = vectors(examples(docs, id_col, text_col, bound), "paragraph", "_v").withColumn("_fold", F.pmod(F.xxhash64("paragraph"), F.lit(10)))
+    # Written once: the fits pass over a few thousand examples many times, not over the documents.
+    some = few(stored(examples(docs, id_col, text_col, bound)), bound, bound)
+    rows = vectors(some, "paragraph", "_v").withColumn("_fold", F.pmod(F.xxhash64("paragraph"), F.lit(10)))
     regression = LogisticRegression(featuresCol="_v", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction",
                                     family="multinomial", regParam=1e-4, maxIter=60)
     fitted = regression.fit(rows.where("_fold < 7").select("_v", "label"))
