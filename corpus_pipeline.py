@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, jaccard, packing, quality, secrets
 from lattica.llm.common import fold, small_batches, stored, table
-from lattica.llm.queries import tokenizer
+from lattica.llm.queries import added_tokens, tokenizer
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of at most 1024 tokens."""
     small_batches(spark)
-    return packing.pack(docs, **tokenizer())
+    return packing.pack(docs, **tokenizer(), special=added_tokens())
 
 
 STAGES = [

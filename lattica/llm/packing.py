@@ -28,18 +28,19 @@ CAPACITY = 1024
 END = 2  # id behind every document
 
 
-def encoder(ranks_path: str, pattern: str):
+def encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
     """Function from a text to its ids as little-endian 32-bit numbers.
 
     The ranks file holds the vocabulary of the tokenizer; its encoder gives the
-    same ids several times faster.  Strings of special tokens are plain text.
+    same ids several times faster.  Strings of `special` become their ids
+    wherever a text holds them; without it they are plain text.
     """
     import tiktoken
 
     with open(ranks_path, "rb") as handle:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, handle)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array([*encoding.encode_ordinary(text), END], "<u4")
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+    return lambda text: np.array([*encoding.encode(text, allowed_special="all"), END], "<u4")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -48,7 +49,8 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+           special: dict[str, int] | None = None) -> DataFrame:
     """Pieces of each document row, with the number of each among those of its length and input partition.
 
     A null text is an empty one: the end id alone.
@@ -59,7 +61,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                            T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())])
 
     def tokenise(batches):
-        encode, part, seen = encoder(ranks_path, pattern), TaskContext.get().partitionId(), Counter()
+        encode, part, seen = encoder(ranks_path, pattern, special), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -122,13 +124,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, Sl
     return {n: Slots(*(np.array(c, np.int64) for c in zip(*rows))) for n, rows in found.items()}, sequences
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+         special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: its document, place in the document, digest, and place in a sequence.
 
     Only documents of more than `capacity` tokens are cut.  Repeated rows are
     packed once each; an empty table gives no rows.
     """
-    table = cut_lineage(pieces(docs, ranks_path, pattern, id_col, text_col, capacity))
+    table = cut_lineage(pieces(docs, ranks_path, pattern, id_col, text_col, capacity, special))
     by_part = table.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots, _ = plan(counts, capacity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,9 +145,17 @@ def tokenizer() -> dict[str, str]:
     return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def added_tokens() -> dict[str, int]:
+    """Ids of the strings that byte_bpe_50k reads as one token wherever a text holds them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as handle:
+        return {t["content"]: t["id"] for t in json.load(handle)["added_tokens"]}
+
+
 @query()
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer(), special=added_tokens())
 
 
 @query()

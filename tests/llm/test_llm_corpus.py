@@ -193,6 +193,25 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs.limit(0), **ranks).collect() == []
 
 
+def test_packing_reads_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from lattica.llm.queries import op9_packing
+
+    reader = Tokenizer.from_file(re.sub(r"\.tiktoken$", ".json", tokenizer()["ranks_path"]))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "<|ENDOFTEXT|>", " <|endoftext|>  ", "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*reader.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i] = (len(ids), crc32(ids.tobytes()))
+    assert reader.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in op9_packing(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in corpus_pipeline.packed_sequences(spark, docs, str(tmp_path)).collect()} == want
+
+
 def lm_tokens(text):
     return SPACED.findall((text or "").translate(ASCII)) + ["\n"]
 
