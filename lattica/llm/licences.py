@@ -1,7 +1,7 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions only.
 
-Paragraphs (lines) become sparse vectors of hashed word n-grams.  A multinomial
-logistic regression over licence families and an unknown class is fitted on
+Lines, and passages of adjacent lines, as notices are usually wrapped, become
+sparse vectors of hashed word n-grams.  A multinomial logistic regression over licence families and an unknown class is fitted on
 statements built from the templates below and on paragraphs of the corpus.  Its
 confidence is calibrated on statements and paragraphs it has not seen: what is
 less likely than not to be the named family is unknown.  A prediction counts
@@ -10,6 +10,7 @@ once the paragraph holds most words of one of the family's templates.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from math import ceil
 
@@ -41,8 +42,10 @@ NOTICES = {
             "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "apache-2.0": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "agpl": ["You should have received a copy of the GNU Affero General Public License along with this program"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+             "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "agpl": ["You should have received a copy of the GNU Affero General Public License along with this program",
+             "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
             "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
@@ -67,6 +70,7 @@ FEATURES = 1 << 14
 BINS = 20  # of confidence, for calibration
 COVERAGE = 0.8  # share of a template's words that a paragraph must hold
 _GRID = 1 << 30
+_WORD = re.compile(r"[a-z0-9]+(?:[.+][a-z0-9]+)*")  # as `words` finds them in templates, which are ASCII
 
 FAMILIES = [UNKNOWN, *sorted(NAMES)]
 
@@ -98,6 +102,7 @@ def examples(docs: DataFrame, id_col: str, text_col: str, bound: int = NEGATIVES
     """
     spark = docs.sparkSession
     rows = [(lead.format(name), FAMILIES.index(f)) for f, names in NAMES.items() for name in names for lead in LEADS]
+    rows += [(_bare(name), FAMILIES.index(f)) for f, names in NAMES.items() for name in names if name != _bare(name)]
     for f, texts in NOTICES.items():
         for text in texts:  # whole, and cut at either end
             w = text.split()
@@ -105,13 +110,18 @@ def examples(docs: DataFrame, id_col: str, text_col: str, bound: int = NEGATIVES
     rows += [(text, 0) for text in NOT_LICENCES]
     total = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")))).first()[0] or 0
     some = paragraphs_of(docs, id_col, text_col).where(F.pmod(F.xxhash64("id", "paragraph"), F.lit(_GRID)) < ceil(_GRID * min(1.0, bound / max(total, 1))))
-    some = some.where(~_names_one(F.col("paragraph"))).select("paragraph", F.lit(0).alias("label"))
+    some = some.where(~_names_one(F.col("paragraph")) & ~_quotes_one(F.col("paragraph"))).select("paragraph", F.lit(0).alias("label"))
     return spark.createDataFrame(rows, "paragraph string, label int").union(some)
 
 
+def _bare(name: str) -> str:
+    """A name without its article, as titles have it."""
+    return re.sub(r"^(?:the|a) ", "", name, flags=re.IGNORECASE)
+
+
 def _templates() -> list[tuple[str, str]]:
     """(family, sentence) of every template."""
-    return [(f, lead) for f, names in NAMES.items() for lead in names] + [(f, t) for f, texts in NOTICES.items() for t in texts]
+    return [(f, _bare(lead)) for f, names in NAMES.items() for lead in names] + [(f, t) for f, texts in NOTICES.items() for t in texts]
 
 
 def _coverage(tokens: Column, family: str) -> Column:
@@ -130,6 +140,52 @@ def _names_one(text: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _quotes_one(text: Column) -> Column:
+    """Whether four words in a row are those of a notice: a line of a wrapped notice is no example of the unknown."""
+    runs = {" ".join(w[i : i + 4]) for texts in NOTICES.values() for t in texts for w in [_WORD.findall(t.lower())] for i in range(len(w) - 3)}
+    plain = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
+    return plain.rlike(" (?:" + "|".join(re.escape(r) for r in sorted(runs)) + ") ")
+
+
+def _telling() -> list[str]:
+    """Words of which each template has so many that `COVERAGE` of it holds at least one."""
+    out: set[str] = set()
+    for _, sentence in _templates():
+        distinct = set(_WORD.findall(sentence.lower()))
+        missing = len(distinct) - ceil(COVERAGE * len(distinct) - 1e-9)
+        out.update(sorted(distinct, key=lambda w: (w not in out, -len(w), w))[: missing + 1])
+    return sorted(out)
+
+
+def passages_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(`id`, `paragraph`) of the passages of adjacent lines that a template may be wrapped over, as words.
+
+    A passage starts and ends in lines of its paragraph, which lines without a
+    word end (blank ones, bare comment marks).  All stretches of up to as many
+    words as the longest template has, over two lines or more, lie in one; of
+    its first and last line only as many words are kept.  Passages without a
+    telling word are left out, since no template could be covered.
+    """
+    longest = max(len(_WORD.findall(t.lower())) for _, t in _templates())
+    telling = F.array(*[F.lit(w) for w in _telling()])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    some = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.contains("text", F.lit("\n")))
+    some = some.where(F.arrays_overlap(words(F.col("text")), telling))
+    lines = once(some, F.transform(F.split("text", "\n"), words), "lines").select("id", "lines")
+    # Lines from each one on; a passage has at most `longest` lines between its first and last.
+    starts = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice(F.col("lines"), i, longest + 1))
+    runs = lines.select("id", F.explode(starts).alias("run")).where((F.size("run") > 1) & (F.size(F.col("run")[0]) > 0))
+
+    def passage(k: Column) -> Column:
+        first, last, inner = F.col("run")[0], F.element_at("run", k), F.slice("run", 2, k - 2)
+        kept = F.slice(first, F.greatest(F.size(first) - longest + 1, F.lit(1)), longest)
+        fits = F.forall(inner, lambda x: F.size(x) > 0) & (F.size(F.flatten(inner)) <= longest - 2) & (F.size(last) > 0)
+        return F.when(fits, F.concat(kept, F.flatten(inner), F.slice(last, 1, longest)))
+
+    found = runs.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.size("run")), passage)).alias("w"))
+    return found.where(F.arrays_overlap("w", telling)).select("id", F.array_join("w", " ").alias("paragraph"))
+
+
 class Model:
     """A fitted regression and the calibration of its confidence."""
 
@@ -192,15 +248,20 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = NEGATIVES) -> DataFrame:
     """One row per id: paragraphs, licence paragraphs, confirmed families (sorted, comma-joined), largest confidence.
 
+    Paragraphs are non-empty lines.  Families are those that a line or a passage
+    of adjacent lines confirms; where only a passage does, it counts as one
+    licence paragraph, and passages that confirm nothing do not count.
     Rows that repeat an id are one document.  A null or empty text has no
     paragraphs, no family and confidence 0; so has a text without a licence.
     """
     model = fit(docs, id_col, text_col, bound)
     every = docs.select(F.col(id_col).alias("id"), F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)).alias("n"))
-    none = [F.lit(0).alias("hit"), F.lit(None).cast("string").alias("family"), F.lit(0.0).alias("confidence")]
-    hits = scan(docs, model, id_col, text_col).select("id", F.lit(0).alias("n"), F.lit(1).alias("hit"), F.when(F.col("confirmed"), F.col("family")).alias("family"), "confidence")
+    none = [F.lit(0).alias("hit"), F.lit(None).cast("string").alias("family"), F.lit(0.0).alias("confidence"), F.lit(0).alias("wrapped")]
+    hits = scan(docs, model, id_col, text_col).select("id", F.lit(0).alias("n"), F.lit(1).alias("hit"), F.when(F.col("confirmed"), F.col("family")).alias("family"), "confidence", F.lit(0).alias("wrapped"))
+    confirmed = model.predict(passages_of(docs, id_col, text_col)).where(F.col("confirmed"))
+    wrapped = confirmed.select("id", F.lit(0).alias("n"), F.lit(0).alias("hit"), "family", "confidence", F.lit(1).alias("wrapped"))
     # At most one entry for each family is gathered per document.
-    out = every.select("id", "n", *none).union(hits).groupBy("id").agg(
-        F.sum("n").alias("n_paragraphs"), F.sum("hit").alias("n_licence"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("confidence").alias("confidence")
+    out = every.select("id", "n", *none).union(hits).union(wrapped).groupBy("id").agg(
+        F.sum("n").alias("n_paragraphs"), F.greatest(F.sum("hit"), F.max("wrapped")).alias("n_licence"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("confidence").alias("confidence")
     )
     return out.select(F.col("id").alias("doc_id"), "n_paragraphs", "n_licence", "families", "confidence")

@@ -142,6 +142,65 @@ def test_licences(spark):
     assert licences.documents(docs.limit(0)).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+ISC = """ISC License
+
+Copyright (c) 2020, A. Author
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+
+
+def test_wrapped_licences(spark):
+    rng = random.Random(6)
+    body = lambda: "\n".join(prose(rng, ["the", "ing", "mit", "ou", "st", "li"], 12) for _ in range(6))
+    body_of = lambda text: text.split("\n\n", 2)[2]
+    narrow = "Permission is hereby\ngranted, free of\ncharge, to any person\nobtaining a copy of\nthis software and\nassociated\ndocumentation files"
+    cases = [
+        (MIT, "mit"), (body_of(MIT), "mit"), (ISC, "isc"), (body_of(ISC), "isc"), (BSD, "bsd"), (LGPL, "lgpl"), ("MIT License", "mit"), ("ISC License", "isc"),
+        (narrow, "mit"), ("\n".join("# " + x for x in body_of(MIT).split("\n")), "mit"), ("/*\n" + "\n".join(" * " + x for x in BSD.split("\n")) + "\n */", "bsd"),
+        ("Licensed under the Apache\nLicense, Version 2.0.", "apache-2.0"), ("He was seen with\nmit at the\n\nlicense office", ""), ("Students of MIT\nwon the prize.", ""), ("", ""),
+    ]
+    rows = [(i, "\n".join([body(), text, body()])) for i, (text, _) in enumerate(cases)] + [(100 + i, text) for i, (text, _) in enumerate(cases)]
+    rows += [(1000 + i, body()) for i in range(80)]
+    got = {r.doc_id: r for r in licences.documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: got[i].families for i in range(len(cases))} == {i: f for i, (_, f) in enumerate(cases)}
+    assert {i: got[100 + i].families for i in range(len(cases))} == {i: f for i, (_, f) in enumerate(cases)}
+    assert all(got[i].n_licence > 0 for i in range(12)) and all(got[1000 + i].families == "" for i in range(80))
+
+
+def test_passages_span_every_wrap(spark):
+    n = max(len(licences._WORD.findall(t.lower())) for _, t in licences._templates())
+    w = [f"w{i}" for i in range(3 * n)]
+    rows = [(1, " ".join(w[:n]) + "\nlicense " + " ".join(w[n:])), (2, "license\n" + "\n".join(w[:n])), (3, "license\n\nb"), (4, "no\nword"), (5, None)]
+    got = {}
+    for r in licences.passages_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect():
+        got.setdefault(r.id, set()).add(r.paragraph)
+    assert got == {1: {" ".join([*w[:n], "license", *w[n : 2 * n - 1]])}, 2: {" ".join(["license", *w[:k]]) for k in range(1, n)}}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     frames = [docs]
