@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import classlm, decontaminate, jaccard, language, licences, multi_index, packing, quality, secrets, toxicity
+from lattica.llm import classlm, decontaminate, jaccard, language, licences, multi_index, packing, quality, secrets, toxicity, whitening
 from lattica.llm.common import LOWER, UPPER, fold, table
 from lattica.plans.registry import Query
 
@@ -161,3 +161,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
