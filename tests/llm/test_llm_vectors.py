@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattica.llm import whitening
+from lattica.llm import cross_polytope, whitening
 from lattica.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -107,3 +107,105 @@ def test_polar_factor_of_a_symmetric_matrix(n):
     u = whitening.polar(a)
     values, columns = np.linalg.eigh(a)
     assert np.allclose(u, columns @ np.diag(np.sign(values)) @ columns.T, atol=1e-10)
+
+
+def plain_near_duplicates(rows, threshold=0.95):
+    """Rows of id, links and smallest id reachable, from all cosines."""
+    whole = [v is not None and all(c is not None and math.isfinite(c) for c in v) and any(v) for _, v in rows]
+    units = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) if w else None for w, (_, v) in zip(whole, rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            if whole[i] and whole[j] and len(units[i]) == len(units[j]) and units[i] @ units[j] >= threshold - 1e-12:
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    least = {}
+    for i, (x, _) in enumerate(rows):
+        known = least.setdefault(find(i), x)
+        least[find(i)] = x if known is None else known if x is None else min(x, known)
+    return sorted([(x, links[i], least[find(i)], x == least[find(i)]) for i, (x, _) in enumerate(rows)], key=repr)
+
+
+def around(rng, centre, cosine):
+    """A vector whose cosine with `centre` is about `cosine`."""
+    unit = centre / np.linalg.norm(centre)
+    turn = rng.standard_normal(len(centre))
+    turn -= (turn @ unit) * unit
+    return (cosine * unit + math.sqrt(1 - cosine**2) * turn / np.linalg.norm(turn)).tolist()
+
+
+def grouped_vectors(seed, width):
+    """Crowds of near copies, some on the edge of the threshold, chains, copies, multiples, and vectors apart."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for cosine in (0.999, 0.99, 0.985, 0.976, 0.96):
+        centre = rng.standard_normal(width)
+        rows += [around(rng, centre, cosine) for _ in range(45)]
+    rows += [rows[5]] * 12 + [[3.0 * c for c in rows[7]], [0.25 * c for c in rows[50]]]
+    chain = rng.standard_normal(width)
+    for _ in range(12):
+        chain = np.array(around(rng, chain, 0.957))
+        rows.append(chain.tolist())
+    rows += [rng.standard_normal(width).tolist() for _ in range(80)]
+    order = rng.permutation(len(rows))
+    return [(int(i) + 3, rows[i]) for i in order]
+
+
+@pytest.mark.parametrize("seed,width", [(1, 64), (2, 20)])
+def test_near_duplicates_of_groups(spark, seed, width):
+    rows = grouped_vectors(seed, width)
+    rows += [(900, None), (901, [0.0] * width), (902, [math.nan] * width), (903, [None] * width), (904, []), (905, [1.0] * (width + 1)), (906, [1.0] * (width + 1)), (None, rows[0][1]), rows[1], rows[1]]
+    got = cross_polytope.near_duplicates(vectors(spark, rows)).collect()
+    want = plain_near_duplicates(rows)
+    assert [tuple(r) for r in sorted(got, key=lambda r: repr(tuple(r)))] == want
+    assert sum(r[1] for r in want) > 45 * 44 * 2
+
+
+def test_few_dimensions_lose_hardly_a_link(spark):
+    rows = grouped_vectors(3, 3)
+    got = {r.vec_id: r for r in cross_polytope.near_duplicates(vectors(spark, rows)).collect()}
+    want = {r[0]: r for r in plain_near_duplicates(rows)}
+    assert all(got[i].n_links <= want[i][1] for i in want)
+    assert sum(r.n_links for r in got.values()) >= 0.999 * sum(r[1] for r in want.values())
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert cross_polytope.near_duplicates(vectors(spark, [])).collect() == []
+    got = cross_polytope.near_duplicates(vectors(spark, [(4, None), (None, [0.0, 0.0])])).collect()
+    assert sorted(map(tuple, got), key=repr) == [(4, 0, 4, True), (None, 0, None, True)]
+    assert cross_polytope.near_duplicates(vectors(spark, [(4, [2.0])])).first() == (4, 0, 4, True)
+
+
+def test_near_duplicates_of_the_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()]
+    got = QUERIES["op12_cross_polytope"].build(spark, SF_DIR).collect()
+    assert [tuple(r) for r in sorted(got, key=lambda r: repr(tuple(r)))] == plain_near_duplicates(rows)
+
+
+def test_crowds_are_counted_and_not_paired(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    frame = vectors(spark, [(i, around(rng, centre, 0.995)) for i in range(500)])
+    rows, usable = cross_polytope.read(frame, "vec_id", "embedding")
+    classes = cross_polytope.classes_of(usable, cross_polytope.planned(64, 500))
+    core, centres = cross_polytope.cores(classes, 0.95)
+    assert core.count() == 500 and cross_polytope.candidates(classes, core, centres, 0.95).count() == 0
+    got = cross_polytope.near_duplicates(frame).collect()
+    assert {(r.n_links, r.component_id, r.kept) for r in got} == {(499, 0, False), (499, 0, True)}
+
+
+@pytest.mark.parametrize("width", [1, 2, 8, 64])
+def test_rotations_keep_lengths_and_plans_meet_the_threshold(width):
+    x = np.random.default_rng(1).standard_normal((5, width))
+    hasher = cross_polytope.Hasher(width, cross_polytope.Plan(2, 2, 4))
+    turned = hasher._rotated(hasher._padded(x), hasher.turns[0][0])
+    assert np.allclose(np.linalg.norm(turned, axis=1), np.linalg.norm(x, axis=1))
+    assert [cross_polytope.planned(width, n).k for n in (10, 10**12)] == sorted(cross_polytope.planned(width, n).k for n in (10, 10**12))
