@@ -11,6 +11,7 @@ partitions hold, so a length that very many pieces share is no hot group.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -26,6 +27,9 @@ from lattica.session import cut_lineage
 
 CAPACITY = 1024
 END = 2  # id behind every document
+LONG_RUN = 10_000  # characters of white space that are tokenised apart
+# The characters with the property White_Space.
+_RUNS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}+")
 
 
 def encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
@@ -34,13 +38,38 @@ def encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None
     The ranks file holds the vocabulary of the tokenizer; its encoder gives the
     same ids several times faster.  Strings of `special` become their ids
     wherever a text holds them; without it they are plain text.
+
+    The pattern looks ahead behind white space, for which its engine runs out of
+    stack in runs of about a million.  Long runs are taken out before: the
+    pattern makes one piece of a run, without its last character if more follows.
     """
     import tiktoken
 
+    special = special or {}
     with open(ranks_path, "rb") as handle:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, handle)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
-    return lambda text: np.array([*encoding.encode(text, allowed_special="all"), END], "<u4")
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    one_piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+    def with_long_runs(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in _RUNS.finditer(text):
+            if run.end() - run.start() >= LONG_RUN:
+                end = run.end() - (run.end() < len(text))
+                ids += encoding.encode_ordinary(text[at : run.start()]) + one_piece.encode_ordinary(text[run.start() : end])
+                at = end
+        return ids + encoding.encode_ordinary(text[at:])
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and any(r.end() - r.start() >= LONG_RUN for r in _RUNS.finditer(text)):
+            parts = marks.split(text) if marks else [text]  # every second part is a mark
+            ids = [x for i, part in enumerate(parts) for x in ([special[part]] if i % 2 else with_long_runs(part))]
+        else:
+            ids = encoding.encode(text, allowed_special="all")
+        return np.array([*ids, END], "<u4")
+
+    return encode
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

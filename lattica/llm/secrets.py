@@ -130,14 +130,14 @@ def with_postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
     """
     grams = sorted({g for rule in rules for clause in trigram_query(rule.pattern) for string in clause for g in string})
     lower = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    name = free_name(docs, "_postings")
+    name, small = free_name(docs, "_postings"), free_name(docs, "_lower")
     words = []
     for at in range(0, len(grams), 62):
-        bits = [F.when(F.contains(F.col(name + "_l"), F.lit(g)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        bits = [F.when(F.contains(F.col(small), F.lit(g)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
                 for k, g in enumerate(grams[at : at + 62])]
         words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
-    lowered = once(docs, lower, name + "_l")
-    return once(lowered, F.array(*words) if words else F.array().cast("array<bigint>"), name).drop(name + "_l"), name, grams
+    lowered = once(docs, lower, small)
+    return once(lowered, F.array(*words) if words else F.array().cast("array<bigint>"), name).drop(small), name, grams
 
 
 def candidate(rule: Rule, postings: Column, grams: list[str]) -> Column:

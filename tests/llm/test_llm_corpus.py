@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import classlm, jaccard, multi_index, packing
 from lattica.llm.components import components
-from lattica.llm.queries import tokenizer
+from lattica.llm.queries import added_tokens, tokenizer
 from lattica.llm.shingles import Hasher
 
 ASCII = {i: i + 32 for i in range(65, 91)}
@@ -212,6 +212,19 @@ def test_packing_reads_added_tokens(spark, tmp_path):
     assert {r.doc_id: (r.length, r.ids_crc32) for r in corpus_pipeline.packed_sequences(spark, docs, str(tmp_path)).collect()} == want
 
 
+@pytest.mark.parametrize("run", [" " * 10**6, "\n" * 10**6, "\t \n\u3000" * 250_001, " " * 10**7, "\r\n" * 9_999, " " * 9_999])
+def test_long_white_space(run):
+    """The tokenizer itself on runs it can take in reasonable time; shorter runs follow the same rules."""
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(re.sub(r"\.tiktoken$", ".json", tokenizer()["ranks_path"]))
+    encode = packing.encoder(**tokenizer(), special=added_tokens())
+    # The engine of the pattern gives up on a run of a million, that of the tokenizer does not.
+    for text in (run + "word", "a b" + run + "<|endoftext|>" + run[:20_000] + "!  x", "x" + run[:20_001], run[:20_000] + "<|endoftext|"):
+        if len(run) <= 10**6 or text.startswith(run):
+            assert encode(text).tolist() == [*reader.encode(text, add_special_tokens=False).ids, 2]
+
+
 def lm_tokens(text):
     return SPACED.findall((text or "").translate(ASCII)) + ["\n"]
 

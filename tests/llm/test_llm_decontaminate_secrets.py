@@ -110,6 +110,11 @@ def test_redaction_leaves_no_span(spark):
     assert secrets.digest(docs.limit(0)).collect() == []
 
 
+def test_redaction_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "password = hunter22", "a", "b", "c")], "doc_id long, text string, _postings_l string, _lower string, _POSTINGS string")
+    assert secrets.redact(docs).collect() == [(1, "[REMOVED]", "a", "b", "c")]
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_every_match_satisfies_its_query(rule):
     for text in SECRETS:
