@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,28 +47,22 @@ _BREAKS = tuple(b.encode() for b in ("\n\n", *SENTENCE_BREAKS, "\n"))
 
 
 class _Text:
-    """Bytes of a text, with the places of each break found once and looked up by bisection."""
+    """Bytes of a text and the places where it may be cut."""
 
     def __init__(self, data: bytes):
         self.data = data
-        self._places: dict[bytes, list[int]] = {}
 
     def floor(self, at: int) -> int:
         """The last character start up to a byte position; a character has at most four bytes."""
         if at >= len(self.data):
             return len(self.data)
-        return next(i for i in range(at, -1, -1) if not 0x80 <= self.data[i] < 0xC0)
+        return next((i for i in (at, at - 1, at - 2) if not 0x80 <= self.data[i] < 0xC0), at - 3)
 
     def last_break(self, low: int, high: int) -> int | None:
         """End of the last break of the best kind that lies between two positions."""
-        for mark in _BREAKS:
-            if mark not in self._places:
-                self._places[mark] = [m.start() for m in re.finditer(b"(?=" + re.escape(mark) + b")", self.data)]
-            places = self._places[mark]
-            n = bisect_right(places, high - len(mark))
-            if n and places[n - 1] >= low:
-                return places[n - 1] + len(mark)
-        return None
+        window = self.data[low:high]
+        places = ((window.rfind(mark), mark) for mark in _BREAKS)
+        return next((low + n + len(mark) for n, mark in places if n >= 0), None)
 
 
 def split_spans(data: bytes, config: ChunkConfig) -> list[tuple[int, int]]:
