@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Words and beginnings of words that go with the label in the training sample
-(chi-squared and lift) span the vector space; their document frequencies come
-from all documents.  Examples lie
-in an inverted index in blocks of `BLOCK`, with the largest weight of each term
-in each block.  The sum of query weights times these maxima bounds every cosine
-in a block; blocks are scored exactly in the order of their bounds until the
-bound falls below the k-th best cosine, so the neighbours are exact.  Votes
-weighted by distance are calibrated by isotonic regression on leave-one-out
-votes of the examples.
+All words of a bounded sample of labelled examples span the vector space; their
+document frequencies come from all documents.  A word's weight is its IDF times
+a smooth measure of how it goes with the label, so no word is left out and no
+word of the label drowns in a long text.
+
+Examples lie in an inverted index in blocks of `BLOCK`.  Rare words have plain
+postings.  Frequent words have postings for every block, with the largest weight
+of each word in each block; a query's weights times these maxima bound every
+cosine in a block.  Blocks are opened by their bounds until those left lie below
+the k-th best cosine, so the neighbours are exact.  Votes weighted by distance
+are calibrated by isotonic regression on leave-one-out votes of the examples.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,176 +27,204 @@ from pyspark.sql import types as T
 from lattica.llm.common import append_columns, free_name, texts_of
 from lattica.llm.decontaminate import words_of
 from lattica.llm.labelled import Isotonic, training_rows
-from lattica.session import cut_lineage
 
-TRAIN_ROWS = 20_000  # labelled rows the classifier is fitted on; each may be an example of the index
-VOCABULARY = 4096  # terms of the vector space
-CHI_SQUARED = 45.0  # smallest statistic of a term; a few near copies of one text stay below it
-LIFT = 25.0  # a term must be this many times as common with label 1 as with label 0
-BEGINNINGS = (4, 5, 6)  # bytes of a longer word that are terms too, so that inflected forms meet
+TRAIN_ROWS = 4_000  # labelled rows the classifier is fitted on; each may be an example of the index
+TRAIN_BYTES = 32 << 20  # and the most bytes that their texts have together
+PLAIN, ASSOCIATED = 0.05, 20.0  # weight of a word without association, and chi-squared of half the full weight
 NEIGHBOURS = 16
 BLOCK = 64  # examples per block of the index
-CACHED = 50_000  # answers that a task keeps for texts with the same vector
+FREQUENT, MOST_FREQUENT = 0.02, 1024  # share of examples that makes a word frequent, and how many may be
+TOGETHER = 256  # texts that are looked up at once
 EVIDENCE = 3  # neighbours that are reported
 
 
-def _terms_of(text: bytes | None) -> list[bytes]:
-    """Words, and beginnings of words marked by a hyphen, which no word holds."""
-    words = words_of(text)
-    return words + [w[:n] + b"-" for n in BEGINNINGS for w in words if len(w) > n]
+def label_weights(ones: np.ndarray, zeros: np.ndarray, n_ones: float, n_zeros: float) -> np.ndarray:
+    """Weight of each word by its chi-squared with the label; `ones` and `zeros` count examples that have it."""
+    total = n_ones + n_zeros
+    gap = ones * (n_zeros - zeros) - zeros * (n_ones - ones)
+    spread = (ones + zeros) * (total - ones - zeros) * n_ones * n_zeros
+    chi = total * gap * gap / np.maximum(spread, 1.0)
+    return PLAIN + (chi / (chi + ASSOCIATED)) ** 2
 
 
-def _vector(words: list[bytes], place: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and unit-length TF-IDF weights of a text; empty without a term."""
+Vector = tuple[np.ndarray, np.ndarray]  # terms, ascending, and weights
+
+
+def vector_of(words: list[bytes], place: dict[bytes, int], weight: np.ndarray) -> Vector:
+    """Terms and weights of unit length of a text; empty without a term."""
     counts = Counter(i for i in map(place.get, words) if i is not None)
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0)
     terms = np.array(sorted(counts), np.int64)
-    weights = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms]
+    weights = (1 + np.log([counts[t] for t in terms.tolist()])) * weight[terms]
     return terms, weights / np.linalg.norm(weights)
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, by block and term, with the largest weight in each."""
+    """Postings of unit vectors: plain ones of rare terms, blocks with maxima of frequent ones."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        blocks = -(-len(vectors) // block)
+    def __init__(self, vectors: list[Vector], terms: int, block: int = BLOCK):
         self.size, self.block = len(vectors), block
-        self.most = np.zeros((terms, blocks))
-        lists: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
-        for i, (ts, ws) in enumerate(vectors):
-            for t, w in zip(ts.tolist(), ws.tolist()):
-                ids, weights = lists[i // block].setdefault(t, ([], []))
-                ids.append(i % block)
-                weights.append(w)
-                self.most[t, i // block] = max(self.most[t, i // block], w)
-        self.postings = [{t: (np.array(a), np.array(w)) for t, (a, w) in x.items()} for x in lists]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine, ties to the smaller number, as (cosine, number)."""
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
+        self.blocks = -(-len(vectors) // block)
+        owner = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        found = np.bincount(term, minlength=terms)
+        frequent = np.argsort(-found, kind="stable")[:MOST_FREQUENT]
+        frequent = np.sort(frequent[found[frequent] >= max(2, FREQUENT * len(vectors))])
+        self.column = np.full(terms, -1, np.int64)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = self.column[term] >= 0
+        # Vectors of a block are rows that lie together.
+        self.dense = np.zeros((self.blocks * block, len(frequent)))
+        self.dense[owner[dense], self.column[term[dense]]] = weight[dense]
+        self.most = self.dense.reshape(self.blocks, block, len(frequent)).max(1) if self.blocks else np.zeros((0, len(frequent)))
+        order = np.argsort(term[~dense], kind="stable")
+        self.owners, self.weights = owner[~dense][order], weight[~dense][order]
+        self.starts = np.searchsorted(term[~dense][order], np.arange(terms + 1))
+        self.opened = self.asked = 0  # blocks, to tell what is spared
+
+    def _rare(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """What rare terms add to the cosine of each query with each example."""
+        lengths = self.starts[term + 1] - self.starts[term]
+        at = np.repeat(self.starts[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        width = self.blocks * self.block
+        flat = np.repeat(row, lengths) * width + self.owners[at]
+        return np.bincount(flat, np.repeat(weight, lengths) * self.weights[at], rows * width).reshape(rows, width)
+
+    def nearest(self, queries: list[Vector], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k examples of largest positive cosine, ties to the smaller number, as (cosine, number)."""
+        rows = len(queries)
+        if not rows or not self.size:
+            return [[] for _ in queries]
+        row = np.repeat(np.arange(rows), [len(t) for t, _ in queries])
+        term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        column = self.column[term]
+        head = np.zeros((rows, self.dense.shape[1]))
+        head[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        rare = self._rare(row[column < 0], term[column < 0], weight[column < 0], rows)
+        bounds = head @ self.most.T + rare.reshape(rows, self.blocks, self.block).max(2)
+        scores = np.full((rows, self.blocks * self.block), -1.0)
+        todo = np.zeros_like(bounds, bool)
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, : 1 + -(-k // self.block)]
+        np.put_along_axis(todo, first, True, axis=1)
+        done = bounds <= 0
+        kth = min(k, scores.shape[1])
+        for further in (4, self.blocks):  # a few blocks more lift the bar before the rest is judged
+            self._open(todo & ~done, head, rare, scores, without)
+            done |= todo
+            bar = np.maximum(-np.partition(-scores, kth - 1, axis=1)[:, kth - 1], 0.0)
             # The slack covers rounding; a block that could tie is still opened.
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-12):
-                break
-            sums = np.zeros(self.block)
-            postings = self.postings[b]
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                hit = postings.get(t)
-                if hit is not None:
-                    sums[hit[0]] += w * hit[1]
-            found = np.flatnonzero(sums > 0)
-            # Rounded, so that equal vectors tie whatever the order of their sums.
-            new = [(round(float(sums[i]), 12), b * self.block + i) for i in found.tolist() if b * self.block + i != without]
-            best = sorted([*best, *new], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            wanted = ~done & (bounds >= bar[:, None] - 1e-9)
+            ranked = np.argsort(np.where(wanted, -bounds, 1.0), axis=1, kind="stable")[:, :further]
+            todo = np.zeros_like(todo)
+            np.put_along_axis(todo, ranked, True, axis=1)
+            todo &= wanted
+        self._open(todo & ~done, head, rare, scores, without)
+        self.asked += bounds.size
+        # Rounded, so that equal vectors tie whatever the order of their sums.
+        scores = np.round(scores, 12)
+        bar = -np.partition(-scores, kth - 1, axis=1)[:, kth - 1]
+        out = []
+        for line, least in zip(scores, bar):
+            at = np.flatnonzero((line >= least) & (line > 0))
+            at = at[np.lexsort((at, -line[at]))][:k]
+            out.append(list(zip(line[at].tolist(), at.tolist())))
+        return out
+
+    def _open(self, todo: np.ndarray, head: np.ndarray, rare: np.ndarray, scores: np.ndarray, without: list[int] | None) -> None:
+        self.opened += int(todo.sum())
+        for b in np.flatnonzero(todo.any(0)).tolist():
+            rows, part = np.flatnonzero(todo[:, b]), slice(b * self.block, (b + 1) * self.block)
+            scores[rows, part] = head[rows] @ self.dense[part].T + rare[rows, part]
+        if without is not None:
+            scores[np.arange(len(without)), without] = -1.0
 
 
 @dataclass
 class Model:
     place: dict[bytes, int]
-    idf: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex
     ids: list
     labels: np.ndarray
     calibration: Isotonic
     k: int = NEIGHBOURS
-    cache: dict = field(default_factory=dict)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, by closeness; -1 without neighbours."""
         if not near:
             return -1.0
-        weights = np.array([1 / (1.05 - s) for s, _ in near])
+        weights = np.array([1 / (1.05 - min(s, 1.0)) for s, _ in near])
         return float(weights @ self.labels[[i for _, i in near]] / weights.sum())
 
-    def answer(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
-        terms, weights = _vector(_terms_of(text), self.place, self.idf)
-        key = (terms.tobytes(), weights.tobytes())
-        if key not in self.cache:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            near = self.index.nearest(terms, weights, self.k) if len(terms) and self.index.size else []
-            self.cache[key] = (self.vote(near), near[:EVIDENCE])
-        return self.cache[key]
-
-
-def _selected_terms(sample: DataFrame, size: int, least: float) -> list[bytes]:
-    """Terms of the sample by their chi-squared with the label, at most `size`."""
-
-    def distinct(batches):
-        for batch in batches:
-            terms, labels = [], []
-            for text, y in zip(texts_of(batch.column("_text")), batch.column("_y").to_pylist()):
-                unique = set(_terms_of(text))
-                terms += unique
-                labels += [y] * len(unique)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(labels, pa.int32())], names=["term", "y"])
-
-    n, ones = (float(x or 0) for x in sample.agg(F.count("*"), F.sum("_y")).first())
-    zeros = n - ones
-    counts = sample.mapInArrow(distinct, "term binary, y int").groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("a"))
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    # 2 x 2 table of term and label.
-    gap = a * (zeros - (df - a)) - (df - a) * (ones - a)
-    chi = n * gap * gap / (df * (n - df) * ones * zeros)
-    lifted = a * zeros >= LIFT * (df - a) * ones
-    rows = counts.withColumn("chi", chi).where((F.col("chi") >= least) & lifted).orderBy(F.desc("chi"), "term").limit(size).collect()
-    return sorted(bytes(r.term) for r in rows)
+    def neighbours(self, texts: list[bytes | None]) -> list[list[tuple[float, int]]]:
+        vectors = [vector_of(words_of(t), self.place, self.weight) for t in texts]
+        return [near for at in range(0, len(vectors), TOGETHER) for near in self.index.nearest(vectors[at : at + TOGETHER], self.k)]
 
 
 def _frequencies(docs: DataFrame, text_col: str, place: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """In how many documents each term occurs, and the number of documents."""
-    size = len(place)
+    size, shared = len(place), docs.sparkSession.sparkContext.broadcast(place)
 
     def count(batches):
-        sums = np.zeros(size + 1, np.int64)
+        place, sums = shared.value, np.zeros(size + 1, np.int64)
         for batch in batches:
             sums[size] += batch.num_rows
-            for text in texts_of(batch.column("text")):
-                for word in place.keys() & set(_terms_of(text)):
-                    sums[place[word]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(sums)], names=["term", "n"])
+            at = [place[w] for text in texts_of(batch.column("text")) for w in place.keys() & set(words_of(text))]
+            sums[:size] += np.bincount(np.array(at, np.int64), minlength=size)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["term", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size + 1, np.int64)
-    for r in rows:
-        counts[r.term] = r.n
+    counts[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return counts[:size], int(counts[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        bound: int = TRAIN_ROWS, vocabulary: int = VOCABULARY, least: float = CHI_SQUARED, k: int = NEIGHBOURS) -> Model:
-    """An index of labelled examples from the rows where `keep` holds.
+def examples_of(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, most_bytes: int, id_col: str, text_col: str) -> list:
+    """The labelled rows to learn from, at most about `bound` rows and `most_bytes` of text.
 
     Copies of a text with one label are one example, so that a large group of
-    copies has one vote.  Without a labelled row every score is 0.5; texts that
-    share no term with any example get the rate of such examples.
+    copies has one vote.
     """
     sample = training_rows(docs, labels, label, keep, bound, id_col, text_col)
-    distinct = cut_lineage(sample.groupBy(F.sha2(F.col("_text").cast("binary"), 256).alias("_hash"), "_y").agg(F.min("_id").alias("_id"), F.min("_text").alias("_text")))
-    place = {t: i for i, t in enumerate(_selected_terms(distinct, vocabulary, least))}
-    df, n = _frequencies(docs, text_col, place)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    # The copy of smallest id stands for all, and its text is fetched once.
+    key = F.sha2(F.col("_text").cast("binary"), 256).alias("_hash")
+    distinct = sample.groupBy(key, "_y").agg(F.min("_id").alias("_id"), F.min("_text").alias("_text"))
+    size = distinct.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    if size > most_bytes:
+        distinct = distinct.where(F.pmod(F.xxhash64("_hash"), F.lit(1 << 30)) < int((1 << 30) * most_bytes / size))
+    return sorted(distinct.select("_id", "_text", "_y").collect(), key=lambda r: (r._id, r._y, r._text))
 
-    def vectors(batches):
-        for batch in batches:
-            both = [_vector(_terms_of(t), place, idf) for t in texts_of(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_y"), pa.array([a.tolist() for a, _ in both], pa.list_(pa.int64())), pa.array([b.tolist() for _, b in both], pa.list_(pa.float64()))],
-                names=["id", "y", "terms", "weights"],
-            )
-
-    id_type = distinct.schema["_id"].dataType.simpleString()
-    # About `bound` rows of a few terms each.
-    rows = distinct.mapInArrow(vectors, f"id {id_type}, y int, terms array<long>, weights array<double>").collect()
-    rows.sort(key=lambda r: (r.terms, r.weights, r.id, r.y))  # like examples share blocks, so bounds are tight
-    examples = [(np.array(r.terms, np.int64), np.array(r.weights)) for r in rows]
-    y = np.array([r.y for r in rows], float)
-    model = Model(place, idf, BlockMaxIndex(examples, len(place)), [r.id for r in rows], y, Isotonic(np.zeros(0), np.zeros(0)), k)
-    votes = np.array([model.vote(model.index.nearest(t, w, k, without=i) if len(t) else []) for i, (t, w) in enumerate(examples)])
-    model.calibration = Isotonic(votes, y)
+
+def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+        bound: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, k: int = NEIGHBOURS) -> Model:
+    """An index of labelled examples from the rows where `keep` holds.
+
+    Without a labelled row every score is 0.5; texts that share no word with any
+    example get the rate of the examples with the lowest votes.
+    """
+    rows = examples_of(docs, labels, label, keep, bound, most_bytes, id_col, text_col)
+    words = [words_of(r._text.encode()) for r in rows]
+    place = {t: i for i, t in enumerate(sorted({w for ws in words for w in ws}))}
+    df, n = _frequencies(docs, text_col, place)
+    y = np.array([r._y for r in rows], float)
+    has = [np.array([place[w] for w in set(ws)], np.int64) for ws in words]
+    counts = [np.bincount(np.concatenate([h for h, v in zip(has, y) if v == wanted] or [np.zeros(0, np.int64)]), minlength=len(place)) for wanted in (1, 0)]
+    idf = np.log((1 + n) / (1 + np.minimum(df, n))) + 1e-3  # a word of all documents still counts
+    weight = idf * label_weights(counts[0].astype(float), counts[1].astype(float), y.sum(), len(y) - y.sum())
+    vectors = [vector_of(ws, place, weight) for ws in words]
+    # Like examples share blocks, so that bounds are tight: by their terms in most documents.
+    common = np.argsort(-df, kind="stable").argsort()
+    order = sorted(range(len(rows)), key=lambda i: (np.sort(common[vectors[i][0]])[:8].tolist(), i))
+    vectors, y = [vectors[i] for i in order], y[order]
+    model = Model(place, weight, BlockMaxIndex(vectors, len(place)), [rows[i]._id for i in order], y, Isotonic(np.zeros(0), np.zeros(0)), k)
+    votes = []
+    for at in range(0, len(vectors), TOGETHER):
+        some = vectors[at : at + TOGETHER]
+        votes += [model.vote(near) for near in model.index.nearest(some, k, list(range(at, at + len(some))))]
+    model.calibration = Isotonic(np.array(votes), y)
     return model
 
 
@@ -211,12 +241,12 @@ def with_score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         model = shared.value
 
         def step(batch):
-            answers = [model.answer(t) for t in texts_of(batch.column(text_col))]
-            scores = model.calibration(np.array([v for v, _ in answers], float))
+            found = model.neighbours(texts_of(batch.column(text_col)))
+            scores = model.calibration(np.array([model.vote(near) for near in found], float))
             return [
                 pa.array(scores, pa.float64()),
-                pa.array([[model.ids[i] for _, i in near] for _, near in answers], pa.list_(batch.schema.field(id_col).type)),
-                pa.array([[s for s, _ in near] for _, near in answers], pa.list_(pa.float64())),
+                pa.array([[model.ids[i] for _, i in near[:EVIDENCE]] for near in found], pa.list_(batch.schema.field(id_col).type)),
+                pa.array([[s for s, _ in near[:EVIDENCE]] for near in found], pa.list_(pa.float64())),
             ]
 
         return step
@@ -228,7 +258,9 @@ def with_score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Id, whether the row was held out, score, prediction and evidence of each document row.
 
-    A null text is an empty text; it shares no term with any example.
+    A null text is an empty text; it shares no word with any example.  Repeated
+    rows are scored alike, each a row of its own; examples of one cosine are
+    listed by their place in the index.  An empty table has no rows.
     """
     model = fit(docs, labels, ~held_out, id_col=id_col, text_col=text_col, **options)
     out, c = with_score(docs.select(id_col, text_col), model, id_col, text_col)

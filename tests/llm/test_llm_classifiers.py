@@ -1,6 +1,9 @@
 """Language, quality, toxicity and licence classifiers, and the pipeline."""
 
+import math
 import random
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import decontaminate, jaccard, labelled, language, licences, quality, secrets, toxicity
+from lattica.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -97,21 +101,77 @@ def test_held_out_labels_are_not_learned(tables):
     assert first == sorted(map(tuple, toxicity.scored(docs, flipped, held()).select("doc_id", "score").collect()))
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("share", [0.02, 0.3, 2.0])
+def test_block_max_search_is_exact(monkeypatch, share):
+    monkeypatch.setattr(toxicity, "FREQUENT", share)  # all, some or no terms are frequent ones
     rng = np.random.default_rng(1)
     vectors = []
-    for _ in range(300):
-        terms = np.sort(rng.choice(40, rng.integers(1, 5), replace=False))
+    for i in range(300):
+        terms = np.sort(rng.choice(np.arange(40) + 40 * (i // 150), rng.integers(1, 5), replace=False))
         weights = rng.integers(1, 4, len(terms)).astype(float)
         vectors.append((terms, weights / np.linalg.norm(weights)))
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
-    dense = np.zeros((300, 40))
+    index = toxicity.BlockMaxIndex(vectors, 80, block=16)
+    dense = np.zeros((300, 80))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for i, (t, w) in enumerate(vectors):
+    found = index.nearest(vectors, 7, without=list(range(300)))
+    assert index.nearest([(np.zeros(0, np.int64), np.zeros(0))], 7) == [[]]
+    assert index.opened < 0.6 * index.asked
+    for i, near in enumerate(found):
         cosines = np.round(dense @ dense[i], 12)
         want = sorted((-c, j) for j, c in enumerate(cosines) if c > 0 and j != i)[:7]
-        assert [(-c, j) for c, j in index.nearest(t, w, 7, without=i)] == want
+        assert [(round(-c, 9), j) for c, j in near] == [(round(c, 9), j) for c, j in want]
+
+
+def plain_toxicity(docs, labels, held_out):
+    """id -> score, by cosines of all documents with all examples."""
+    texts = {i: decontaminate.words_of((t or "").encode()) for i, t in docs}
+    examples = sorted({(tuple(texts[i]), y): i for i, y in sorted(labels, reverse=True) if i in texts and y in (0, 1) and not held_out(i)}.items(), key=lambda e: e[1])
+    y = np.array([label for (_, label), _ in examples], float)
+    words = sorted({w for (ws, _), _ in examples for w in ws})
+    n, df = len(docs), {w: sum(w in set(ws) for ws in texts.values()) for w in words}
+    weight = {}
+    for w in words:
+        a, b = (sum(w in ws for (ws, label), _ in examples if label == v) for v in (1, 0))
+        n1, n0 = y.sum(), len(y) - y.sum()
+        chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / max((a + b) * (n1 + n0 - a - b) * n1 * n0, 1)
+        weight[w] = (math.log((1 + n) / (1 + df[w])) + 1e-3) * (0.05 + (chi / (chi + 20)) ** 2)
+
+    def vector(ws):
+        counts = Counter(w for w in ws if w in weight)
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in counts.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    known = [vector(ws) for (ws, _), _ in examples]
+
+    def vote(v, without=None):
+        cosines = [(round(sum(x * e.get(w, 0) for w, x in v.items()), 12), i) for i, e in enumerate(known) if i != without]
+        near = sorted((-c, i) for c, i in cosines if c > 0)[:16]
+        weights = [1 / (1.05 + min(max(c, -1), 0)) for c, _ in near]
+        return sum(w * y[i] for w, (_, i) in zip(weights, near)) / sum(weights) if near else -1.0
+
+    calibration = labelled.Isotonic(np.array([vote(e, i) for i, e in enumerate(known)]), y)
+    return {i: float(calibration(np.array([vote(vector(ws))]))[0]) for i, ws in texts.items()}
+
+
+def test_toxicity_query_by_brute_force(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id", "toxic").collect()]
+    want = plain_toxicity(docs, labels, lambda i: crc32(str(i).encode()) % 5 == 0)
+    got = {r.doc_id: r for r in QUERIES["op6_toxicity"].build(spark, SF_DIR).collect()}
+    assert len(got) == len(docs) and len(set(want.values())) > 20
+    # Ties of neighbours at the last place may be broken otherwise; they are rare.
+    assert sum(abs(got[i].score - p) < 1e-6 for i, p in want.items()) >= 0.98 * len(docs)
+    assert np.mean([len(r.evidence) == 3 for r in got.values()]) > 0.9
+    toxic = [got[i].predicted for i, t in labels if t == 1]
+    assert np.mean(toxic) > 0.8
+
+
+def test_toxicity_examples_stay_within_their_bytes(tables):
+    docs, labels = tables
+    rows = toxicity.examples_of(docs, labels, "toxic", F.lit(True), 4000, 20_000, "doc_id", "text")
+    assert 0 < sum(len(r._text.encode()) for r in rows) < 40_000
 
 
 def test_isotonic_is_monotone():
