@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.access import Principal, visible_to
 from lattica.functions.text import keywords
-from lattica.operators.scoring import keyword_kernel, top_matches
+from lattica.operators import inverted_index
 
 
 def search_terms(question: Column) -> Column:
@@ -24,18 +24,14 @@ def search(
     id_column: str = "doc_id",
     text: str = "text",
     carry: str | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """k best texts per question; `questions` has (request_id, question).
 
-    The column `carry` follows the winners.
+    The column `carry` follows the winners.  A written `index` must hold exactly
+    the items that the principal may read, so that ranks are among these.
     """
     if principal is not None:
         items = visible_to(items, principal)
-    return top_matches(
-        items.select(F.col(id_column).alias("item_id"), F.col(text).alias("payload"), *[c for c in [carry] if c]),
-        questions.select("request_id", search_terms(F.col("question")).alias("payload")),
-        keyword_kernel(),
-        k,
-        min_score=min_score,
-        carry=carry,
-    )
+    asked = questions.select("request_id", search_terms(F.col("question")).alias("payload"))
+    return inverted_index.search(items, asked, k, min_score, id_column, text, carry, index)

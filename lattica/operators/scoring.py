@@ -98,7 +98,7 @@ def top_matches(
     fields = [requests.schema["request_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields + [items.schema[c] for c in [carry] if c])
     found = None
-    for ids, payloads in _blocks(requests, block_bytes):
+    for ids, payloads in request_blocks(requests, block_bytes):
         part = _scan(items, ids, payloads, kernel, k, schema)
         found = part if found is None else found.unionByName(part)
     if min_score is not None:
@@ -106,7 +106,7 @@ def top_matches(
     return top_k_per_group(found, ["request_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
-def _blocks(requests: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
+def request_blocks(requests: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
     """(ids, payloads) of requests that add up to about `block_bytes`; one empty block without requests."""
     ids, payloads, size, any_yet = [], [], 0, False
     for r in requests.select("request_id", "payload").toLocalIterator():
@@ -174,40 +174,6 @@ def cosine_kernel(digits: int = RANK_DIGITS) -> Kernel:
     return prepare
 
 
-def keyword_kernel(saturation: float = 1.2, digits: int = RANK_DIGITS) -> Kernel:
-    """Mean saturated frequency of the request's keywords among the item's words.
-
-    Requests are arrays of distinct lower-case keywords, items are texts.  A
-    keyword found n times counts n / (n + saturation), so the score lies in
-    [0, 1) and a text holding every keyword beats one repeating a single one.
-    """
-
-    def prepare(payloads: list) -> Scorer:
-        wanted: dict[str, list[int]] = {}
-        for i, terms in enumerate(payloads):
-            for term in terms:
-                wanted.setdefault(term, []).append(i)
-        columns = {term: np.asarray(found) for term, found in wanted.items()}
-        sizes = np.array([max(len(terms), 1) for terms in payloads], dtype=np.float64)
-
-        def score(payload) -> np.ndarray:
-            result = np.zeros((len(payload), len(payloads)))
-            for row, text in enumerate(payload.to_pylist()):
-                counts: dict[str, int] = {}
-                for word in (text or "").lower().split():
-                    if word in columns:
-                        counts[word] = counts.get(word, 0) + 1
-                for word, n in counts.items():
-                    result[row, columns[word]] += n / (n + saturation)
-            result = np.round(result / sizes, digits)
-            result[result <= 0] = NO_MATCH
-            return result
-
-        return score
-
-    return prepare
-
-
 def containment_kernel() -> Kernel:
     """How many of the request's keywords occur in the item as substrings, case kept."""
 
@@ -233,5 +199,13 @@ def containment_kernel() -> Kernel:
 
 
 def _term_finder(terms: list[str]) -> Callable[[str], set[str]]:
-    """Function giving the terms that occur in a text."""
-    return lambda text: {t for t in terms if t in text}
+    """Function giving the terms that occur in a text, all looked for in one pass over it."""
+    from ahocorasick import Automaton
+
+    automaton = Automaton()
+    for term in filter(None, terms):
+        automaton.add_word(term, term)
+    if not len(automaton):
+        return lambda text: set()
+    automaton.make_automaton()
+    return lambda text: {term for _, term in automaton.iter(text)}

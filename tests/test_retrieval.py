@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import answers, fusion, keyword_search, scoring, vectors
+from lattica.operators import answers, fusion, inverted_index, keyword_search, scoring, vectors
 from lattica.operators.fusion import RetrievalConfig
 
 
@@ -108,3 +108,72 @@ def test_answers_and_citations(spark):
 
     made = {r.request_id: r for r in answers.generate(answers.assemble_prompts(asked, results), Model()).collect()}
     assert made[1].answer == "fine" and made[2].answer is None and made[2].error == "down"
+
+
+def _worded(spark, n=1500):
+    """Texts whose topic changes slowly along the table, a few odd ones, and requests."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(n):
+        topic = words[(i // 150) * 30 : (i // 150) * 30 + 30]
+        texts.append((i, " ".join(rng.choice(topic + words[:5], rng.integers(1, 40)))))
+    texts += [(n, None), (n + 1, ""), (n + 2, "W7\u00a0w7\tW7 w8"), (n + 3, "w7 " * 5000), (n + 4, "w7 " * 5000)]
+    asked = [(k, sorted({str(w) for w in rng.choice(words, rng.integers(1, 6))})) for k in range(40)] + [(90, []), (91, ["nowhere"]), (92, ["w7"])]
+    items = spark.createDataFrame(texts, "doc_id long, text string").repartition(4).sortWithinPartitions("doc_id")
+    return items, spark.createDataFrame(asked, "request_id long, payload array<string>"), texts, asked
+
+
+def _plain_hits(texts, asked, k):
+    out = set()
+    for request, terms in asked:
+        scored = []
+        for i, text in texts:
+            words = (text or "").lower().split()
+            score = round(sum(words.count(t) / (words.count(t) + 1.2) for t in terms) / max(len(terms), 1), 12)
+            if score > 0:
+                scored.append((-score, i))
+        out |= {(request, i, round(-s, 9), rank) for rank, (s, i) in enumerate(sorted(scored)[:k], 1)}
+    return out
+
+
+def test_postings_give_what_counting_gives(spark, tmp_path):
+    items, requests, texts, asked = _worded(spark)
+    folder = f"{tmp_path}/index"
+    inverted_index.write(items, folder)
+    index = inverted_index.read(spark, folder)
+    want = _plain_hits(texts, asked, 7)
+    for found in (
+        inverted_index.search(items, requests, 7),
+        inverted_index.search(items, requests, 7, index=index),
+        inverted_index.search(items, requests, 7, index=index, block_bytes=500),
+    ):
+        assert {(r.request_id, r.item_id, round(r.score, 9), r["rank"]) for r in found.collect()} == want
+    carried = inverted_index.search(items, requests, 7, carry="text", index=index, min_score=0.3).collect()
+    assert carried and all(r.score >= 0.3 and dict(texts)[r.item_id] == r.text for r in carried)
+
+
+def test_index_opens_few_blocks_and_runs_no_python(spark, tmp_path):
+    items, requests, _, asked = _worded(spark)
+    folder = f"{tmp_path}/index"
+    inverted_index.write(items, folder)
+    index = inverted_index.read(spark, folder)
+    assert index.groupBy("term", "block").count().where("count > 1").isEmpty()
+    assert index.selectExpr("max(size(entries)) AS n").first().n <= inverted_index.PER_BLOCK
+    spread = F.broadcast(spark.createDataFrame([(i, t, len(ts)) for i, ts in asked for t in ts], "request_id long, term string, asked int"))
+    bounds, near = inverted_index.candidate_blocks(index, spread, 3)
+    assert near.count() < 0.7 * bounds.count()
+    for given in (None, index):
+        plan = inverted_index.search(items, requests, 3, index=given)._jdf.queryExecution().executedPlan().toString()
+        assert "InArrow" not in plan and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_index_of_nothing(spark, tmp_path):
+    items, requests, _, _ = _worded(spark, 3)
+    for given in (items.limit(0), items):
+        folder = f"{tmp_path}/{given.count()}"
+        inverted_index.write(given, folder)
+        index = spark.read.schema("term string, block long, most long, entries array<struct<item_id:long,n:long>>, folder int").parquet(folder)
+        assert inverted_index.search(given, requests.limit(0), 3, index=index).collect() == []
+        if given is not items:
+            assert inverted_index.search(given, requests, 3).collect() == inverted_index.search(given, requests, 3, index=index).collect() == []

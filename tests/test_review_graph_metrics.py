@@ -171,3 +171,56 @@ def test_soft_delete(spark):
     assert [r.document_id for r in catalog.live(after).collect()] == [1]
     chunks = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, content string")
     assert [r.content for r in catalog.live_chunks(chunks, after).collect()] == ["a"]
+
+
+def _replayed(rows):
+    """Outcomes of (user, us, id, ok) judged one after another."""
+    out, states = {}, {}
+    for user, us, i, ok in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        outcome, failed, until = accounts.attempt(*states.get(user, (0, None)), us, ok)
+        states[user] = failed, until
+        out[i] = (outcome, failed, until)
+    return out
+
+
+def test_a_hot_account_is_judged_in_stretches(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, at = [], {}
+    for i in range(3000):
+        user = "hot" if i % 3 == 0 else rng.choice(["a", "b", "c", None, *(f"u{k}" for k in range(40))])
+        at[user] = at.get(user, 0) + rng.choice([0, 1, 30, 200, 400, 2000]) * 1_000_000
+        rows.append((user, at[user], i, rng.random() < (0.04 if user == "hot" else 0.3)))
+    df = spark.createDataFrame(rows, "user string, us long, id long, ok boolean").repartition(5)
+    df = df.withColumn("at", F.timestamp_micros("us"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = accounts.judged(df, "user", "at", "id", F.col("ok"))
+        found = {r.id: (r.outcome, r.failed_attempts, r.u) for r in got.withColumn("u", F.unix_micros("locked_until")).collect()}
+        parts = df.where("user = 'hot'").join(df.repartitionByRange("user", "us", "id").select("id", F.spark_partition_id().alias("p")), "id").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert found == _replayed(rows)
+    assert len(parts) > 3 and max(r["count"] for r in parts) < 500
+
+
+def test_passages_lead_where_replaying_leads():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        instants = sorted(rng.randrange(0, 40 * 60) * 1_000_000 for _ in range(rng.randrange(1, 40)))
+        successes = [rng.random() < rng.choice([0.0, 0.1, 0.5]) for _ in instants]
+        crossed = accounts.passage(instants, successes)
+        for failed in range(9):
+            for until in (None, *(instants[0] + rng.randrange(-5, 15 * 60) * 1_000_000 for _ in range(4))):
+                state = failed, until
+                for us, ok in zip(instants, successes):
+                    _, *state = accounts.attempt(*state, us, ok)
+                count, lock = crossed.leave(failed, until)
+                # A lock that ended within the stretch is as good as none.
+                ended = lambda x: None if x is None or x <= instants[-1] else x
+                assert (count, ended(lock)) == (state[0], ended(state[1])), (instants, successes, failed, until)
