@@ -7,9 +7,10 @@ reranked by the exact cosine of the original vectors.
 
 Centroids and the share of entries that a query has to visit are fitted on a
 bounded sample; every vector is indexed.  Equal vectors are one entry with its
-smallest ids, which loses nothing, as they tie.  Queries are taken in blocks of
-a fixed size; a task keeps the best entries of each query of the block, so
-neither entries nor pairs are shuffled.
+smallest ids, which loses nothing, as they tie.  Entries are laid out by cell;
+queries are taken in blocks of a fixed size, and a task scores the entries of a
+cell for the queries that visit it, and no others.  It keeps the best entries of
+each query of the block, so no pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ ROUNDS = 8  # of k-means
 MOST_CENTROIDS = 1024  # of a half
 LEAST = 20  # entries visited at least, for each neighbour asked for
 QUERIES = 2048  # in a block
+SALTS = 4  # parts of a cell that lie apart
 _GRID = 1 << 30
 
 
@@ -80,6 +82,20 @@ class Quantiser:
         return distances(unit[:, :half], self.first), distances(unit[:, half:], self.second)
 
 
+def cells_of(a: np.ndarray, b: np.ndarray):
+    """(first centroid, second centroid, rows) of each stretch of rows in one cell."""
+    cuts = [0, *(np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1).tolist(), len(a)]
+    for start, end in zip(cuts, cuts[1:]):
+        yield int(a[start]), int(b[start]), slice(start, end)
+
+
+def visited_share(quantiser: Quantiser, counts: np.ndarray, queries: np.ndarray, limits: np.ndarray) -> float:
+    """Mean share of all entries that lie in the cells queries visit."""
+    to_a, to_b = quantiser.halves(queries / np.linalg.norm(queries, axis=1)[:, None])
+    seen = [counts[x[:, None] + y <= limit + 1e-9].sum() for x, y, limit in zip(to_a, to_b, limits)]
+    return float(np.mean(seen) / counts.sum())
+
+
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x = np.array(column.to_pylist(), np.float64)
     return x, np.linalg.norm(x, axis=1)
@@ -148,7 +164,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
             a, b = shared.value.halves(x / norms[:, None])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a.argmin(1), pa.int32()), pa.array(b.argmin(1), pa.int32())], names=["v", "ids", "a", "b"])
 
-    index = stored(entries.select("v", "ids").mapInArrow(assign, index_schema))
+    # Entries of a cell lie together; a cell that holds very many is dealt to SALTS tasks.
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS))
+    index = stored(entries.select("v", "ids").mapInArrow(assign, index_schema).repartition("a", "b", salt).sortWithinPartitions("a", "b"))
     counts = np.zeros((len(quantiser.first), len(quantiser.second)), np.int64)
     for r in index.groupBy("a", "b").count().collect():  # at most MOST_CENTROIDS^2 cells
         counts[r.a, r.b] = r["count"]
@@ -183,20 +201,25 @@ def _nearest(index: DataFrame, asked: list, shared, k: int, id_type: str) -> Dat
         queries, limits, names = given.value
         if not len(queries):
             return
-        norms = np.linalg.norm(queries, axis=1)
-        to_a, to_b = shared.value.halves(queries / norms[:, None])
+        units = queries / np.linalg.norm(queries, axis=1)[:, None]
+        to_a, to_b = shared.value.halves(units)
         best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query, cosine, number of the entry
         ids: dict[int, list] = {}
         floor, seen = np.full(len(queries), -np.inf), 0
         for batch in filter(len, batches):
             v, lengths = _units(batch.column("v"))
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            scores = (queries @ v.T) / (norms[:, None] * lengths)
-            visited = to_a[:, a] + to_b[:, b] <= limits[:, None] + 1e-9
-            q, e = np.nonzero(visited & (scores >= floor[:, None]))
-            lists = batch.column("ids").to_pylist()
-            ids.update({seen + i: lists[i] for i in np.unique(e).tolist()})
-            best = tuple(np.concatenate(z) for z in zip(best, (q, scores[q, e], e + seen)))
+            v /= lengths[:, None]
+            found = [best]
+            for a, b, rows in cells_of(batch.column("a").to_numpy(), batch.column("b").to_numpy()):
+                visitors = np.flatnonzero(to_a[:, a] + to_b[:, b] <= limits + 1e-9)
+                if len(visitors):
+                    scores = units[visitors] @ v[rows].T
+                    q, e = np.nonzero(scores >= floor[visitors, None])
+                    found.append((visitors[q], scores[q, e], e + rows.start + seen))
+            best = tuple(np.concatenate(z) for z in zip(*found))
+            fresh = np.unique(best[2][best[2] >= seen]).tolist()
+            lists = batch.column("ids")
+            ids.update({i: lists[i - seen].as_py() for i in fresh})
             seen += batch.num_rows
             smallest = [ids[i][0] for i in best[2].tolist()]
             order = np.lexsort((np.unique(np.array(smallest), return_inverse=True)[1], -best[1], best[0]))

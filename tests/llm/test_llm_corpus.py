@@ -324,6 +324,31 @@ def test_nearest(spark):
     assert found / wanted >= 0.9
 
 
+def test_queries_score_visited_cells_only(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16)) * 4
+    x = np.vstack([c + rng.normal(size=(40, 16)) for c in centres])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    entries = multi_index.usable(table, "vec_id", "embedding")
+    quantiser, total = multi_index.fit(entries, 5)
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = (d.argmin(1) for d in quantiser.halves(units))
+    counts = np.zeros((len(quantiser.first), len(quantiser.second)), np.int64)
+    np.add.at(counts, (a, b), 1)
+    wanted = max(math.ceil(quantiser.share * total), multi_index.LEAST * 6)
+    asked = x[::10]
+    limits = np.array([multi_index.reach(p, q, counts, wanted) for p, q in zip(*quantiser.halves(units[::10]))])
+    assert multi_index.visited_share(quantiser, counts, asked, limits) < 0.3
+    found = {(r.query_id, r.vec_id) for r in multi_index.search(table, F.col("id") % 10 == 0).collect()}
+    best = {(q, i) for q in range(0, len(x), 10) for _, i in plain_nearest(list(enumerate(x)), q, x[q], 5)}
+    assert len(found & best) / len(best) >= 0.9
+
+
+def test_cells_of_sorted_rows():
+    cells = list(multi_index.cells_of(np.array([0, 0, 0, 1, 1]), np.array([2, 2, 3, 3, 3])))
+    assert cells == [(0, 2, slice(0, 2)), (0, 3, slice(2, 3)), (1, 3, slice(3, 5))]
+
+
 def test_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.1])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in multi_index.search(table, F.col("id") == 0).orderBy("rank").collect()]
