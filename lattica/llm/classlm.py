@@ -1,17 +1,25 @@
 """Class-based bigram language model in the manner of Brown et al., scored on whole texts.
 
-P(text) is the product over tokens of P(class | class before) P(unit | class)
-P(word | unit).  The most frequent words are units of their own, all other words
-share units by their ending; exchange clustering moves units between classes as
-long as that raises the likelihood of the training bigrams.
+P(text) is the product over tokens of P(class | class before) P(word | class).
+
+* The `CORE` most frequent words are clustered by exchange: words move between
+  classes as long as that raises the likelihood of the bigrams of core words.
+* Every other training word then moves to the class where it raises that
+  likelihood most, by its bigrams with core words before and behind it.  Their
+  counts are a table that grows with the corpus, a row for each word's bucket;
+  buckets grow with the vocabulary, several for each word.  A word that never
+  meets a core word, and a word that training lacks, takes the class that most
+  words of its ending have.
+* Transitions between classes and the size of each class are counted on all
+  texts and all words under these classes.
 
 Counts of all words are a table.  Its head, `HEAD` words, is broadcast; words
 beyond it are joined with the table, so any vocabulary can be scored exactly.
-The bigrams of units are a matrix of fixed size that tasks sum up.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -26,13 +34,18 @@ from pyspark.sql import types as T
 from lattica.llm.common import ASCII_LOWER, stored, texts_of
 
 HEAD = 100_000  # words whose counts are broadcast
-OWN = 768  # words that are units of their own
-ENDINGS = 256  # units shared by words of like ending
+CORE = 1024  # words whose bigrams are a matrix
+ENDINGS = 256  # groups of words of like ending
 ENDING = 3  # bytes of an ending
 CLASSES = 64
 SWEEPS = 12  # of exchange clustering, at most
 PRIOR = 5.0  # weight of the class frequencies in a transition
-HELD = 400_000  # distinct words a task counts before it passes them on
+PER_WORD = 8  # buckets for each word of the vocabulary
+BUCKETS = (1 << 16, 1 << 26)  # fewest and most, a byte each in the broadcast
+SHARD = 1 << 13  # buckets whose contexts are added up together
+HELD = 400_000  # distinct words a task counts, or remembers, at a time
+PENDING = 4_000_000  # contexts a task gathers before it passes them on
+UNKNOWN = 255
 END = b"\n"  # behind every text; no word holds it
 
 
@@ -63,65 +76,141 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Units:
-    """Head words with their counts, and the unit of any word."""
+class Classes:
+    """The class of any word: its own in the core, else that of its bucket, else that of its ending."""
 
-    place: dict[bytes, int]  # of the head words, the most frequent first
-    counts: np.ndarray
-    unit: np.ndarray  # of the head words
+    core: dict[bytes, int]
+    buckets: np.ndarray
+    endings: np.ndarray
+
+    def of(self, word: bytes) -> int:
+        found = self.core.get(word)
+        if found is None:
+            found = int(self.buckets[crc32(word) & (len(self.buckets) - 1)])
+            if found == UNKNOWN:
+                found = int(self.endings[ending_of(word)])
+        return found
 
-    @staticmethod
-    def of(words: list[bytes], counts: np.ndarray) -> Units:
-        unit = np.array([i if i < OWN else shared_unit(w) for i, w in enumerate(words)], np.int64)
-        return Units({w: i for i, w in enumerate(words)}, counts, unit)
 
-    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Units of the tokens, places in the head (-1 beyond it), and the words beyond it."""
-        places = np.array([self.place.get(w, -1) for w in tokens], np.int64)
-        units = self.unit[places] if len(self.unit) else np.zeros(len(tokens), np.int64)
-        beyond = np.flatnonzero(places < 0).tolist()
-        rest = [tokens[i] for i in beyond]
-        units[beyond] = [shared_unit(w) for w in rest]
-        return units, places, rest
+def ending_of(word: bytes) -> int:
+    return crc32(word[-ENDING:]) % ENDINGS
 
 
-UNITS = OWN + ENDINGS
+class Remembered(dict):
+    """Values of `compute`, kept for words met again; `compute` is asked anew when too many are kept."""
 
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
 
-def shared_unit(word: bytes) -> int:
-    return OWN + crc32(word[-ENDING:]) % ENDINGS
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        value = self[word] = self.compute(word)
+        return value
 
+    def read(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
-def unit_bigrams(texts: DataFrame, shared) -> np.ndarray:
-    """How often a unit follows another; a text follows the end of one before."""
+
+def _summed_matrix(texts: DataFrame, size: int, codes) -> np.ndarray:
+    """How often one code follows another; `codes()` gives, in a task, the code of a word, -1 for none, and that of the end."""
 
     def count(batches):
-        units, sums = shared.value, np.zeros(UNITS * UNITS, np.int64)
-        end = int(units.unit[units.place[END]]) if END in units.place else shared_unit(END)
+        compute, end = codes()
+        known, sums = Remembered(compute), np.zeros(size * size, np.int64)
         for batch in batches:
-            pairs = []
             for text in texts_of(batch.column("text")):
-                u, _, _ = units.read(tokens_of(text))
-                pairs.append(np.concatenate([[end], u[:-1]]) * UNITS + u)
-            if pairs:
-                sums += np.bincount(np.concatenate(pairs), minlength=UNITS * UNITS)
-        rows = sums.reshape(UNITS, UNITS)
+                after = known.read(tokens_of(text))
+                before = np.concatenate([[end], after[:-1]])
+                both = (before >= 0) & (after >= 0)
+                np.add.at(sums, before[both] * size + after[both], 1)
+        rows = sums.reshape(size, size)
         used = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["unit", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())], names=["code", "row"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for unit, row in zip(batch.column("unit").to_pylist(), batch.column("row").to_pylist()):
-                sums[unit] = sums.get(unit, 0) + np.frombuffer(row, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["unit", "row"])
+            for code, row in zip(batch.column("code").to_pylist(), batch.column("row").to_pylist()):
+                sums[code] = sums.get(code, 0) + np.frombuffer(zlib.decompress(row), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["code", "row"])
 
-    total = np.zeros((UNITS, UNITS))
-    for r in texts.mapInArrow(count, "unit long, row binary").repartition("unit").mapInArrow(add, "unit long, row binary").collect():
-        total[r.unit] = np.frombuffer(r.row, np.int64)
+    total = np.zeros((size, size))
+    for r in texts.mapInArrow(count, "code long, row binary").repartition("code").mapInArrow(add, "code long, row binary").collect():
+        total[r.code] = np.frombuffer(r.row, np.int64)
     return total
 
 
+def affinities(table: np.ndarray) -> np.ndarray:
+    """What a word gains in each class (columns) for each class behind it, then before it (rows).
+
+    The first-order change of the likelihood of class bigrams when a word's
+    bigrams are added to a class.
+    """
+    smooth = table + 0.1
+    gain = np.log(smooth) - np.log(smooth.sum(1, keepdims=True)) - np.log(smooth.sum(0, keepdims=True)) + np.log(smooth.sum())
+    return np.vstack([gain.T, gain])
+
+
+def bucket_classes(texts: DataFrame, core: dict[bytes, int], table: np.ndarray, buckets: int) -> np.ndarray:
+    """Class of each bucket of words outside the core by their bigrams with core words; UNKNOWN without any."""
+    classes = len(table)
+    width = 2 * classes
+    shared = texts.sparkSession.sparkContext.broadcast((core, affinities(table)))
+
+    def packed(keys: np.ndarray):
+        keys, counts = np.unique(keys, return_counts=True)
+        shards = keys // (SHARD * width)
+        cuts = np.flatnonzero(np.diff(shards, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+            data = (keys[a:b] % (SHARD * width)).astype("<u4").tobytes() + counts[a:b].astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int(shards[a])], pa.int32()), pa.array([zlib.compress(data, 1)], pa.binary())], names=["shard", "contexts"])
+
+    def gather(batches):
+        core, _ = shared.value
+        known = Remembered(lambda w: core[w] if w in core else -1 - (crc32(w) & (buckets - 1)))
+        end, pending, size = core.get(END, -1), [], 0
+        for batch in batches:
+            for text in texts_of(batch.column("text")):
+                codes = known.read(tokens_of(text))
+                before, behind = np.concatenate([[end], codes[:-1]]), np.append(codes[1:], -1)
+                place = (-1 - codes) * width
+                pending.append(place[(codes < 0) & (behind >= 0)] + behind[(codes < 0) & (behind >= 0)])
+                pending.append(place[(codes < 0) & (before >= 0)] + classes + before[(codes < 0) & (before >= 0)])
+                size += len(codes)
+            if size > PENDING:
+                yield from packed(np.concatenate(pending))
+                pending, size = [], 0
+        if pending:
+            yield from packed(np.concatenate(pending))
+
+    def choose(batches):
+        gains = shared.value[1]
+        shard, sums = None, None
+
+        def chosen():
+            labels = np.where(sums.any(1), (sums @ gains).argmax(1), UNKNOWN).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([labels.tobytes()], pa.binary())], names=["shard", "labels"])
+
+        for batch in batches:
+            for number, data in zip(batch.column("shard").to_pylist(), batch.column("contexts").to_pylist()):
+                if number != shard:
+                    if shard is not None:
+                        yield chosen()
+                    shard, sums = number, np.zeros((SHARD, width))
+                keys, counts = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+                np.add.at(sums.reshape(-1), keys, counts)
+        if shard is not None:
+            yield chosen()
+
+    labels = np.full(buckets, UNKNOWN, np.uint8)
+    dealt = texts.mapInArrow(gather, "shard int, contexts binary").repartition("shard").sortWithinPartitions("shard")
+    for r in dealt.mapInArrow(choose, "shard int, labels binary").collect():  # a byte for each bucket
+        labels[r.shard * SHARD : (r.shard + 1) * SHARD] = np.frombuffer(r.labels, np.uint8)
+    return labels
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit: units move, the most frequent first, while the likelihood of the bigrams rises."""
     size = bigrams.sum(0) + bigrams.sum(1)
@@ -162,74 +251,116 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
 
 @dataclass(frozen=True)
 class Model:
-    units: Units
-    label: np.ndarray  # class of each unit
-    steps: np.ndarray  # log10 P(class | class before) + log10 P(unit | class), by class before and unit
-    room: np.ndarray  # log10 of the denominator of P(word | unit); 0 for units of one word
+    place: dict[bytes, int]  # of the head words, the most frequent first
+    counts: np.ndarray  # of the head words
+    classes: Classes
+    steps: np.ndarray  # log10 P(class | class before)
+    room: np.ndarray  # log10 of the denominator of P(word | class)
     tokens: int
     vocabulary: int
-    start: int  # unit of the end of a text
 
-    def read(self, text: bytes | None) -> tuple[int, int, float, float, list[bytes]]:
+    def reader(self) -> Remembered:
+        """Words to numbers that hold the class and the place in the head."""
+        return Remembered(lambda w: (self.place.get(w, -1) + 1) * len(self.room) + self.classes.of(w))
+
+    def read(self, text: bytes | None, known: Remembered) -> tuple[int, int, float, float, list[bytes]]:
         """Tokens, known tokens, base and model score so far, and the words whose counts are not in the head.
 
         Each missing word adds log10(count + 1) to both scores.
         """
         tokens = tokens_of(text)
-        units, places, rest = self.units.read(tokens)
+        codes = known.read(tokens)
+        places, classes = codes // len(self.room) - 1, codes % len(self.room)
         head = places[places >= 0]
-        logs = np.log10(self.units.counts[head] + 1.0)
-        base = float(logs.sum()) - len(tokens) * np.log10(self.tokens + self.vocabulary + 1)
-        before = np.concatenate([[self.start], units[:-1]])
-        score = float(self.steps[self.label[before], units].sum() - self.room[units].sum() + logs[self.units.unit[head] >= OWN].sum())
-        return len(tokens), len(head), base, score, rest
+        logs = float(np.log10(self.counts[head] + 1.0).sum())
+        before = np.concatenate([[self.classes.of(END)], classes[:-1]])
+        score = logs + float(self.steps[before, classes].sum() - self.room[classes].sum())
+        base = logs - len(tokens) * np.log10(self.tokens + self.vocabulary + 1)
+        return len(tokens), len(head), base, score, [tokens[i] for i in np.flatnonzero(places < 0).tolist()]
 
 
 def _head(counts: DataFrame) -> DataFrame:
-    """The most frequent words, at most HEAD; of words of about one frequency all or none."""
+    """The most frequent words, about HEAD; of the words of the last level of frequency, some by their hash."""
     level = F.floor(F.log2("n") * 64).cast("int")  # under 64 * 64 levels, whatever the counts
-    sizes = counts.groupBy(level.alias("level")).count().collect()
-    room, least = HEAD, None
-    for r in sorted(sizes, key=lambda r: -r.level):
-        if r["count"] > room:
-            break
+    room, least = HEAD, 0
+    sizes = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    for r in sizes:
         room, least = room - r["count"], r.level
-    return counts.where(level >= least) if least is not None else counts.limit(0)
+        if room <= 0:
+            break
+    if room >= 0:
+        return counts.where(level >= least)
+    at_edge = next(r["count"] for r in sizes if r.level == least)
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int((1 << 30) * (at_edge + room) / at_edge)
+    return counts.where((level > least) | ((level == least) & chosen))
+
+
+def _class_sizes(counts: DataFrame, classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and words of each class, and words of each ending (rows) in each class, over the whole vocabulary.
+
+    `classes` is a broadcast; words whose class follows from their ending alone
+    do not count in the third.
+    """
+
+    def count(batches):
+        found, sums = classes.value, np.zeros((ENDINGS + 2, CLASSES), np.int64)
+        mask = len(found.buckets) - 1
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            label = np.array([found.of(w) for w in words], np.int64)
+            sums[0] += np.bincount(label, batch.column("n").to_numpy(), CLASSES).astype(np.int64)
+            sums[1] += np.bincount(label, minlength=CLASSES)
+            own = [i for i, w in enumerate(words) if w in found.core or found.buckets[crc32(w) & mask] != UNKNOWN]
+            np.add.at(sums, ([2 + ending_of(words[i]) for i in own], label[own]), 1)
+        row, column = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(sums[row, column])], names=["row", "class", "n"])
+
+    sums = np.zeros((ENDINGS + 2, CLASSES))
+    for r in counts.mapInArrow(count, "row int, class int, n long").groupBy("row", "class").agg(F.sum("n").alias("n")).collect():
+        sums[r.row, r["class"]] = r.n
+    return sums[0], sums[1], sums[2:]
 
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """A model of the column `text`, and the table of its word counts.
 
-    Without texts every class, unit and unknown word is equally likely.
+    Of words as frequent as the last of the core, the smaller in the order of
+    bytes comes first.  Without texts every class and unknown word is equally
+    likely.
     """
+    context = texts.sparkSession.sparkContext
     counts = stored(word_counts(texts))
-    head = sorted((-r.n, bytes(r.word)) for r in _head(counts).collect())
-    units = Units.of([w for _, w in head], np.array([-n for n, _ in head], np.int64))
-    shared = texts.sparkSession.sparkContext.broadcast(units)
-    bigrams = unit_bigrams(texts, shared)
-    label = exchange(bigrams)
-    # Words that share a unit: all but the OWN most frequent.
-    ending = F.crc32(F.substring("word", -ENDING, ENDING)) % ENDINGS
-    totals = counts.groupBy(ending.alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    n, v = np.zeros(UNITS), np.zeros(UNITS)
-    for r in totals:
-        n[OWN + r.ending], v[OWN + r.ending] = r.n, r.v
-    tokens, vocabulary = int(n.sum()), int(v.sum())
-    for word, place in units.place.items():
-        if place < OWN:
-            n[shared_unit(word)] -= units.counts[place]
-            v[shared_unit(word)] -= 1
-            n[place] = units.counts[place]
-    room = np.zeros(UNITS)
-    room[OWN:] = np.log10(n[OWN:] + v[OWN:] + 1)
+    head = sorted(((bytes(r.word), r.n) for r in _head(counts).collect()), key=lambda x: (-x[1], x[0]))
+    place = {w: i for i, (w, _) in enumerate(head)}
+    numbers = context.broadcast({w: i for i, (w, _) in enumerate(head[:CORE])})
+
+    def core_codes():
+        found = numbers.value
+        return (lambda w: found.get(w, -1)), found.get(END, -1)
+
+    bigrams = _summed_matrix(texts, CORE, core_codes)
+    label = exchange(bigrams, CLASSES)
     member = np.eye(CLASSES)[label]
-    inside, members = n @ member, member.sum(0)
-    rates = (inside + 1) / (inside.sum() + CLASSES)
-    table = member.T @ bigrams @ member
+    core = {w: int(label[i]) for w, i in numbers.value.items()}
+    size = counts.count()
+    buckets = min(max(BUCKETS[0], 1 << (PER_WORD * size).bit_length()), BUCKETS[1])
+    labels = bucket_classes(texts, core, member.T @ bigrams @ member, buckets)
+    # The classes of endings follow from the words that have one of their own.
+    _, _, by_ending = _class_sizes(counts, context.broadcast(Classes(core, labels, np.zeros(ENDINGS, np.uint8))))
+    usual = int(by_ending.sum(0).argmax())
+    endings = np.where(by_ending.any(1), by_ending.argmax(1), usual).astype(np.uint8)
+    classes = Classes(core, labels, endings)
+    shared = context.broadcast(classes)
+    tokens, words, _ = _class_sizes(counts, shared)
+
+    def class_codes():
+        return shared.value.of, shared.value.of(END)
+
+    table = _summed_matrix(texts, CLASSES, class_codes)
+    rates = (tokens + 1) / (tokens.sum() + CLASSES)
     steps = np.log10((table + PRIOR * rates) / (table.sum(1, keepdims=True) + PRIOR))
-    emit = np.log10((n + 1) / (inside[label] + members[label]))
-    start = int(units.unit[units.place[END]]) if END in units.place else shared_unit(END)
-    return Model(units, label, steps[:, label] + emit, room, tokens, vocabulary, start), counts
+    model = Model(place, np.array([n for _, n in head], np.int64), classes, steps, np.log10(tokens + words + 1), int(tokens.sum()), size)
+    return model, counts
 
 
 def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,8 +380,9 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
     def read(batches):
         model, key = shared.value, TaskContext.get().partitionId() << 40
+        known = model.reader()
         for batch in batches:
-            rows = [model.read(t) for t in texts_of(batch.column("text"))]
+            rows = [model.read(t, known) for t in texts_of(batch.column("text"))]
             rest = [Counter(r[4]) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(key, key + len(rows))), batch.column("doc_id"), batch.column("held_out"),

@@ -229,46 +229,91 @@ def lm_tokens(text):
     return SPACED.findall((text or "").translate(ASCII)) + ["\n"]
 
 
-def plain_score(text, model, counts):
-    """Probabilities by name, one token at a time."""
-    total, before = 0.0, int(model.label[model.start])
-    for w in lm_tokens(text):
-        raw = w.encode()
-        unit = int(model.units.unit[model.units.place[raw]]) if raw in model.units.place else classlm.shared_unit(raw)
-        total += model.steps[before, unit]
-        if unit >= classlm.OWN:
-            total += math.log10(counts[w] + 1) - model.room[unit]
-        before = int(model.label[unit])
-    return total
+def plain_model(texts, classes):
+    """log10 transitions and class denominators, recounted from the texts under given classes of words."""
+    counts = Counter(w for t in texts for w in lm_tokens(t))
+    steps = Counter((a, b) for t in texts for a, b in zip([classes("\n"), *map(classes, lm_tokens(t))], map(classes, lm_tokens(t))))
+    k = classlm.CLASSES
+    tokens, words, behind = Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        tokens[classes(w)] += n
+        words[classes(w)] += 1
+    for (a, _), n in steps.items():
+        behind[a] += n
+    total = sum(counts.values())
+    rate = {c: (tokens[c] + 1) / (total + k) for c in range(k)}
+    step = lambda a, b: math.log10((steps[a, b] + classlm.PRIOR * rate[b]) / (behind[a] + classlm.PRIOR))
+    room = {c: math.log10(tokens[c] + words[c] + 1) for c in range(k)}
+    return counts, step, room
+
+
+def zipf_texts(seed=2):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choices([f"Word{i}" for i in range(3000)], weights=[1 / (i + 1) for i in range(3000)], k=rng.randrange(80))) for _ in range(120)]
+    return texts + [None, "", "unseen çà", "unseen çà", "z" * 40_000, texts[3]]
 
 
 def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(classlm, "HEAD", 900)
-    rng = random.Random(2)
-    texts = [" ".join(rng.choices([f"Word{i}" for i in range(3000)], weights=[1 / (i + 1) for i in range(3000)], k=rng.randrange(80))) for _ in range(120)]
-    texts += [None, "", "unseen çà", "unseen çà", "z" * 40_000, texts[3]]
+    monkeypatch.setattr(classlm, "HEAD", 300)
+    monkeypatch.setattr(classlm, "CORE", 60)
+    monkeypatch.setattr(classlm, "CLASSES", 8)
+    texts = zipf_texts()
     rows = [(i, t, 0.5) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(4)
     held = F.col("doc_id") % 3 == 0
     model, table = classlm.fit(docs.where(~held).select("text"))
-    counts = Counter(w for i, t, _ in rows if i % 3 for w in lm_tokens(t))
+    classes = lambda w: model.classes.of(w.encode())
+    trained = [t for i, t in enumerate(texts) if i % 3]
+    counts, step, room = plain_model(trained, classes)
     assert {bytes(r.word).decode(): r.n for r in table.collect()} == dict(counts)
+    assert len(model.classes.core) == 60 and 200 < len(model.place) < 400
     n, v = sum(counts.values()), len(counts)
     for r in classlm.scored(docs, held).collect():
         words = lm_tokens(texts[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words), sum(counts[w] > 0 for w in words), n, r.doc_id % 3 == 0)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
-        assert r.score == pytest.approx(plain_score(texts[r.doc_id], model, counts), rel=1e-9)
-    # From any class, the words of all units share a probability of one, one unseen word per shared unit included.
-    inside = np.zeros(classlm.UNITS)
-    for w, c in counts.items():
-        raw = w.encode()
-        unit = int(model.units.unit[model.units.place[raw]]) if raw in model.units.place else classlm.shared_unit(raw)
-        inside[unit] += (c + 1) / 10 ** model.room[unit] if unit >= classlm.OWN else 1
-    inside[classlm.OWN :] += 10.0 ** -model.room[classlm.OWN :]
-    used = (inside[: classlm.OWN] > 0).sum() + classlm.ENDINGS
-    mass = (10.0**model.steps * inside).sum(1)
-    assert (mass <= 1 + 1e-9).all() and used > 0
+        before, want = classes("\n"), 0.0
+        for w in words:
+            want += step(before, classes(w)) + math.log10(counts[w] + 1) - room[classes(w)]
+            before = classes(w)
+        assert r.score == pytest.approx(want, rel=1e-9)
+    # From any class, all known words and one unknown word of each class share a probability of one.
+    for a in range(8):
+        inside = sum(10 ** step(a, classes(w)) * (c + 1) / 10 ** room[classes(w)] for w, c in counts.items())
+        assert inside + sum(10 ** (step(a, b) - room[b]) for b in range(8)) == pytest.approx(1, rel=1e-9)
+
+
+def test_every_training_word_gets_a_class_by_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "CORE", 60)
+    monkeypatch.setattr(classlm, "CLASSES", 8)
+    texts = zipf_texts(3)
+    model, _ = classlm.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    core, mask = model.classes.core, len(model.classes.buckets) - 1
+    bigrams, contexts = np.zeros((8, 8)), defaultdict(lambda: np.zeros(16))
+    for t in texts:
+        words = [w.encode() for w in lm_tokens(t)]
+        for a, b in zip([b"\n", *words], words):
+            if a in core and b in core:
+                bigrams[core[a], core[b]] += 1
+            elif b in core:
+                contexts[crc32(a) & mask][core[b]] += 1
+            elif a in core:
+                contexts[crc32(b) & mask][8 + core[a]] += 1
+    smooth = bigrams + 0.1
+    gain = np.log(smooth * smooth.sum() / np.outer(smooth.sum(1), smooth.sum(0)))
+    assert len(contexts) > 900
+    for bucket, seen in contexts.items():
+        scores = [sum(seen[:8] * gain[c]) + sum(seen[8:] * gain[:, c]) for c in range(8)]
+        assert scores[model.classes.buckets[bucket]] == pytest.approx(max(scores), abs=1e-9)
+    assert set(np.flatnonzero(model.classes.buckets != classlm.UNKNOWN)) == set(contexts)
+    assert all(model.classes.of(w.encode()) < 8 for t in [*texts, "never seen"] for w in lm_tokens(t))
+
+
+def test_head_of_one_frequency_is_never_empty(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "HEAD", 400)
+    counts = spark.range(4000).select(F.col("id").cast("string").cast("binary").alias("word"), F.when(F.col("id") < 50, 9).otherwise(2).cast("bigint").alias("n"))
+    head = classlm._head(counts)
+    assert head.where("n = 9").count() == 50 and 250 < head.count() < 550
 
 
 def test_language_model_without_training(spark):
