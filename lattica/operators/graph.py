@@ -21,6 +21,12 @@ UNNAMED = "Unnamed"
 ENTITY_LIMIT, ENTITY_LIMIT_MAX = 100, 1000
 
 
+def _within(limit: int) -> int:
+    if limit > ENTITY_LIMIT_MAX:
+        raise ValueError(f"at most {ENTITY_LIMIT_MAX} entities a listing")
+    return limit
+
+
 def display_name(properties: Column) -> Column:
     keys = ("text", "name", "label")
     return F.coalesce(*[F.try_element_at(properties, F.lit(k)) for k in keys], F.lit(UNNAMED))
@@ -47,7 +53,7 @@ def list_entities(
         nodes = nodes.filter(F.col("class") == node_class)
     elif search is not None:
         nodes = nodes.filter(F.contains(F.col("text"), F.lit(search)))
-    return nodes.orderBy("node_id").limit(min(limit, ENTITY_LIMIT_MAX))
+    return nodes.orderBy("node_id").limit(_within(limit))
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -279,10 +285,11 @@ def load_nodes(mentions: DataFrame) -> DataFrame:
     )
 
 
-def load_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+def load_edges(relations: DataFrame, nodes: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Edges of relations both of whose ends were loaded for the same document.
 
-    `relations` has (document_id, subject, predicate, object, confidence).
+    `relations` has (document_id, subject, predicate, object, confidence); the
+    columns `carry` follow the edges.
     """
     names = nodes.select("document_id", F.col("text"), "node_id")
     subjects = names.select("document_id", F.col("text").alias("subject"), F.col("node_id").alias("src"))
@@ -290,7 +297,7 @@ def load_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return (
         relations.join(subjects, ["document_id", "subject"])
         .join(objects, ["document_id", "object"])
-        .select("document_id", "src", "predicate", "dst", "confidence")
+        .select("document_id", "src", "predicate", "dst", "confidence", *(carry or []))
     )
 
 

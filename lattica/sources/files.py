@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.text import file_type, mime_type, word_count
+from lattica.functions.text import FILE_TYPES, file_type, mime_type, word_count
 from lattica.operators.sections import page_count, parsed_title
 
 SECTION = "struct<title:string,level:int,content:string,start_page:int>"
@@ -202,60 +202,87 @@ def decode_xlsx(data: bytes, sheet_filter: list[str] | None = None, first_row_he
 # --- dispatch -------------------------------------------------------------------
 
 Decoder = Callable[[bytes], dict]
+DECODERS: dict[str, Decoder] = {"docx": decode_docx, "xlsx": decode_xlsx}
+TYPE_OF_SUFFIX = FILE_TYPES
+_EMPTY = {"content": None, "sections": [], "tables": [], "title": None, "custom": {}, "error": None}
+
+
+def _decoded(kind: str, data: bytes, decoders: dict[str, Decoder]) -> dict:
+    """What a decoder makes of a file, or why it cannot."""
+    if kind not in decoders:
+        return {**_EMPTY, "error": f"Unsupported format: {kind}"}
+    try:
+        return {**_EMPTY, **decoders[kind](bytes(data))}
+    except Exception as problem:
+        return {**_EMPTY, "error": f"{type(problem).__name__}: {problem}"}
+
+
+def _decode_text(data: bytes) -> dict:
+    try:
+        return {"content": data.decode()}
+    except UnicodeDecodeError:
+        raise ValueError("Content is not valid UTF-8") from None
+
+
+def decoded_row(path: str, kind: str, data: bytes | None, decoders: dict[str, Decoder], error: str | None = None) -> tuple:
+    """One file as a row of PARSED, outside the JVM."""
+    found = {**_EMPTY, "error": error} if data is None else _decoded(kind, data, {**dict.fromkeys(TEXT_TYPES, _decode_text), **decoders})
+    content, title = found["content"], found["title"]
+    pages = None
+    if kind == "pdf" and content is not None:
+        pages = content.count("\f") + 1 if "\f" in content else None
+        line = content.split("\n")[0].strip()
+        title = title if title is not None else line if line and len(line.encode()) < 200 else None
+    words = None if content is None else len(content.split())
+    sections = [tuple(x[k] for k in ("title", "level", "content", "start_page")) for x in found["sections"]]
+    grids = [tuple(x[k] for k in ("caption", "headers", "rows", "page")) for x in found["tables"]]
+    return path, kind, content, sections, grids, title, pages, words, found["custom"], found["error"]
 
 
 def _decode(kind: Column, content: Column, decoders: dict[str, Decoder]) -> Column:
     @F.pandas_udf(_DECODED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        empty = {"content": None, "sections": [], "tables": [], "title": None, "custom": {}, "error": None}
         for kinds, contents in batches:
-            out = []
-            for name, data in zip(kinds, contents):
-                try:
-                    out.append({**empty, **decoders[name](bytes(data))})
-                except Exception as problem:
-                    out.append({**empty, "error": f"{type(problem).__name__}: {problem}"})
-            yield pd.DataFrame(out, columns=list(empty))
+            out = [_EMPTY if data is None else _decoded(name, data, decoders) for name, data in zip(kinds, contents)]
+            yield pd.DataFrame(out, columns=list(_EMPTY))
 
     return run(kind, content)
 
 
-def parse(files: DataFrame, extra_decoders: dict[str, Decoder] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(parsed documents, rejected files) of a `list_files` table.
+def parsed_rows(files: DataFrame, extra_decoders: dict[str, Decoder] | None = None) -> DataFrame:
+    """Every file of a `list_files` table as a row of PARSED; one that cannot be read tells why in `error`.
 
     Text, Markdown, DOCX and XLSX are built in.  `extra_decoders` adds formats
     that need a library, such as PDF; a PDF decoder returns its text with form
-    feeds between pages.  Files of any other type and files that cannot be
-    read are rejected with a reason instead of failing the job.
+    feeds between pages.  One pass decodes each file once; texts stay on the JVM.
     """
-    decoders: dict[str, Decoder] = {"docx": decode_docx, "xlsx": decode_xlsx, **(extra_decoders or {})}
-    known = files.filter(F.col("file_type").isin(*TEXT_TYPES, *decoders))
-    unknown = files.filter(~F.col("file_type").isin(*TEXT_TYPES, *decoders)).select(
-        "file_path", "file_type", F.concat(F.lit("Unsupported format: "), "file_type").alias("error")
-    )
-    text = known.filter(F.col("file_type").isin(*TEXT_TYPES))
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    texts = text.select(
+    decoders = {**DECODERS, **(extra_decoders or {})}
+    kind, text = F.col("file_type"), F.col("file_type").isin(*TEXT_TYPES)
+    whole = F.col("content").cast("string")
+    utf8 = F.is_valid_utf8(whole)
+    rows = files.select("file_path", "file_type", "content", _decode(kind, F.when(~text, F.col("content")), decoders).alias("_d")).select(
         "file_path", "file_type",
-        F.when(utf8, F.col("content").cast("string")).alias("content"),
-        F.array().cast(f"array<{SECTION}>").alias("sections"),
-        F.array().cast(f"array<{TABLE}>").alias("tables"),
-        F.lit(None).cast("string").alias("title"),
-        F.create_map().cast("map<string,string>").alias("custom"),
-        F.when(~utf8, "Content is not valid UTF-8").alias("error"),
+        F.when(text & utf8, whole).otherwise(F.col("_d.content")).alias("content"),
+        "_d.sections", "_d.tables", "_d.title", "_d.custom",
+        F.when(text & ~utf8, "ValueError: Content is not valid UTF-8").otherwise(F.col("_d.error")).alias("error"),
     )
-    decoded = known.filter(~F.col("file_type").isin(*TEXT_TYPES)).select(
-        "file_path", "file_type", _decode(F.col("file_type"), F.col("content"), decoders).alias("_d")
-    ).select("file_path", "file_type", "_d.content", "_d.sections", "_d.tables", "_d.title", "_d.custom", "_d.error")
-    every = texts.unionByName(decoded)
-    pdf_title = F.when(F.col("file_type") == "pdf", parsed_title(F.col("title"), F.col("content"))).otherwise(F.col("title"))
-    parsed = every.filter(F.col("error").isNull()).select(
-        "file_path", "file_type", "content", "sections", "tables", pdf_title.alias("title"),
-        F.when(F.col("file_type") == "pdf", page_count(F.col("content"))).alias("page_count"),
+    pdf = F.col("file_type") == "pdf"
+    return rows.select(
+        "file_path", "file_type", "content", "sections", "tables",
+        F.when(pdf, parsed_title(F.col("title"), F.col("content"))).otherwise(F.col("title")).alias("title"),
+        F.when(pdf, page_count(F.col("content"))).alias("page_count"),
         word_count(F.col("content")).alias("word_count"), "custom", "error",
     )
-    rejected = unknown.unionByName(every.filter(F.col("error").isNotNull()).select("file_path", "file_type", "error"))
-    return parsed, rejected
+
+
+def parse(files: DataFrame, extra_decoders: dict[str, Decoder] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parsed documents, rejected files) of a `list_files` table.
+
+    Both are filters of `parsed_rows`; store that first if both are wanted, so
+    that files are decoded once.
+    """
+    rows = parsed_rows(files, extra_decoders)
+    return rows.filter(F.col("error").isNull()), rows.filter(F.col("error").isNotNull()).select("file_path", "file_type", "error")
 
 
 class OcrEngine:
