@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import ratio
@@ -125,3 +125,47 @@ def hallucination_rate(answers: DataFrame, answer: str = "answer") -> DataFrame:
         F.coalesce(F.sum(F.size(sentences)), F.lit(0)).cast("bigint").alias("sentences"),
         F.coalesce(F.sum(F.size(uncited)), F.lit(0)).cast("bigint").alias("uncited_sentences"),
     ).withColumn("hallucination_rate", ratio(F.col("uncited_sentences"), F.col("sentences")))
+
+
+def held_passages(documents: DataFrame, items: DataFrame, window: int = 8, document_id: str = "document_id", item_id: str = "request_id", text: str = "text") -> DataFrame:
+    """(item, document, `gain`): the share of an item's windows of words that a document holds word for word.
+
+    Windows are `window` words in a row, lower-case; a shorter item is one window.
+    Documents meet items by an equi-join of windows of one length.
+    """
+    spaced = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+
+    def pieces(words: Column, size: Column) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " ")))
+
+    asked = items.select(item_id, spaced.alias("_w")).where(F.size("_w") > 0).withColumn("_size", F.least(F.size("_w"), F.lit(window)))
+    asked = asked.select(item_id, "_size", pieces(F.col("_w"), F.col("_size")).alias("_p"))
+    wanted = asked.select(item_id, "_size", F.size("_p").alias("_n"), F.explode("_p").alias("_piece"))
+    sizes = F.broadcast(wanted.select("_size").distinct())  # `window` rows at most
+    words = documents.select(document_id, spaced.alias("_w"), F.explode(F.sequence(F.lit(1), F.lit(window))).alias("_size")).join(sizes, "_size")
+    held = words.select(document_id, "_size", F.explode(pieces(F.col("_w"), F.col("_size"))).alias("_piece"))
+    found = held.join(wanted, ["_size", "_piece"]).groupBy(item_id, document_id).agg((F.count("*") / F.max("_n")).alias("gain"))
+    return found
+
+
+def ranking_quality(results: DataFrame, judgments: DataFrame, k: int = 5, request: str = "request_id", item: str = "document_id") -> DataFrame:
+    """Per request with a judged item: `relevant`, `found`, `recall`, `reciprocal_rank` and `ndcg` of its first `k` results.
+
+    `results` has (request, item, rank), `judgments` (request, item, gain).  An
+    item that is listed several times counts at its best rank.
+    """
+    discount = lambda rank: 1.0 / F.log2(rank + 1.0)
+    ideal = Window.partitionBy(request).orderBy(F.desc("gain"), item)
+    judged = judgments.withColumn("_place", F.row_number().over(ideal)).groupBy(request).agg(
+        F.count("*").alias("relevant"), F.sum(F.when(F.col("_place") <= k, F.col("gain") * discount(F.col("_place")))).alias("_ideal")
+    )
+    best = results.where(F.col("rank") <= k).groupBy(request, item).agg(F.min("rank").alias("rank"))
+    hits = best.join(judgments, [request, item]).groupBy(request).agg(
+        F.count("*").alias("found"), F.min("rank").alias("_first"), F.sum(F.col("gain") * discount(F.col("rank"))).alias("_gain")
+    )
+    zero = F.lit(0.0)
+    return judged.join(hits, request, "left").select(
+        request, "relevant", F.coalesce("found", F.lit(0).cast("bigint")).alias("found"), F.coalesce(F.col("found") / F.col("relevant"), zero).alias("recall"),
+        F.coalesce(1.0 / F.col("_first"), zero).alias("reciprocal_rank"), F.coalesce(F.col("_gain") / F.col("_ideal"), zero).alias("ndcg"),
+    )

@@ -34,9 +34,14 @@ class RetrievalConfig:
 RESULT_TYPES = ("vector", "graph", "keyword")
 
 
-def fuse(hits: DataFrame, config: RetrievalConfig = RetrievalConfig(), top_k: int | None = None, digits: int = 9) -> DataFrame:
+def fuse(
+    hits: DataFrame, config: RetrievalConfig = RetrievalConfig(), top_k: int | None = None, digits: int = 9, weights: dict[str, float] | None = None
+) -> DataFrame:
     """Fused ranking per request.
 
+    `weights` names the kinds of hits and their weights, those of `config` by
+    default; the order of kinds decides which copy of a content represents it.
+
     `hits` has (request_id, result_type, hit_id, content, score) and any
     further columns, which follow the representative of a content.  Scores are
     rounded before ranking so that ties do not depend on the order of summing.
@@ -48,8 +53,9 @@ def fuse(hits: DataFrame, config: RetrievalConfig = RetrievalConfig(), top_k: in
     ranked = hits.filter(~F.isnan("score")).withColumn("_rn", F.row_number().over(by_type))
     weight = F.lit(None).cast("double")
     priority = F.lit(None).cast("int")
-    for position, kind in reversed(list(enumerate(RESULT_TYPES))):
-        weight = F.when(F.col("result_type") == kind, F.lit(config.weights()[kind])).otherwise(weight)
+    weights = weights or {kind: config.weights()[kind] for kind in RESULT_TYPES}
+    for position, kind in reversed(list(enumerate(weights))):
+        weight = F.when(F.col("result_type") == kind, F.lit(weights[kind])).otherwise(weight)
         priority = F.when(F.col("result_type") == kind, F.lit(position)).otherwise(priority)
     fused = (
         ranked.withColumn("_term", weight / (F.lit(config.rrf_k) + F.col("_rn")))

@@ -128,9 +128,10 @@ def _scan(items: DataFrame, request_ids: list, payloads: list, kernel: Kernel, k
         if not request_ids:
             return
         scorer = kernel(shared.value)
-        best, kept = _Best(k, len(request_ids)), {}
+        best, kept, kinds = _Best(k, len(request_ids)), {}, []
         for batch in batches:
             if batch.num_rows:
+                kinds = [batch.schema.field(c).type for c in carried]
                 first = best.added
                 best.add(_ids(batch.column("item_id").to_numpy(zero_copy_only=False)), scorer(batch.column("payload")))
                 if carried:
@@ -138,7 +139,7 @@ def _scan(items: DataFrame, request_ids: list, payloads: list, kernel: Kernel, k
                     kept = {i: kept[i] if i < first else column[i - first].as_py() for i in np.unique(best.row).tolist()}
         if len(best.score):
             columns = [pa.array([request_ids[i] for i in best.request]), pa.array(best.item), pa.array(best.score)]
-            columns += [pa.array([kept[i] for i in best.row.tolist()]) for _ in carried]
+            columns += [pa.array([kept[i] for i in best.row.tolist()], kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return items.select("item_id", "payload", *carried).mapInArrow(score, schema)

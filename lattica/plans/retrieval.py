@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,93 @@ DIMENSION = 64
 SCORE_DIGITS = 6
 
 
+class SearchBackend(Protocol):
+    """A search whose hits take part in the fusion."""
+
+    name: str
+    weight: float
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        """(request_id, hit_id string, content, score) and, where known, `place` of the hits of (request_id, question)."""
+        ...
+
+
+# What is known of where a chunk stands; columns a table lacks are left out.
+_PLACE = ("document_id", "page", "section")
+
+
+def _chunk_hits(found: DataFrame) -> DataFrame:
+    return found.select("request_id", F.col("item_id").cast("string").alias("hit_id"), "_hit.*", F.round("score", SCORE_DIGITS).alias("score"))
+
+
+def with_place(chunks: DataFrame) -> DataFrame:
+    """Chunks with `_hit`: the content and its `place` (document, page, section), which winners of a search take along."""
+    place = F.struct(*[c for c in _PLACE if c in chunks.columns]) if any(c in chunks.columns for c in _PLACE) else None
+    return chunks.withColumn("_hit", F.struct("content", *([place.alias("place")] if place is not None else [])))
+
+
+@dataclass
+class VectorBackend:
+    """Chunks whose vectors are nearest to the question's; vectors are computed where the table has none."""
+
+    chunks: DataFrame
+    embedder: vectors.Embedder
+    k: int = 20
+    min_score: float | None = None
+    weight: float = 1.0
+    name: str = "vector"
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        asked = questions.select("request_id", vectors.embed(F.col("question"), self.embedder).alias("vector"))
+        chunks = with_place(self.chunks)
+        if "vector" not in chunks.columns:
+            chunks = chunks.withColumn("vector", vectors.embed(F.col("content"), self.embedder))
+        return _chunk_hits(vectors.search(chunks, asked, self.k, min_score=self.min_score, id_column="chunk_id", vector="vector", carry="_hit"))
+
+
+@dataclass
+class KeywordBackend:
+    """Chunks that hold the question's keywords, from a written index where there is one."""
+
+    chunks: DataFrame
+    k: int = 10
+    min_score: float | None = None
+    index: DataFrame | None = None
+    weight: float = 0.8
+    name: str = "keyword"
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        return _chunk_hits(keyword_search.search(
+            with_place(self.chunks), questions, self.k, min_score=self.min_score, id_column="chunk_id", text="content", carry="_hit", index=self.index
+        ))
+
+
+@dataclass
+class GraphBackend:
+    """Nodes that match the question, what they reach, and their relations."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    k: int = 20
+    depth: int = 2
+    min_score: float | None = None
+    weight: float = 1.5
+    name: str = "graph"
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        found = graph.search(self.nodes, self.edges, questions, self.k, depth=self.depth).select("request_id", "hit_id", "content", "score")
+        return found if self.min_score is None else found.filter(F.col("score") >= self.min_score)
+
+
+def retrieve_from(questions: DataFrame, backends: list[SearchBackend], config: RetrievalConfig = RetrievalConfig(), top_k: int | None = None) -> DataFrame:
+    """Fused results per question of any searches; of equal contents the first search's hit stays."""
+    hits = None
+    for backend in backends:
+        found = backend.search(questions).withColumn("result_type", F.lit(backend.name))
+        hits = found if hits is None else hits.unionByName(found, allowMissingColumns=True)
+    return fusion.fuse(hits, config, top_k, weights={b.name: b.weight for b in backends})
+
+
 def retrieve(
     questions: DataFrame,
     chunks: DataFrame,
@@ -28,8 +118,9 @@ def retrieve(
     config: RetrievalConfig = RetrievalConfig(),
     top_k: int | None = None,
     document_filter: DataFrame | None = None,
+    more: list[SearchBackend] | None = None,
 ) -> DataFrame:
-    """Fused results per question.
+    """Fused results per question from vectors, graph and keywords, and from further searches in `more`.
 
     `document_filter` (document_id) limits the chunks; `config.min_score` holds
     for the hits of all three searches, `config.graph_depth` for the graph.
@@ -37,31 +128,20 @@ def retrieve(
     `questions` (request_id, question); `chunks` (chunk_id, content and ACL
     columns, and a vector column when already embedded); `nodes`/`edges` hold
     what the principal may see of the graph.  Access control is applied to the
-    chunks before any ranking.
+    chunks before any ranking.  Results carry `place`, the document, page and
+    section of a chunk as far as the table knows them.
     """
-    embedder = embedder or vectors.HashingEmbedder(DIMENSION)
     readable = visible_to(chunks, principal)
     if document_filter is not None:
         readable = readable.join(document_filter.select("document_id").distinct(), "document_id", "left_semi")
-    min_score = config.min_score or None
-    asked = questions.select("request_id", vectors.embed(F.col("question"), embedder).alias("vector"))
-    embedded = readable if "vector" in chunks.columns else readable.withColumn("vector", vectors.embed(F.col("content"), embedder))
-    by_vector = vectors.search(
-        embedded, asked, config.vector_top_k, min_score=min_score, id_column="chunk_id", vector="vector", carry="content"
-    )
-    by_keyword = keyword_search.search(
-        readable, questions, config.keyword_top_k, min_score=min_score, id_column="chunk_id", text="content", carry="content"
-    )
-    columns = ["request_id", F.col("item_id").cast("string").alias("hit_id"), "content", F.round("score", SCORE_DIGITS).alias("score")]
-    chunk_hits = by_vector.select(F.lit("vector").alias("result_type"), *columns).unionByName(
-        by_keyword.select(F.lit("keyword").alias("result_type"), *columns)
-    )
-    by_graph = graph.search(nodes, edges, questions, config.vector_top_k, depth=config.graph_depth).select(
-        "request_id", F.lit("graph").alias("result_type"), "hit_id", "content", "score"
-    )
-    if min_score is not None:
-        by_graph = by_graph.filter(F.col("score") >= min_score)
-    return fusion.fuse(chunk_hits.unionByName(by_graph), config, top_k)
+    least = config.min_score or None
+    weights = config.weights()
+    backends: list[SearchBackend] = [
+        VectorBackend(readable, embedder or vectors.HashingEmbedder(DIMENSION), config.vector_top_k, least, weights["vector"]),
+        GraphBackend(nodes, edges, config.vector_top_k, config.graph_depth, least, weights["graph"]),
+        KeywordBackend(readable, config.keyword_top_k, least, weight=weights["keyword"]),
+    ]
+    return retrieve_from(questions, [*backends, *(more or [])], config, top_k)
 
 
 # --- given tables as questions, chunks and graph --------------------------------
@@ -364,6 +444,40 @@ def hybrid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Which documents hold which windows of a question's words, and how the flagship's five best meet them.
+_QUALITY_SQL = """,
+qwords AS (SELECT request_id, list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '') AS w FROM questions),
+qsized AS (SELECT request_id, w, least(len(w), 8) AS size FROM qwords WHERE len(w) > 0),
+qpieces AS (SELECT DISTINCT request_id, size, array_to_string(w[i:i + size - 1], ' ') AS piece FROM (
+  SELECT request_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM qsized)),
+qcounts AS (SELECT request_id, count(*) AS n FROM qpieces GROUP BY 1),
+dwords AS (SELECT document_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM docs),
+dpieces AS (SELECT DISTINCT document_id, size, array_to_string(w[i:i + size - 1], ' ') AS piece FROM (
+  SELECT document_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dwords, (SELECT DISTINCT size FROM qsized) WHERE len(w) >= size)),
+judged AS (SELECT request_id, document_id, count(*)::DOUBLE / any_value(n) AS gain FROM dpieces JOIN qpieces USING (size, piece) JOIN qcounts USING (request_id) GROUP BY ALL),
+ideal AS (SELECT request_id, count(*) AS relevant, sum(gain / log2(place + 1)) FILTER (place <= 5) AS best FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY gain DESC, document_id) AS place FROM judged) GROUP BY 1),
+listed AS (SELECT request_id, document_id, min(rank) AS rank FROM (
+  SELECT request_id, rank, CAST(CASE WHEN starts_with(hit_id, 'doc:') THEN substr(hit_id, 5) WHEN result_type <> 'graph' THEN string_split(hit_id, ':')[1] END AS BIGINT) AS document_id
+  FROM final WHERE rank <= 5 AND hit_id NOT LIKE '%|%') WHERE document_id IS NOT NULL GROUP BY ALL),
+met AS (SELECT request_id, count(*) AS found, min(rank) AS first_rank, sum(gain / log2(rank + 1)) AS gained FROM listed JOIN judged USING (request_id, document_id) GROUP BY 1)
+SELECT request_id, relevant, coalesce(found, 0) AS found, round(coalesce(found::DOUBLE / relevant, 0.0::DOUBLE), 6) AS recall,
+  round(coalesce(1.0::DOUBLE / first_rank, 0.0::DOUBLE), 6) AS reciprocal_rank, round(coalesce(gained / best, 0.0::DOUBLE), 6) AS ndcg
+FROM ideal LEFT JOIN met USING (request_id)"""
+
+
+@query(sql=_HYBRID_SQL.rstrip() + _QUALITY_SQL)
+def hybrid_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, reciprocal rank and nDCG of the flagship against the documents that hold passages of each question."""
+    asked = questions(spark, sf_dir).select("request_id", F.col("question").alias("text"))
+    judged = evaluation.held_passages(tables.documents(spark, sf_dir).select("document_id", "text"), asked)
+    hit = F.col("hit_id")
+    document = F.when(hit.startswith("doc:"), F.substring_index(hit, ":", -1)).when(F.col("result_type") != "graph", F.substring_index(hit, ":", 1))
+    listed = _results(spark, sf_dir).where(~hit.contains("|")).select("request_id", document.cast("bigint").alias("document_id"), "rank").where("document_id IS NOT NULL")
+    quality = evaluation.ranking_quality(listed, judged)
+    return quality.select("request_id", "relevant", "found", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
+
+
 @query(
     sql=_HYBRID_SQL
     + "SELECT request_id, round(least(avg(score) * 10, 1.0::DOUBLE), 6) AS confidence FROM final WHERE rank <= 5 GROUP BY request_id"

@@ -177,3 +177,50 @@ def test_index_of_nothing(spark, tmp_path):
         assert inverted_index.search(given, requests.limit(0), 3, index=index).collect() == []
         if given is not items:
             assert inverted_index.search(given, requests, 3).collect() == inverted_index.search(given, requests, 3, index=index).collect() == []
+
+
+def test_a_fourth_search_joins_and_hits_know_their_place(spark):
+    from lattica.functions.access import Principal
+    from lattica.plans import retrieval
+
+    chunks = spark.createDataFrame(
+        [("1:0", 1, 4, "Leave", "annual leave takes fifteen days", "public", None, None, [], []), ("2:0", 2, None, None, "sick leave needs a note", "internal", None, None, [], [])],
+        "chunk_id string, document_id long, page int, section string, content string, access_level string, owner_id string, department string, required_roles array<string>, allowed_users array<string>",
+    )
+    nodes = spark.createDataFrame([("n1", "Rule", "annual leave", {"text": "annual leave"}, 0.9)], "node_id string, class string, text string, properties map<string,string>, confidence double")
+    edges = spark.createDataFrame([], "src string, predicate string, dst string, confidence double")
+    asked = spark.createDataFrame([(1, "annual leave")], "request_id long, question string")
+
+    class Pinned:
+        name, weight = "pinned", 3.0
+
+        def search(self, questions):
+            return questions.select("request_id", F.lit("p").alias("hit_id"), F.lit("pinned answer").alias("content"), F.lit(1.0).alias("score"))
+
+    rows = retrieval.retrieve(asked, chunks, nodes, edges, Principal("guest"), more=[Pinned()]).orderBy("rank").collect()
+    assert [r.hit_id for r in rows][:1] == ["p"] and {r.hit_id for r in rows} == {"p", "1:0", "n1"}
+    places = {r.hit_id: r.place for r in rows}
+    assert tuple(places["1:0"]) == (1, 4, "Leave") and places["p"] is None and places["n1"] is None
+    only = retrieval.retrieve_from(asked, [retrieval.KeywordBackend(chunks, weight=1.0)]).collect()
+    assert {r.hit_id for r in only} == {"1:0", "2:0"} and {r.result_type for r in only} == {"keyword"}
+
+
+def test_ranking_quality(spark):
+    from lattica.operators import evaluation
+
+    judged = spark.createDataFrame([(1, 10, 1.0), (1, 11, 0.5), (1, 12, 0.25), (2, 20, 1.0), (3, 30, 1.0)], "request_id long, document_id long, gain double")
+    listed = spark.createDataFrame([(1, 11, 1), (1, 99, 2), (1, 10, 3), (1, 11, 4), (2, 21, 1), (4, 40, 1), (3, 30, 6)], "request_id long, document_id long, rank int")
+    rows = {r.request_id: r for r in evaluation.ranking_quality(listed, judged, k=5).collect()}
+    ideal = 1 + 0.5 / np.log2(3) + 0.25 / 2
+    assert set(rows) == {1, 2, 3} and (rows[1].relevant, rows[1].found, rows[1].recall, rows[1].reciprocal_rank) == (3, 2, pytest.approx(2 / 3), 1.0)
+    assert rows[1].ndcg == pytest.approx((0.5 + 1 / 2) / ideal)
+    assert [(rows[i].found, rows[i].recall, rows[i].ndcg) for i in (2, 3)] == [(0, 0.0, 0.0)] * 2
+
+
+def test_held_passages(spark):
+    from lattica.operators import evaluation
+
+    docs = spark.createDataFrame([(1, "x A b\nc d e y"), (2, "a b c"), (3, None), (4, "b c d e f")], "document_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d e"), (8, "B  c"), (9, ""), (10, None)], "request_id long, text string")
+    rows = {(r.request_id, r.document_id): r.gain for r in evaluation.held_passages(docs, items, window=3).collect()}
+    assert rows == {(7, 1): 1.0, (7, 2): pytest.approx(1 / 3), (7, 4): pytest.approx(2 / 3), (8, 1): 1.0, (8, 2): 1.0, (8, 4): 1.0}
