@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -43,7 +44,7 @@ PRIOR = 5.0  # weight of the class frequencies in a transition
 PER_WORD = 8  # buckets for each word of the vocabulary
 BUCKETS = (1 << 16, 1 << 26)  # fewest and most, a byte each in the broadcast
 SHARD = 1 << 13  # buckets whose contexts are added up together
-HELD = 400_000  # distinct words a task counts, or remembers, at a time
+HELD = 400_000  # distinct words a task counts before it passes them on
 PENDING = 4_000_000  # contexts a task gathers before it passes them on
 UNKNOWN = 255
 END = b"\n"  # behind every text; no word holds it
@@ -75,56 +76,66 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@dataclass(frozen=True)
-class Classes:
-    """The class of any word: its own in the core, else that of its bucket, else that of its ending."""
+def batch_tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """Tokens of all texts in a row, and where each text starts.
 
-    core: dict[bytes, int]
-    buckets: np.ndarray
-    endings: np.ndarray
+    Every text ends with END, so the token before a text is what it has to be.
+    """
+    each = [tokens_of(t) for t in texts]
+    starts = np.cumsum([0, *map(len, each)])[:-1]
+    return [w for words in each for w in words], starts
 
-    def of(self, word: bytes) -> int:
-        found = self.core.get(word)
-        if found is None:
-            found = int(self.buckets[crc32(word) & (len(self.buckets) - 1)])
-            if found == UNKNOWN:
-                found = int(self.endings[ending_of(word)])
-        return found
+
+def numbers_of(tokens: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
+    """Number of each token, -1 without one."""
+    return np.fromiter(map(numbers.get, tokens, repeat(-1)), np.int64, len(tokens))
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words))
 
 
 def ending_of(word: bytes) -> int:
     return crc32(word[-ENDING:]) % ENDINGS
 
 
-class Remembered(dict):
-    """Values of `compute`, kept for words met again; `compute` is asked anew when too many are kept."""
+@dataclass(frozen=True)
+class Classes:
+    """The class of any word: its own in the core, else that of its bucket, else that of its ending."""
 
-    def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
+    core: dict[bytes, int]
+    buckets: np.ndarray
+    endings: np.ndarray
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        value = self[word] = self.compute(word)
-        return value
+    def outside(self, words: list[bytes]) -> np.ndarray:
+        """Classes of words that are not in the core."""
+        found = self.buckets[hashes_of(words) & (len(self.buckets) - 1)].astype(np.int64)
+        lost = np.flatnonzero(found == UNKNOWN)
+        found[lost] = self.endings[[ending_of(words[i]) for i in lost.tolist()]]
+        return found
 
     def read(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        found = numbers_of(tokens, self.core)
+        rest = np.flatnonzero(found < 0)
+        found[rest] = self.outside([tokens[i] for i in rest.tolist()])
+        return found
+
+    def of(self, word: bytes) -> int:
+        return int(self.read([word])[0])
 
 
 def _summed_matrix(texts: DataFrame, size: int, codes) -> np.ndarray:
-    """How often one code follows another; `codes()` gives, in a task, the code of a word, -1 for none, and that of the end."""
+    """How often one code follows another; `codes()` gives, in a task, the function from tokens to codes, -1 for none."""
 
     def count(batches):
-        compute, end = codes()
-        known, sums = Remembered(compute), np.zeros(size * size, np.int64)
+        read, sums = codes(), np.zeros(size * size, np.int64)
+        end = int(read([END])[0])
         for batch in batches:
-            for text in texts_of(batch.column("text")):
-                after = known.read(tokens_of(text))
-                before = np.concatenate([[end], after[:-1]])
-                both = (before >= 0) & (after >= 0)
-                np.add.at(sums, before[both] * size + after[both], 1)
+            tokens, _ = batch_tokens(texts_of(batch.column("text")))
+            after = read(tokens)
+            before = np.concatenate([[end], after[:-1]])
+            both = (before >= 0) & (after >= 0)
+            sums += np.bincount(before[both] * size + after[both], minlength=size * size)
         rows = sums.reshape(size, size)
         used = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())], names=["code", "row"])
@@ -169,16 +180,17 @@ def bucket_classes(texts: DataFrame, core: dict[bytes, int], table: np.ndarray,
 
     def gather(batches):
         core, _ = shared.value
-        known = Remembered(lambda w: core[w] if w in core else -1 - (crc32(w) & (buckets - 1)))
         end, pending, size = core.get(END, -1), [], 0
         for batch in batches:
-            for text in texts_of(batch.column("text")):
-                codes = known.read(tokens_of(text))
-                before, behind = np.concatenate([[end], codes[:-1]]), np.append(codes[1:], -1)
-                place = (-1 - codes) * width
-                pending.append(place[(codes < 0) & (behind >= 0)] + behind[(codes < 0) & (behind >= 0)])
-                pending.append(place[(codes < 0) & (before >= 0)] + classes + before[(codes < 0) & (before >= 0)])
-                size += len(codes)
+            tokens, starts = batch_tokens(texts_of(batch.column("text")))
+            codes = numbers_of(tokens, core)
+            before, behind = np.concatenate([[end], codes[:-1]]), np.append(codes[1:], -1)
+            behind[starts[1:] - 1] = -1  # nothing follows the end of a text
+            known = np.flatnonzero((codes < 0) & ((before >= 0) | (behind >= 0)))
+            place = (hashes_of([tokens[i] for i in known.tolist()]) & (buckets - 1)) * width
+            before, behind = before[known], behind[known]
+            pending += [place[behind >= 0] + behind[behind >= 0], place[before >= 0] + classes + before[before >= 0]]
+            size += len(known)
             if size > PENDING:
                 yield from packed(np.concatenate(pending))
                 pending, size = [], 0
@@ -259,24 +271,32 @@ class Model:
     tokens: int
     vocabulary: int
 
-    def reader(self) -> Remembered:
-        """Words to numbers that hold the class and the place in the head."""
-        return Remembered(lambda w: (self.place.get(w, -1) + 1) * len(self.room) + self.classes.of(w))
-
-    def read(self, text: bytes | None, known: Remembered) -> tuple[int, int, float, float, list[bytes]]:
-        """Tokens, known tokens, base and model score so far, and the words whose counts are not in the head.
+    def read(self, texts: list[bytes | None], head_classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Tokens, known tokens, base and model score so far of each text, and its words whose counts are not in the head.
 
         Each missing word adds log10(count + 1) to both scores.
         """
-        tokens = tokens_of(text)
-        codes = known.read(tokens)
-        places, classes = codes // len(self.room) - 1, codes % len(self.room)
-        head = places[places >= 0]
-        logs = float(np.log10(self.counts[head] + 1.0).sum())
+        if not texts:
+            return (np.zeros(0),) * 4 + ([],)
+        tokens, starts = batch_tokens(texts)
+        places = numbers_of(tokens, self.place)
+        lost = np.flatnonzero(places < 0)
+        rest = [tokens[i] for i in lost.tolist()]
+        classes = np.zeros(len(tokens), np.int64)
+        if len(head_classes):
+            classes = head_classes[places]
+        classes[lost] = self.classes.outside(rest)
+        logs = np.where(places >= 0, np.log10(np.append(self.counts, 0) + 1.0)[places], 0.0)
         before = np.concatenate([[self.classes.of(END)], classes[:-1]])
-        score = logs + float(self.steps[before, classes].sum() - self.room[classes].sum())
-        base = logs - len(tokens) * np.log10(self.tokens + self.vocabulary + 1)
-        return len(tokens), len(head), base, score, [tokens[i] for i in np.flatnonzero(places < 0).tolist()]
+        total = lambda x: np.add.reduceat(x, starts)
+        sizes = np.diff(np.append(starts, len(tokens)))
+        log, known = total(logs), total((places >= 0).astype(np.int64))
+        score = log + total(self.steps[before, classes] - self.room[classes])
+        cuts = np.searchsorted(lost, np.append(starts, len(tokens)))
+        return sizes, known, log - sizes * np.log10(self.tokens + self.vocabulary + 1), score, [rest[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def head_classes(self) -> np.ndarray:
+        return self.classes.read(list(self.place))
 
 
 def _head(counts: DataFrame) -> DataFrame:
@@ -295,30 +315,29 @@ def _head(counts: DataFrame) -> DataFrame:
     return counts.where((level > least) | ((level == least) & chosen))
 
 
-def _class_sizes(counts: DataFrame, classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens and words of each class, and words of each ending (rows) in each class, over the whole vocabulary.
-
-    `classes` is a broadcast; words whose class follows from their ending alone
-    do not count in the third.
-    """
+def _class_sizes(counts: DataFrame, core: dict[bytes, int], buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and words of the vocabulary by ending (rows) and class (columns); the last column has words without one."""
+    shared = counts.sparkSession.sparkContext.broadcast((core, np.where(buckets == UNKNOWN, CLASSES, buckets)))
 
     def count(batches):
-        found, sums = classes.value, np.zeros((ENDINGS + 2, CLASSES), np.int64)
-        mask = len(found.buckets) - 1
+        core, buckets = shared.value
+        mask, sums = len(buckets) - 1, np.zeros((2, ENDINGS * (CLASSES + 1)))
         for batch in batches:
             words = batch.column("word").to_pylist()
-            label = np.array([found.of(w) for w in words], np.int64)
-            sums[0] += np.bincount(label, batch.column("n").to_numpy(), CLASSES).astype(np.int64)
-            sums[1] += np.bincount(label, minlength=CLASSES)
-            own = [i for i, w in enumerate(words) if w in found.core or found.buckets[crc32(w) & mask] != UNKNOWN]
-            np.add.at(sums, ([2 + ending_of(words[i]) for i in own], label[own]), 1)
-        row, column = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(sums[row, column])], names=["row", "class", "n"])
-
-    sums = np.zeros((ENDINGS + 2, CLASSES))
-    for r in counts.mapInArrow(count, "row int, class int, n long").groupBy("row", "class").agg(F.sum("n").alias("n")).collect():
-        sums[r.row, r["class"]] = r.n
-    return sums[0], sums[1], sums[2:]
+            label = buckets[np.fromiter(map(crc32, words), np.int64, len(words)) & mask].astype(np.int64)
+            own = [(i, core[w]) for i, w in enumerate(words) if w in core]
+            label[[i for i, _ in own]] = [c for _, c in own]
+            place = np.fromiter(map(ending_of, words), np.int64, len(words)) * (CLASSES + 1) + label
+            sums[0] += np.bincount(place, batch.column("n").to_numpy(), sums.shape[1])
+            sums[1] += np.bincount(place, minlength=sums.shape[1])
+        used = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used].astype(np.int64)), pa.array(sums[1, used].astype(np.int64))], names=["place", "tokens", "words"])
+
+    out = np.zeros((2, ENDINGS * (CLASSES + 1)))
+    for r in counts.mapInArrow(count, "place long, tokens long, words long").groupBy("place").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
+        out[:, r.place] = r.tokens, r.words
+    tokens, words = out.reshape(2, ENDINGS, CLASSES + 1)
+    return tokens, words
 
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
@@ -335,8 +354,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     numbers = context.broadcast({w: i for i, (w, _) in enumerate(head[:CORE])})
 
     def core_codes():
-        found = numbers.value
-        return (lambda w: found.get(w, -1)), found.get(END, -1)
+        return lambda tokens: numbers_of(tokens, numbers.value)
 
     bigrams = _summed_matrix(texts, CORE, core_codes)
     label = exchange(bigrams, CLASSES)
@@ -346,15 +364,15 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     buckets = min(max(BUCKETS[0], 1 << (PER_WORD * size).bit_length()), BUCKETS[1])
     labels = bucket_classes(texts, core, member.T @ bigrams @ member, buckets)
     # The classes of endings follow from the words that have one of their own.
-    _, _, by_ending = _class_sizes(counts, context.broadcast(Classes(core, labels, np.zeros(ENDINGS, np.uint8))))
-    usual = int(by_ending.sum(0).argmax())
-    endings = np.where(by_ending.any(1), by_ending.argmax(1), usual).astype(np.uint8)
+    tokens, words = _class_sizes(counts, core, labels)
+    usual = int(words[:, :-1].sum(0).argmax())
+    endings = np.where(words[:, :-1].any(1), words[:, :-1].argmax(1), usual).astype(np.uint8)
     classes = Classes(core, labels, endings)
     shared = context.broadcast(classes)
-    tokens, words, _ = _class_sizes(counts, shared)
+    tokens, words = (x[:, :-1].sum(0) + np.bincount(endings, x[:, -1], CLASSES) for x in (tokens, words))
 
     def class_codes():
-        return shared.value.of, shared.value.of(END)
+        return shared.value.read
 
     table = _summed_matrix(texts, CLASSES, class_codes)
     rates = (tokens + 1) / (tokens.sum() + CLASSES)
@@ -380,17 +398,17 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
     def read(batches):
         model, key = shared.value, TaskContext.get().partitionId() << 40
-        known = model.reader()
+        head = model.head_classes()
         for batch in batches:
-            rows = [model.read(t, known) for t in texts_of(batch.column("text"))]
-            rest = [Counter(r[4]) for r in rows]
+            *numbers, lost = model.read(texts_of(batch.column("text")), head)
+            rest = [Counter(words) for words in lost]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(key, key + len(rows))), batch.column("doc_id"), batch.column("held_out"),
-                 *[pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], *[pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3)],
+                [pa.array(np.arange(key, key + len(rest))), batch.column("doc_id"), batch.column("held_out"), *[pa.array(x, k) for x, k in zip(numbers, kinds)],
                  pa.array([list(c) for c in rest], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rest], pa.list_(pa.int64()))],
                 names=schema.names,
             )
-            key += len(rows)
+            key += len(rest)
 
     found = stored(source.mapInArrow(read, schema))
     parts = F.struct("doc_id", "held_out", "n_tokens", "n_known", "base", "model")
