@@ -27,9 +27,12 @@ from pyspark.sql import types as T
 from lattica.llm.common import append_columns, free_name, texts_of
 
 WINDOW = 13
-# (window, item) pairs that are compiled and broadcast together: about 60 MB at
-# 13 words.  A larger benchmark makes further passes over the same partitions.
-WINDOWS_PER_BLOCK = 150_000
+# Bytes of benchmark text that are compiled and broadcast together.  A byte makes
+# at most one place of a shift table for each group of lengths, 64 bytes wide at
+# most, so tables stay below some 100 MB.  A larger benchmark makes further
+# passes over the same partitions.
+BYTES_PER_BLOCK = 1 << 20
+PART = 1000  # windows of an item that are compiled together
 # A document is contaminated if at least one word in SHARE is inside a window.
 SHARE = 20
 
@@ -91,23 +94,31 @@ def compile_windows(rows: Iterable[tuple[bytes, str]]) -> list[Group]:
 
 
 def windows(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """Distinct (window, item) of the benchmark; a null id is the item `null`."""
+    """Distinct (`window`, `item`) of the benchmark, the item's `part` and the bytes that the window adds to it.
+
+    A null id is the item `null`.  A window overlaps the one before but for a word.
+    """
     source = benchmark.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")
     )
 
     def cut(batches):
         for batch in batches:
-            found, items = [], []
+            found, items, parts, added = [], [], [], []
             for item, text in zip(batch.column("item").to_pylist(), texts_of(batch.column("text"))):
                 words = words_of(text)
                 if words:
-                    cuts = {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
+                    cuts = [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
                     found += cuts
                     items += [item] * len(cuts)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(items, pa.string())], names=["window", "item"])
+                    parts += [i // PART for i in range(len(cuts))]
+                    added += [len(c) + 2 if i % PART == 0 else len(words[i + window - 1]) + 1 for i, c in enumerate(cuts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.binary()), pa.array(items, pa.string()), pa.array(parts, pa.int64()), pa.array(added, pa.int64())], names=["window", "item", "part", "added"]
+            )
 
-    return source.mapInArrow(cut, "window binary, item string").distinct()
+    pairs = source.mapInArrow(cut, "window binary, item string, part long, added long")
+    return pairs.groupBy("window", "item").agg(F.min(F.struct("part", "added")).alias("p")).select("window", "item", "p.part", "p.added")
 
 
 def with_hits(
@@ -117,7 +128,7 @@ def with_hits(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    per_block: int = WINDOWS_PER_BLOCK,
+    per_block: int = BYTES_PER_BLOCK,
 ) -> tuple[DataFrame, dict[str, str]]:
     """Documents and what the benchmark covers of each, row by row.
 
@@ -127,12 +138,12 @@ def with_hits(
     A null or empty text has no words; an empty benchmark hits nothing.
     """
     pairs = windows(benchmark, item_col, item_text_col, window)
-    blocks = max(1, ceil(pairs.count() / per_block))
+    blocks = max(1, ceil((pairs.agg(F.sum("added")).first()[0] or 0) / per_block))
     cols = {k: free_name(docs, f"_{k}") for k in ("n_words", "spans", "items")}
     span = T.ArrayType(T.ArrayType(T.IntegerType()))
     out = docs
     for block in range(blocks):
-        rows = pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == block).collect()
+        rows = pairs.where(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == block).collect()
         tables = docs.sparkSession.sparkContext.broadcast(compile_windows((r.window, r.item) for r in rows))
         last = {k: free_name(out, f"{v}_{block}") for k, v in cols.items()}
         fields = [T.StructField(last["n_words"], T.LongType()), T.StructField(last["spans"], span), T.StructField(last["items"], T.ArrayType(T.StringType()))]

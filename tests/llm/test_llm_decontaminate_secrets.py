@@ -7,6 +7,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, secrets
 
@@ -42,7 +43,7 @@ def test_search_finds_what_comparison_finds(passages, text):
     assert got == {(i, p) for p in patterns for i in range(len(line)) if line.startswith(p, i)}
 
 
-@pytest.mark.parametrize("per_block", [150_000, 7])
+@pytest.mark.parametrize("per_block", [1 << 20, 300])
 def test_verdicts(spark, per_block):
     rng = random.Random(1)
     vocabulary = ["Alpha", "beta", "çà", "d4", "e"]
@@ -63,6 +64,27 @@ def test_verdicts(spark, per_block):
     assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
 
 
+def test_many_short_items_are_compiled_in_bounded_blocks(spark):
+    """A hundred thousand items of 13 words: no table of a block passes the bound."""
+    bench = spark.range(100_000).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(0, 12), i -> concat('w', hash(id, i)))) AS text")
+    pairs = decontaminate.windows(bench, "item_id", "text")
+    size = pairs.agg(F.sum("added")).first()[0]
+    blocks = -(-size // decontaminate.BYTES_PER_BLOCK)
+    assert 8 < blocks < 30
+    rows = pairs.where(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == 3).collect()
+    groups = decontaminate.compile_windows((r.window, r.item) for r in rows)
+    assert 1000 < len(rows) and sum(2 * len(g.shift) for g in groups) < 150 << 20
+
+
+def test_parts_of_a_long_item_are_found(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 10)
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([("a", " ".join(words))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[3:40])), (2, "x " + " ".join(words[47:60])), (3, " ".join(words[:12]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.digest(docs, bench, per_block=60).collect()}
+    assert got == {1: (37, 1), 2: (13, 1), 3: (0, 0)}
+
+
 def test_no_benchmark_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
