@@ -72,9 +72,9 @@ def keywords(question: Column) -> Column:
     )
 
 
-def content_key(content: Column) -> Column:
-    """Hits with the same leading characters are the same hit."""
-    return F.substring(content, 1, CONTENT_KEY_CHARS)
+def content_key(content: Column, chars: int | None = CONTENT_KEY_CHARS) -> Column:
+    """Hits with the same leading characters, or the same whole content, are the same hit."""
+    return content if chars is None else F.substring(content, 1, chars)
 
 
 def file_type(path: Column) -> Column:

@@ -240,24 +240,6 @@ def public_users(users: DataFrame) -> DataFrame:
     return users.drop("password_hash")
 
 
-# The kinds of audit events.
-AUDIT_EVENTS = (
-    "login_attempt",
-    "login_success",
-    "login_failure",
-    "logout",
-    "token_refresh",
-    "registration_attempt",
-    "registration_success",
-    "registration_failure",
-    "password_change",
-    "access_denied",
-    "invalid_token",
-    "account_locked",
-    "account_unlocked",
-)
-
-
 def audit_by_day(events: DataFrame, at: str, kind: str) -> DataFrame:
     return events.groupBy(F.date_format(at, "yyyy-MM-dd").alias("day"), F.col(kind).alias("event_type")).agg(
         F.count("*").alias("events")

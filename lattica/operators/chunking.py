@@ -17,7 +17,6 @@ class ChunkConfig:
     chunk_size: int = 1000
     overlap: int = 200
     min_chunk_size: int = 100
-    respect_sections: bool = True
     respect_paragraphs: bool = True
     # Pieces below the minimum are dropped unless this is set.
     keep_tail: bool = False

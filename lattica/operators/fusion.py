@@ -24,7 +24,8 @@ class RetrievalConfig:
     graph_weight: float = 1.5
     keyword_weight: float = 0.8
     max_context_length: int = 8000
-    include_ontology: bool = True
+    # Hits are one result if this many leading characters agree; all of them by default.
+    content_key_chars: int | None = None
 
     def weights(self) -> dict[str, float]:
         return {"vector": self.vector_weight, "graph": self.graph_weight, "keyword": self.keyword_weight}
@@ -59,7 +60,7 @@ def fuse(
         priority = F.when(F.col("result_type") == kind, F.lit(position)).otherwise(priority)
     fused = (
         ranked.withColumn("_term", weight / (F.lit(config.rrf_k) + F.col("_rn")))
-        .groupBy("request_id", content_key(F.col("content")).alias("content_key"))
+        .groupBy("request_id", content_key(F.col("content"), config.content_key_chars).alias("content_key"))
         .agg(
             F.round(F.sum("_term"), digits).alias("score"),
             F.min_by(F.struct("result_type", *extra), F.struct(priority, "_rn")).alias("_hit"),
@@ -77,7 +78,7 @@ def confidence(results: DataFrame) -> DataFrame:
     )
 
 
-def pack_context(results: DataFrame, keys: list[str], order: list, budget: int = 8000, content: str = "content") -> DataFrame:
+def pack_context(results: DataFrame, keys: list[str], order: list, budget: int = RetrievalConfig.max_context_length, content: str = "content") -> DataFrame:
     """Results in order until the next one would exceed the byte budget.
 
     Lengths are never negative, so the running sum only grows and the filter

@@ -44,25 +44,25 @@ class HashingEmbedder:
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
-        self._memo: dict[str, tuple[int, int]] = {}
-
-    def _place(self, word: str) -> tuple[int, int]:
-        place = self._memo.get(word)
-        if place is None:
-            value = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-            place = (value % self.dimension, 1 - 2 * ((value // self.dimension) % 2))
-            if len(self._memo) >= self._MEMO_LIMIT:
-                self._memo.clear()
-            self._memo[word] = place
-        return place
+        self._memo: dict[str, int] = {}
+
+    def _code(self, word: str) -> int:
+        """Position and sign of a word as one number."""
+        value = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        if len(self._memo) >= self._MEMO_LIMIT:
+            self._memo.clear()
+        code = self._memo[word] = value % (2 * self.dimension)
+        return code
 
     def embed_batch(self, texts: list[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), self.dimension), dtype=np.float32)
-        for row, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                position, sign = self._place(word)
-                vectors[row, position] += sign
-        return vectors
+        each = [(text or "").lower().split() for text in texts]
+        words = [w for words in each for w in words]
+        known = self._memo.get
+        codes = np.fromiter((self._code(w) if (code := known(w)) is None else code for w in words), np.int64, len(words))
+        rows = np.repeat(np.arange(len(each)), [len(words) for words in each])
+        sign = 1.0 - 2.0 * (codes // self.dimension)
+        sums = np.bincount(rows * self.dimension + codes % self.dimension, sign, len(each) * self.dimension)
+        return sums.reshape(len(each), self.dimension).astype(np.float32)
 
 
 def embed(text: Column, embedder: Embedder) -> Column:

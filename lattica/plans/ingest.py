@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica import schemas
+from lattica.config import Settings
 from lattica.functions.text import stable_id
 from lattica.operators import chunking, graph, mentions, relations, review
 from lattica.operators import sections as headings
@@ -51,11 +52,12 @@ def ingest_folder(
     path: str,
     root: str,
     embedder: Embedder | None = None,
-    config: chunking.ChunkConfig = chunking.ChunkConfig(),
+    config: chunking.ChunkConfig | None = None,
     decoders: dict | None = None,
     access_level: str = "internal",
     department: str | None = None,
     approve_from: float = review.AUTO_APPROVE_THRESHOLD,
+    settings: Settings | None = None,
 ) -> DataFrame:
     """Write the tables of a folder of files under `root`; the result counts rows per table.
 
@@ -64,8 +66,9 @@ def ingest_folder(
     found section by section, so each knows its section and page; those of
     confidence `approve_from` and more are loaded into the graph (`nodes`,
     `edges`), the others wait for review.  Tables of `schemas.TABLES` are written
-    under these schemas.
+    under these schemas.  Chunks are cut by `config`, else as `settings` say.
     """
+    config = config or (settings or Settings()).chunking
     plain_unions(spark)
     tables.replace(files.parsed_rows(files.list_files(spark, path), decoders).withColumn("document_id", stable_id(F.col("file_path"))), root, "parsed")
     every = spark.read.parquet(f"{root}/parsed")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as text_functions
-from lattica.operators import accounts, telemetry
+from lattica.operators import accounts, audit, telemetry
 from lattica.plans import tables
 from lattica.plans.registry import query
 
@@ -197,6 +197,45 @@ def unexpired_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_user.agg(F.sum("n").alias("kept"), F.count("*").alias("users"))
 
 
+def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(`at`, `event_type`, `payload`): the given events as audit records, some of them without a field they need."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    user = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("user_id").cast("string"), 12, "0"))
+    email = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org"))
+    kinds = {
+        "error": ("login_failure", F.struct(email.alias("email"), F.lit("password").alias("reason"), k.alias("failed_attempts"), (k >= 50).alias("account_locked"))),
+        "signup": ("registration_success", F.struct(user.alias("user_id"), email.alias("email"), F.lit("viewer").alias("role"))),
+        "purchase": ("token_refresh", F.struct(F.when(k >= 5, user).otherwise("nobody").alias("user_id"), email.alias("email"))),
+        "view": ("access_denied", F.struct(F.when(k % 10 > 0, F.concat(F.lit("doc/"), k.cast("string"))).alias("resource"), user.alias("user_id"))),
+        "click": ("logout", F.struct(user.alias("user_id"), email.alias("email"), (k % 2 == 0).alias("logout_all_devices"))),
+    }
+    events = tables.read(spark, sf_dir, "events")
+    kind, payload = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (audited, fields) in kinds.items():
+        kind = F.when(F.col("event_type") == name, audited).otherwise(kind)
+        payload = F.when(F.col("event_type") == name, F.to_json(fields)).otherwise(payload)
+    return events.select(F.col("ts").alias("at"), kind.alias("event_type"), payload.alias("payload"))
+
+
+@query(
+    sql="""WITH k AS (SELECT event_type AS e, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+named AS (SELECT *, CASE e WHEN 'error' THEN 'login_failure' WHEN 'signup' THEN 'registration_success' WHEN 'purchase' THEN 'token_refresh' WHEN 'view' THEN 'access_denied' ELSE 'logout' END AS event_type,
+  CASE WHEN e = 'purchase' AND k < 5 THEN 'Wrong type: user_id' WHEN e = 'view' AND k % 10 = 0 THEN 'Missing field: resource' END AS problem FROM k)
+SELECT event_type, coalesce(problem, '') AS problem, count(*) AS events, count(DISTINCT CASE WHEN problem IS NULL THEN user_id END) AS people,
+  CAST(coalesce(max(CASE WHEN e = 'error' THEN k END), 0) AS INTEGER) AS most_failures, count(*) FILTER (e = 'error' AND k >= 50) AS locked, count(*) FILTER (e = 'click' AND k % 2 = 0) AS everywhere
+FROM named GROUP BY ALL"""
+)
+def audit_events_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit events by kind and by what is wrong with them, with sums of typed fields."""
+    judged = audit.checked(audit_records(spark, sf_dir))
+    who = F.when(F.col("problem").isNull(), F.coalesce("email", "user_id"))
+    fields = audit.typed(judged.withColumn("_problem", F.col("problem")))
+    return fields.withColumnRenamed("_problem", "problem").withColumn("_who", who).groupBy("event_type", F.coalesce("problem", F.lit("")).alias("problem")).agg(
+        F.count("*").alias("events"), F.count_distinct("_who").alias("people"), F.coalesce(F.max("failed_attempts"), F.lit(0)).alias("most_failures"),
+        F.count(F.when(F.col("account_locked"), 1)).alias("locked"), F.count(F.when(F.col("logout_all_devices"), 1)).alias("everywhere"),
+    )
+
+
 @query(sql="SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL", headline=True)
 def audit_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit events per day and kind."""

@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.config import Settings
 from lattica.functions.access import Principal, visible_to
 from lattica.functions.text import STOPWORDS
 from lattica.operators import answers, evaluation, fusion, graph, inverted_index, keyword_search, vectors
@@ -115,10 +116,11 @@ def retrieve(
     edges: DataFrame,
     principal: Principal,
     embedder: vectors.Embedder | None = None,
-    config: RetrievalConfig = RetrievalConfig(),
+    config: RetrievalConfig | None = None,
     top_k: int | None = None,
     document_filter: DataFrame | None = None,
     more: list[SearchBackend] | None = None,
+    settings: Settings | None = None,
 ) -> DataFrame:
     """Fused results per question from vectors, graph and keywords, and from further searches in `more`.
 
@@ -129,8 +131,10 @@ def retrieve(
     columns, and a vector column when already embedded); `nodes`/`edges` hold
     what the principal may see of the graph.  Access control is applied to the
     chunks before any ranking.  Results carry `place`, the document, page and
-    section of a chunk as far as the table knows them.
+    section of a chunk as far as the table knows them.  Depths and weights are
+    those of `config`, else of `settings`.
     """
+    config = config or (settings or Settings()).retrieval
     readable = visible_to(chunks, principal)
     if document_filter is not None:
         readable = readable.join(document_filter.select("document_id").distinct(), "document_id", "left_semi")
@@ -425,7 +429,7 @@ hits AS (
   UNION ALL SELECT request_id, 'keyword', 2, 0.8::DOUBLE, chunk_id, content, score FROM by_keyword JOIN lines USING (chunk_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, result_type ORDER BY score DESC, hit_id) AS rn FROM hits),
 fused AS (
-  SELECT request_id, substr(content, 1, 100) AS content_key, round(sum(weight / (60.0::DOUBLE + rn)), 9) AS score,
+  SELECT request_id, content AS content_key, round(sum(weight / (60.0::DOUBLE + rn)), 9) AS score,
     arg_min(result_type, priority * 1000 + rn) AS result_type, arg_min(hit_id, priority * 1000 + rn) AS hit_id,
     arg_min(content, priority * 1000 + rn) AS content
   FROM ranked GROUP BY ALL),

@@ -64,7 +64,9 @@ def test_fusion_scores(spark):
 
 def test_fusion_groups_by_leading_characters(spark):
     hits = [(1, "vector", "a", "p" * 100 + "x", 0.9), (1, "vector", "b", "p" * 100 + "y", 0.8), (1, "keyword", "c", "other", 0.1), (1, "vector", "d", "nan", float("nan"))]
-    rows = fusion.fuse(spark.createDataFrame(hits, HITS), RetrievalConfig(final_top_k=5)).orderBy("rank").collect()
+    whole = fusion.fuse(spark.createDataFrame(hits, HITS)).orderBy("rank").collect()
+    assert [r.hit_id for r in whole] == ["a", "b", "c"]
+    rows = fusion.fuse(spark.createDataFrame(hits, HITS), RetrievalConfig(final_top_k=5, content_key_chars=100)).orderBy("rank").collect()
     assert [r.hit_id for r in rows] == ["a", "c"]
     assert rows[0].score == pytest.approx(1 / 61 + 1 / 62, abs=1e-9)
     assert fusion.confidence(spark.createDataFrame([(1, 0.05), (1, 0.03), (2, 0.5)], "request_id long, score double")).orderBy("request_id").collect()[1].confidence == 1.0
