@@ -16,6 +16,7 @@ pass over the texts.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,10 +64,28 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def _asked(spark: SparkSession, kind: str, ids: list, payloads: list) -> DataFrame:
-    """(`request_id`, `term`, `asked`) of a block of requests, which is small enough to travel to every task."""
-    rows = [(i, t, len(terms)) for i, terms in zip(ids, payloads) for t in terms or ()]
-    return F.broadcast(spark.createDataFrame(rows, f"request_id {kind}, term string, asked int"))
+@dataclass(frozen=True)
+class Asked:
+    """A block of requests, small enough to travel to every task; terms go by number."""
+
+    terms: DataFrame  # term, number
+    pairs: DataFrame  # request_id, number, asked: how many keywords the request has
+
+    @staticmethod
+    def of(spark: SparkSession, kind: str, ids: list, payloads: list) -> Asked:
+        numbers = {t: i for i, t in enumerate(dict.fromkeys(t for terms in payloads for t in terms or ()))}
+        pairs = [(i, numbers[t], len(terms)) for i, terms in zip(ids, payloads) for t in terms or ()]
+        return Asked(
+            F.broadcast(spark.createDataFrame(list(numbers.items()), "term string, number int")),
+            F.broadcast(spark.createDataFrame(pairs, f"request_id {kind}, number int, asked int")),
+        )
+
+    def folders(self) -> list[int]:
+        return sorted(r.folder for r in self.terms.select(folder_of(F.col("term")).alias("folder")).distinct().collect())  # FOLDERS at most
+
+    def hits(self, lists: DataFrame) -> DataFrame:
+        """Rows of a table with a column `term`, for each request that asks for it."""
+        return lists.join(self.terms, "term").drop("term").join(self.pairs, "number")
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -79,17 +98,21 @@ def _scores(hits: DataFrame) -> DataFrame:
     return hits.groupBy("request_id", "item_id").agg(F.round(total, RANK_DIGITS).alias("score")).where("score > 0")
 
 
-def from_texts(items: DataFrame, asked: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Scores from one pass over the texts: words that nobody asks for end in the scan."""
+def from_texts(items: DataFrame, asked: Asked, id_column: str, text: str) -> DataFrame:
+    """Scores from one pass over the texts: words that nobody asks for end in the scan.
+
+    What is left of an item is counted, scored and added up in one task, so it
+    is shuffled once, as numbers.
+    """
     words = items.select(F.col(id_column).alias("item_id"), F.explode(terms_of(F.col(text))).alias("term"))
-    wanted = F.broadcast(asked.select("term").distinct())
-    counted = words.join(wanted, "term", "left_semi").groupBy("item_id", "term").agg(F.count("*").alias("n"))
-    return _scores(counted.join(asked, "term"))
+    numbers = words.join(asked.terms, "term").select("item_id", "number").repartition("item_id")
+    counted = numbers.groupBy("item_id", "number").agg(F.count("*").alias("n"))
+    return _scores(counted.join(asked.pairs, "number"))
 
 
-def candidate_blocks(index: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def candidate_blocks(index: DataFrame, asked: Asked, k: int) -> tuple[DataFrame, DataFrame]:
     """(`request_id`, `block`, `bound`) of all blocks that hold an asked term, and of those that may hold one of the k best items."""
-    hits = index.join(asked, "term")
+    hits = asked.hits(index)
     bound = F.sum(saturated(F.col("most"))) / F.max("asked")
     bounds = hits.groupBy("request_id", "block").agg(bound.alias("bound"))
     seeds = top_k_per_group(bounds, ["request_id"], [F.col("bound").desc(), F.col("block")], SEEDS).select("request_id", "block")
@@ -105,10 +128,10 @@ def _opened(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     return chosen.select("request_id", "asked", F.explode("entries").alias("e")).select("request_id", "asked", "e.item_id", "e.n")
 
 
-def from_index(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def from_index(index: DataFrame, asked: Asked, k: int) -> DataFrame:
     """Scores of the items in the blocks that may hold one of the k best of a request."""
     _, near = candidate_blocks(index, asked, k)
-    return _scores(_opened(index.join(asked, "term"), near))
+    return _scores(_opened(asked.hits(index), near))
 
 
 def search(
@@ -131,12 +154,11 @@ def search(
     spark, kind = items.sparkSession, requests.schema["request_id"].dataType.simpleString()
     found = []
     for ids, payloads in request_blocks(requests, block_bytes):
-        asked = _asked(spark, kind, ids, payloads)
+        asked = Asked.of(spark, kind, ids, payloads)
         if index is None:
             scores = from_texts(items, asked, id_column, text)
         else:
-            folders = sorted({f.folder for f in asked.select(folder_of(F.col("term")).alias("folder")).distinct().collect()})  # FOLDERS at most
-            scores = from_index(index.where(F.col("folder").isin(folders)), asked, k)
+            scores = from_index(index.where(F.col("folder").isin(asked.folders())), asked, k)
         best = _ranked(scores, k)
         if min_score is not None:
             best = best.where(F.col("score") >= min_score)

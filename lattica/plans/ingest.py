@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from lattica.operators import sections as headings
 from lattica.operators.vectors import Embedder, HashingEmbedder, embed
 from lattica.session import plain_unions
 from lattica.sources import files, tables
+from lattica.sources.snapshots import Snapshots
 
 WRITTEN = ("documents", "sections", "chunks", "vectors", "mentions", "relations", "nodes", "edges")
 
@@ -58,11 +61,14 @@ def ingest_folder(
     department: str | None = None,
     approve_from: float = review.AUTO_APPROVE_THRESHOLD,
     settings: Settings | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
     """Write the tables of a folder of files under `root`; the result counts rows per table.
 
-    A repeated run replaces what the first one wrote.  Every file is decoded
-    once, into `parsed`; all tables derive from it.  Entities and relations are
+    All tables appear together as one version of `Snapshots(spark, root)`, which
+    replaces the one before; a run that dies leaves that as it was, and a `batch`
+    that is already in is not written again.  Every file is decoded once, into
+    `parsed`; all tables derive from it.  Entities and relations are
     found section by section, so each knows its section and page; those of
     confidence `approve_from` and more are loaded into the graph (`nodes`,
     `edges`), the others wait for review.  Tables of `schemas.TABLES` are written
@@ -70,6 +76,10 @@ def ingest_folder(
     """
     config = config or (settings or Settings()).chunking
     plain_unions(spark)
+    known, warehouse = Snapshots(spark, root), root
+    if batch is not None and batch in known.manifest()["batches"]:
+        return _counted(known)
+    root = known.new_folder()
     tables.replace(files.parsed_rows(files.list_files(spark, path), decoders).withColumn("document_id", stable_id(F.col("file_path"))), root, "parsed")
     every = spark.read.parquet(f"{root}/parsed")
     parsed = every.where("error IS NULL")
@@ -118,10 +128,10 @@ def ingest_folder(
     loaded = graph.load_edges(review.approved(all_relations).withColumn("source", source), nodes, carry=["source"]).withColumn("created_at", now)
     tables.replace(declared(loaded, "edges"), root, "edges")
 
-    def counted(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+    known.commit(replaced={name: f"{root}/{name}" for name in (*WRITTEN, "rejected")}, batch=batch)
+    return _counted(Snapshots(spark, warehouse))
+
 
-    result = counted(WRITTEN[0])
-    for name in (*WRITTEN[1:], "rejected"):
-        result = result.unionByName(counted(name))
-    return result
+def _counted(known: Snapshots) -> DataFrame:
+    parts = [known.read(name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name in (*WRITTEN, "rejected")]
+    return reduce(DataFrame.unionByName, parts)

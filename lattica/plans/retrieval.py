@@ -167,8 +167,12 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_graph(spark: SparkSession, sf_dir: str, principal: Principal) -> tuple[DataFrame, DataFrame]:
-    """Readable documents, their sources and languages."""
-    docs = visible_to(tables.documents(spark, sf_dir), principal)
+    """Readable documents, their sources and languages.
+
+    Nodes and edges are asked for in many places; the few columns they are made
+    of are written once, so that the texts are read once.
+    """
+    docs = cut_lineage(visible_to(tables.documents(spark, sf_dir), principal).select("document_id", "title", "source", "lang"))
 
     def hub(column: str, node_class: str) -> DataFrame:
         return docs.select(column).distinct().select(

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica import schemas
+from lattica.sources.snapshots import Snapshots
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the warehouse folder under its declared schema."""
+    """A table of the warehouse folder under its declared schema, as of the last commit where there are versions."""
+    known = Snapshots(spark, root)
+    if known.versions():
+        return known.read(name, schema=schemas.TABLES[name])
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
 
 

@@ -6,6 +6,7 @@ from lattica import schemas
 from lattica.operators import catalog, graph, review
 from lattica.plans.ingest import WRITTEN, ingest_folder
 from lattica.sources import document_format
+from lattica.sources.snapshots import Snapshots
 from lattica.sources.tables import read_table
 
 KOREAN = "연차휴가는 최대 15일까지 사용할 수 있다. 병가 신청시 진단서를 제출해야 한다."
@@ -44,7 +45,7 @@ def test_folder_to_graph(spark, folder, tmp_path):
 
     written = {name: read_table(spark, root, name) for name in ("documents", "chunks", "vectors", "nodes", "edges")}
     for name, optional in (("documents", {"owner_id", "deleted_at"}), ("chunks", {"page", "section"}), ("vectors", {"owner_id"}), ("nodes", set()), ("edges", set())):
-        df = spark.read.parquet(f"{root}/{name}")
+        df = Snapshots(spark, root).read(name)
         assert set(df.columns) == {f.split(" ")[0] for f in schemas.TABLES[name].replace("source struct<document_id:string,page:int,section:string,offset:bigint,confidence:double>", "source x").split(", ")}
         empty = written[name].select([F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in written[name].columns if c not in optional]).first()
         assert not any(empty), (name, empty)
@@ -67,9 +68,31 @@ def test_folder_to_graph(spark, folder, tmp_path):
 def test_doubtful_extractions_wait_for_review(spark, folder, tmp_path):
     root = str(tmp_path / "tables")
     ingest_folder(spark, str(folder), root).collect()
-    related, nodes = spark.read.parquet(f"{root}/relations"), read_table(spark, root, "nodes")
+    related, nodes = Snapshots(spark, root).read("relations"), read_table(spark, root, "nodes")
     assert {r.status for r in related.collect()} == {"pending"} and read_table(spark, root, "edges").count() == 0
-    assert nodes.count() == review.approved(spark.read.parquet(f"{root}/mentions")).select("document_id", "text").distinct().count() > 0
+    assert nodes.count() == review.approved(Snapshots(spark, root).read("mentions")).select("document_id", "text").distinct().count() > 0
+
+
+def test_a_run_that_dies_leaves_the_old_version(spark, folder, tmp_path):
+    root = str(tmp_path / "tables")
+    first = sorted(map(tuple, ingest_folder(spark, str(folder), root, batch="monday").collect()))
+    (folder / "late.txt").write_text("one more")
+
+    class Broken:
+        dimension = 4
+
+        def embed_batch(self, texts):
+            raise RuntimeError("no service")
+
+    with pytest.raises(Exception, match="no service"):
+        ingest_folder(spark, str(folder), root, embedder=Broken(), batch="tuesday").collect()
+    assert Snapshots(spark, root).versions() == [1] and read_table(spark, root, "documents").count() == dict(first)["documents"]
+    # A batch that is already in is not written again, whatever the folder holds by now.
+    assert sorted(map(tuple, ingest_folder(spark, str(folder), root, batch="monday").collect())) == first
+    ingest_folder(spark, str(folder), root, batch="tuesday").collect()
+    known = Snapshots(spark, root)
+    assert known.versions() == [1, 2] and known.read("documents").count() == dict(first)["documents"] + 1
+    assert known.read("documents", version=1).count() == dict(first)["documents"]
 
 
 def _names(df):

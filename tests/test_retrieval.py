@@ -162,7 +162,7 @@ def test_index_opens_few_blocks_and_runs_no_python(spark, tmp_path):
     index = inverted_index.read(spark, folder)
     assert index.groupBy("term", "block").count().where("count > 1").isEmpty()
     assert index.selectExpr("max(size(entries)) AS n").first().n <= inverted_index.PER_BLOCK
-    spread = F.broadcast(spark.createDataFrame([(i, t, len(ts)) for i, ts in asked for t in ts], "request_id long, term string, asked int"))
+    spread = inverted_index.Asked.of(spark, "long", [i for i, _ in asked], [ts for _, ts in asked])
     bounds, near = inverted_index.candidate_blocks(index, spread, 3)
     assert near.count() < 0.7 * bounds.count()
     for given in (None, index):
