@@ -10,6 +10,8 @@ from lattica.functions.access import level_rank, visible_by_principal
 from lattica.operators import catalog, review
 from lattica.plans import tables
 from lattica.plans.registry import query
+from lattica.session import new_folder
+from lattica.sources import lookup
 
 
 def _principals_sql(columns: str) -> str:
@@ -353,3 +355,15 @@ def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     digest = F.when(F.col("problem").isNull(), F.sha2("bytes", 256))
     return uploads.validate(sent).select("document_id", "problem", digest.alias("accepted_digest"))
+
+
+@query(
+    sql=tables.with_sql(tables.DOCUMENTS_SQL)
+    + "SELECT document_id, title, source FROM docs WHERE document_id IN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events)"
+)
+def documents_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose ids the payloads of events name, looked up in a table laid out for that."""
+    folder = new_folder(spark)
+    lookup.write(tables.documents(spark, sf_dir).select("document_id", "title", "source"), folder, "document_id")
+    named = tables.read(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("k")).distinct()
+    return lookup.find(spark, folder, "document_id", [r.k for r in named.limit(lookup.MOST_KEYS + 1).collect()])
