@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions.text import lookup
 from lattica.operators.topk import first_per_group
 
+# Bytes of a document whose mentions are compared in one task.
+STRETCH = 1 << 16
+# Pairs that are in memory at once, and a number beyond all offsets of a text.
+PAIRS = 20_000
+FAR = 1 << 40
+
 # Relation types a model may answer with.
 RELATION_TYPES = (
     "worksIn",
@@ -56,18 +67,6 @@ RELATION_RULES = (
 )
 
 
-def _roles(entity_type: Column, rules: tuple[RelationRule, ...]) -> Column:
-    """(rule_id, role, reach) an entity type can play; literals in the plan, so no join."""
-    played = [
-        (kind, F.struct(F.lit(i).alias("rule_id"), F.lit(role).alias("role"), F.lit(r.max_distance).cast("bigint").alias("reach")))
-        for i, r in enumerate(rules)
-        for role, kind in (("subject", r.subject_type), ("object", r.object_type))
-    ]
-    kinds = sorted({kind for kind, _ in played})
-    entries = [x for k in kinds for x in (F.lit(k), F.array(*[p for kind, p in played if kind == k]))]
-    return F.try_element_at(F.create_map(*entries), entity_type)
-
-
 def _by_rule(rules: tuple[RelationRule, ...], value) -> Column:
     """A value of the rule the row's rule_id names."""
     branches = F.when(F.col("rule_id") == 0, value(rules[0]))
@@ -103,40 +102,108 @@ def context_bytes(rules: tuple[RelationRule, ...] = RELATION_RULES) -> int:
     return max(r.max_distance for r in rules)
 
 
+def _near_pairs(mentions: DataFrame, rules: tuple[RelationRule, ...]) -> DataFrame:
+    """Pairs of mentions in rows of (_doc, _w, start, end, text, entity_type, after, _own) that fit a rule.
+
+    Rows come sorted by (_doc, _w, start), so the partners of a mention are the
+    next rows up to its reach: a task holds one batch and the few rows before it
+    that still reach into it.
+    """
+    kinds = sorted({t for r in rules for t in (r.subject_type, r.object_type)})
+    sides = [(i, kinds.index(r.subject_type), kinds.index(r.object_type), r.max_distance) for i, r in enumerate(rules)]
+    most = context_bytes(rules)
+    carried = ("start", "end", "text", "entity_type", "after")
+    kind_of = {f.name: f.dataType for f in mentions.schema.fields}
+    schema = T.StructType(
+        [T.StructField("_doc", kind_of["_doc"]), T.StructField("rule_id", T.IntegerType()), T.StructField("reach", T.LongType()),
+         T.StructField("subject_first", T.BooleanType()), *[T.StructField(f"{s}_{c}", kind_of[c]) for s in "ab" for c in carried]]
+    )
+
+    def pairs_of(rows: pa.Table, old: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, bool]]:
+        start = rows.column("start").to_numpy().astype(np.int64)
+        end = pc.fill_null(rows.column("end"), -FAR).to_numpy().astype(np.int64)
+        kind = pc.index_in(rows.column("entity_type"), pa.array(kinds)).to_numpy()
+        own = rows.column("_own").to_numpy()
+        key = _groups(rows) * FAR + np.minimum(start, FAR - 1)
+        low = np.searchsorted(key, key, "right")
+        high = np.searchsorted(key, key - start + np.minimum(end + most, FAR - 1), "right")
+        low = np.maximum(low, old)
+        count = np.maximum(high - low, 0)
+        for at in _stretches(count):
+            n = count[at]
+            a = np.repeat(np.arange(at.start, at.stop), n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at], n)
+            gap = start[b] - end[a]
+            for rule, subject, object_, reach in sides:
+                near = own[b] & (gap <= reach)
+                for first, second, subject_first in ((subject, object_, True), (object_, subject, False)):
+                    fit = np.flatnonzero(near & (kind[a] == first) & (kind[b] == second))
+                    for i in range(0, len(fit), PAIRS):
+                        yield a[fit[i : i + PAIRS]], b[fit[i : i + PAIRS]], rule, reach, subject_first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            old = kept.num_rows if kept is not None else 0
+            rows = (pa.concat_tables([kept, new]) if old else new).combine_chunks()
+            for a, b, rule, reach, subject_first in pairs_of(rows, old):
+                n = len(a)
+                first, second = rows.take(pa.array(a)), rows.take(pa.array(b))
+                columns = [first.column("_doc"), pa.array(np.full(n, rule, np.int32)), pa.array(np.full(n, reach, np.int64)), pa.array(np.full(n, subject_first))]
+                columns += [side.column(c) for side in (first, second) for c in carried]
+                yield from pa.Table.from_arrays(columns, names=schema.names).to_batches()
+            group = _groups(rows)
+            end = pc.fill_null(rows.column("end"), -FAR).to_numpy()
+            kept = rows.filter(pa.array((group == group[-1]) & (end + most >= rows.column("start").to_numpy()[-1])))
+
+    return mentions.mapInArrow(run, schema)
+
+
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Number of the (_doc, _w) of each row; rows of a group are neighbours."""
+    fresh = np.zeros(rows.num_rows, np.int64)
+    for name in ("_doc", "_w"):
+        column = rows.column(name).combine_chunks()
+        fresh[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.cumsum(fresh)
+
+
+def _stretches(count: np.ndarray) -> Iterator[slice]:
+    """Slices of about PAIRS pairs, if rows have `count` pairs."""
+    number, total = np.cumsum(count) // PAIRS, int(count.sum())
+    cuts = np.flatnonzero(np.diff(number)) + 1 if total else np.empty(0, np.int64)
+    edges = [0, *cuts.tolist(), len(count)]
+    return (slice(x, y) for x, y in zip(edges, edges[1:]) if y > x)
+
+
 def find_relations(
     mentions: DataFrame, rules: tuple[RelationRule, ...] = RELATION_RULES, document_id: str = "document_id"
 ) -> DataFrame:
     """Pairs of mentions of fitting types, near each other, with a keyword close by.
 
-    A band join: the earlier mention is placed in every stretch of text its
-    partner may start in, the later one in the stretch it starts in, and the
-    two meet on (document, rule, stretch).  Work grows with the mentions near
-    each other, never with all pairs of a document, and one huge document
-    spreads over its stretches.  Mentions carry the bytes that follow them
-    (column after, at least `context_bytes(rules)` of them), so the texts are
-    not joined back.
+    One shuffle by document and stretch of STRETCH bytes, and a sweep over the
+    sorted mentions of each: a pair is found where its later mention starts, and
+    the few mentions that reach into the next stretch are copied there.  Work
+    grows with the mentions near each other, never with all pairs of a document,
+    and one huge document spreads over its stretches.  Mentions carry the bytes
+    that follow them (column after, at least `context_bytes(rules)` of them), so
+    the texts are not joined back; as neighbours stay together, these overlapping
+    bytes compress well in the shuffle.
     """
     types = sorted({t for r in rules for t in (r.subject_type, r.object_type)})
-    base = mentions.filter(F.col("entity_type").isin(types)).select(
-        F.col(document_id).alias("_doc"), "start", "end", "text", "entity_type", "after"
-    )
-    # Both sides of the join read the mentions from this one shuffle.
-    roles = base.repartition("_doc", "start").select("*", F.inline(_roles(F.col("entity_type"), rules)))
-    stretch = F.col("reach") + 1
-    first = roles.select(
-        "_doc", "rule_id", "reach", F.col("role").alias("first_role"),
-        *[F.col(c).alias(f"a_{c}") for c in ("start", "end", "text", "entity_type", "after")],
-        F.explode(F.sequence(F.floor(F.col("start") / stretch), F.floor((F.col("end") + F.col("reach")) / stretch))).alias("_s"),
-    )
-    second = roles.select(
-        "_doc", "rule_id", F.col("role").alias("second_role"),
-        *[F.col(c).alias(f"b_{c}") for c in ("start", "end", "text", "entity_type", "after")],
-        F.floor(F.col("start") / stretch).alias("_s"),
+    base = mentions.filter(F.col("entity_type").isin(types) & F.col(document_id).isNotNull() & F.col("start").isNotNull()).select(
+        F.col(document_id).alias("_doc"), F.col("start").cast("bigint"), F.col("end").cast("bigint"), "text", "entity_type", "after"
     )
+    width = F.lit(STRETCH)
+    home = F.floor(F.col("start") / width)
+    reached = F.floor((F.coalesce(F.col("end"), F.col("start")) + context_bytes(rules)) / width)
+    dealt = base.select("*", home.alias("_home"), F.explode(F.sequence(home, F.greatest(home, reached))).alias("_w"))
+    placed = dealt.withColumn("_own", F.col("_w") == F.col("_home")).drop("_home").repartition("_doc", "_w").sortWithinPartitions("_doc", "_w", "start")
+    pairs = _near_pairs(placed, rules)
     gap = F.col("b_start") - F.col("a_end")
-    pairs = first.join(second, ["_doc", "rule_id", "_s"]).filter(
-        (F.col("b_start") > F.col("a_start")) & (F.col("first_role") != F.col("second_role")) & (gap <= F.col("reach"))
-    )
     behind = _slice(_bytes(F.col("b_after")), F.lit(1), F.col("reach"))
     context = (
         F.when(
@@ -150,7 +217,7 @@ def find_relations(
         .otherwise(_slice(_bytes(F.col("a_after")), F.lit(1), F.col("b_end") + F.col("reach") - F.col("a_end")))
     )
     found = pairs.filter(_any_keyword(F.lower(context.cast("string")), rules))
-    subject_first = F.col("first_role") == "subject"
+    subject_first = F.col("subject_first")
 
     def side(when_first: bool, column: str) -> Column:
         a, b = F.col(f"a_{column}"), F.col(f"b_{column}")

@@ -154,3 +154,36 @@ def test_relation_answers_and_names(spark, one):
     assert [(r.subject_start, r.object_start, r.confidence) for r in rows] == [(0, 9, 0.8)]
     assert one(relations.relation_type(F.lit("WORKSIN"))) == "worksIn"
     assert one(relations.relation_type(F.lit("nope"))) is None
+
+
+def test_relations_shuffle_each_mention_once(spark, monkeypatch):
+    """One shuffle, no join; stretches and batches may end between the two mentions of a pair, and ids may repeat."""
+    import random
+
+    rng = random.Random(5)
+    texts = [(i // 2, " ".join(rng.choice(["aaa", "bbb", "key", "zz"]) for _ in range(80))) for i in range(6)] + [(None, "aaa key bbb")]
+    rules = RuleSet((("aaa", "A", 0.9, ""), ("bbb", "B", 0.9, "")), ())
+    related = (relations.RelationRule("A", "B", "p", ("key",), 25, 0.8), relations.RelationRule("A", "A", "same", ("zz",), 40, 0.7))
+    found = mentions.extract(spark.createDataFrame(texts, "document_id long, text string"), rules, context_bytes=40).cache()
+    rows, expected = found.collect(), []
+    for rule in related:
+        for s in rows:
+            for o in rows:
+                if s.document_id is not None and s.document_id == o.document_id and (s.entity_type, o.entity_type) == (rule.subject_type, rule.object_type) and s.start != o.start:
+                    a, b = sorted((s, o), key=lambda m: m.start)
+                    gap = b.start - a.end
+                    if gap <= rule.max_distance:
+                        between = a.after[:gap] + b.text if gap >= 0 else b.text[-gap:]  # ids that repeat mix texts
+                        context = between + b.after[: rule.max_distance]
+                        expected += [(s.document_id, s.start, rule.predicate, o.start)] if any(k in context for k in rule.keywords) else []
+    for stretch, size in ((1 << 16, "10000"), (64, "7")):
+        monkeypatch.setattr(relations, "STRETCH", stretch)
+        old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = relations.find_relations(found, related)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+            assert sorted((r.document_id, r.subject_start, r.predicate, r.object_start) for r in got.collect()) == sorted(expected) and expected
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
