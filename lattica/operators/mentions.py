@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.session import text_slices
 
 # Pattern rules (pattern, entity type, confidence, text every match contains).
 PATTERN_RULES = (
@@ -153,8 +154,8 @@ def extract(
 
     Spark's regular expressions return matches without offsets and know \\d and
     \\s as ASCII only, so the rules run over Arrow batches: one pass over each
-    text where it lies, no shuffle.  `selected` keeps only the non-overlapping
-    choice.  With `context_bytes` the column after holds that many bytes of
+    text where it lies, no shuffle; a worker holds the mentions of a slice of a
+    batch.  `selected` keeps only the non-overlapping choice.  With `context_bytes` the column after holds that many bytes of
     the text behind the mention.
     """
     id_field = documents.schema[document_id]
@@ -162,7 +163,7 @@ def extract(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(rules)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             ids = batch.column(0)
             rows, starts, ends, texts, kinds, confidences, afters = [], [], [], [], [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):

@@ -130,27 +130,36 @@ def readable_counts(people: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents each user may read: `user_id`, `readable`.
 
     Documents are counted per rule first (level with department and role, or
-    with owner and named user), so the joins meet a few counts and never pairs
-    of users and documents.
+    with owner and named user). Users are dealt once, by id; the rules of a
+    department and role are added up once for all users that have them, those of
+    an owner or named user once for that name. So the joins meet a few sums and
+    neither pairs of users and documents nor of users and rules.
     """
     docs = docs.withColumn("level", access.normalize_level(F.col("access_level")))
-    levels = docs.filter(F.col("level").isin("public", "internal")).groupBy("level").agg(F.count("*").alias("n"))
-    open_to = F.when(F.col("is_internal"), F.array(F.lit("public"), F.lit("internal"))).otherwise(F.array(F.lit("public")))
-    everyone = people.select("user_id", F.explode(open_to).alias("level")).join(levels, "level").select("user_id", "n")
+    levels = docs.filter(F.col("level").isin("public", "internal")).agg(
+        *[F.coalesce(F.count_if(F.col("level") == level), F.lit(0)).alias(level) for level in ("public", "internal")]
+    )
+    row = F.struct("department", "skill")
+    one = people.groupBy("user_id").agg(
+        F.count("*").alias("rows"), F.count_if("is_internal").alias("inside"), F.array_sort(F.collect_set(row)).alias("profile")
+    )
 
     shared = docs.filter("level = 'confidential'").select("department", F.explode_outer("required_roles").alias("skill"))
     shared = shared.groupBy("department", "skill").agg(F.count("*").alias("n")).withColumn("rule", F.xxhash64("department", "skill"))
-    by_department = people.select("user_id", "department").join(shared, "department").select("user_id", "rule", "n")
-    by_skill = people.select("user_id", "skill").join(shared, "skill").select("user_id", "rule", "n")
+    held = one.select("profile").distinct().select("profile", F.explode("profile").alias("row")).select("profile", "row.*")
+    by_department = held.select("profile", "department").join(shared, "department").select("profile", "rule", "n")
+    by_skill = held.select("profile", "skill").join(shared, "skill").select("profile", "rule", "n")
+    by_profile = by_department.unionByName(by_skill).distinct().groupBy("profile").agg(F.sum("n").alias("shared"))
 
     named = docs.filter("level = 'restricted'").select("owner_id", F.explode_outer("allowed_users").alias("named"))
     named = named.groupBy("owner_id", "named").agg(F.count("*").alias("n")).withColumn("rule", F.xxhash64("owner_id", "named", F.lit(1)))
-    by_owner = people.select("user_id", F.col("user_id").alias("owner_id")).join(named, "owner_id").select("user_id", "rule", "n")
-    by_name = people.select("user_id", F.col("user_id").alias("named")).join(named, "named").select("user_id", "rule", "n")
+    by_owner = named.select(F.col("owner_id").alias("user_id"), "rule", "n")
+    by_name = named.select(F.col("named").alias("user_id"), "rule", "n")
+    by_user = by_owner.unionByName(by_name).where("user_id IS NOT NULL").distinct().groupBy("user_id").agg(F.sum("n").alias("named"))
 
-    rules = by_department.unionByName(by_skill).unionByName(by_owner).unionByName(by_name).distinct().select("user_id", "n")
-    nothing = people.select("user_id", F.lit(0).cast("bigint").alias("n"))
-    return nothing.unionByName(everyone).unionByName(rules).groupBy("user_id").agg(F.sum("n").alias("readable"))
+    found = one.join(by_profile, "profile", "left").join(by_user, "user_id", "left").join(F.broadcast(levels))
+    everyone = F.col("rows") * F.col("public") + F.col("inside") * F.col("internal")
+    return found.select("user_id", (everyone + F.coalesce("shared", F.lit(0)) + F.coalesce("named", F.lit(0))).alias("readable"))
 
 
 @query(

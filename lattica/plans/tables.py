@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.access import Principal
-from lattica.session import plain_unions
+from lattica.session import plain_unions, text_batches
 
 PRINCIPALS = {
     "guest": Principal("guest"),
@@ -45,6 +45,7 @@ SCHEMAS = {
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its declared schema spares a job that reads footers."""
     plain_unions(spark)
+    text_batches(spark)
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 

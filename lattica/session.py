@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -23,6 +27,11 @@ DEFAULTS = {
 }
 
 
+# Rows of an Arrow batch of texts, and bytes of texts that are worked on at once.
+TEXT_ROWS = 512
+SLICE_BYTES = 1 << 20
+
+
 def local_session(app: str = "lattica", cores: int | str = "*", shuffle_partitions: int = 8,
                   driver_memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
@@ -47,6 +56,21 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set(key, DEFAULTS[key])
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of so few rows that long texts, and what is made of them, fit a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts add up to about `size` bytes; one text may be longer."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(lengths) // size
+    edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; choose one only on an unset session."""
     context = spark.sparkContext

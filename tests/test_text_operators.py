@@ -187,3 +187,30 @@ def test_relations_shuffle_each_mention_once(spark, monkeypatch):
             assert sorted((r.document_id, r.subject_start, r.predicate, r.object_start) for r in got.collect()) == sorted(expected) and expected
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_mentions_of_a_batch_come_in_slices(spark):
+    """A worker holds the mentions of about SLICE_BYTES of text, whatever the batch."""
+    import pyarrow as pa
+
+    from lattica import session
+
+    batch = pa.record_batch([pa.array(range(6)), pa.array(["x" * 40, None, "", "y" * 300, "é" * 30, "z" * 50])], names=["id", "text"])
+    parts = list(session.text_slices(batch, 1, 100))
+    assert len(parts) > 2 and pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert all(sum(len((t or "").encode()) for t in p.column(1).to_pylist()) < 200 or p.num_rows == 1 for p in parts)
+
+    # Frames of one batch go through the extractor in more than one slice.
+    docs = spark.range(40).selectExpr("id AS document_id", "repeat('aaa 1234 ', 12000) AS text").coalesce(1)
+    rules = RuleSet((("[0-9]{4}", "N", 0.9, ""),), ())
+    assert mentions.extract(docs, rules).count() == 40 * 12000
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for given, want in (("10000", str(session.TEXT_ROWS)), ("0", str(session.TEXT_ROWS)), ("7", "7")):
+            spark.conf.set(key, given)
+            session.text_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, old)
