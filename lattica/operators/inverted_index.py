@@ -30,6 +30,8 @@ SATURATION = 1.2
 PER_BLOCK = 64
 FOLDERS = 256
 SEEDS = 4  # blocks of each request that are scored to find the bar
+PAIRS = 1 << 18  # pairs of a request and an item that a task adds up at most
+MOST_TASKS = 10_000
 
 
 def terms_of(text: Column) -> Column:
@@ -98,14 +100,20 @@ def _scores(hits: DataFrame) -> DataFrame:
     return hits.groupBy("request_id", "item_id").agg(F.round(total, RANK_DIGITS).alias("score")).where("score > 0")
 
 
-def from_texts(items: DataFrame, asked: Asked, id_column: str, text: str) -> DataFrame:
+def tasks_for(items: int, requests: int) -> int:
+    """Tasks in which `items` meet `requests`, about PAIRS pairs in each."""
+    return min(items * requests // PAIRS + 1, MOST_TASKS)
+
+
+def from_texts(items: DataFrame, asked: Asked, id_column: str, text: str, tasks: int = 1) -> DataFrame:
     """Scores from one pass over the texts: words that nobody asks for end in the scan.
 
-    What is left of an item is counted, scored and added up in one task, so it
-    is shuffled once, as numbers.
+    What is left of an item is counted, scored and added up in one of `tasks`
+    tasks, so it is shuffled once, as numbers.  Few numbers become many pairs
+    with requests, so tasks are dealt by these and not by the bytes shuffled.
     """
     words = items.select(F.col(id_column).alias("item_id"), F.explode(terms_of(F.col(text))).alias("term"))
-    numbers = words.join(asked.terms, "term").select("item_id", "number").repartition("item_id")
+    numbers = words.join(asked.terms, "term").select("item_id", "number").repartition(tasks, "item_id")
     counted = numbers.groupBy("item_id", "number").agg(F.count("*").alias("n"))
     return _scores(counted.join(asked.pairs, "number"))
 
@@ -152,11 +160,11 @@ def search(
     `index` is a written index of exactly these items.
     """
     spark, kind = items.sparkSession, requests.schema["request_id"].dataType.simpleString()
-    found = []
+    found, n_items = [], items.count() if index is None else 0
     for ids, payloads in request_blocks(requests, block_bytes):
         asked = Asked.of(spark, kind, ids, payloads)
         if index is None:
-            scores = from_texts(items, asked, id_column, text)
+            scores = from_texts(items, asked, id_column, text, tasks_for(n_items, len(ids)))
         else:
             scores = from_index(index.where(F.col("folder").isin(asked.folders())), asked, k)
         best = _ranked(scores, k)

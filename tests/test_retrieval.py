@@ -226,3 +226,15 @@ def test_held_passages(spark):
     items = spark.createDataFrame([(7, "a b c d e"), (8, "B  c"), (9, ""), (10, None)], "request_id long, text string")
     rows = {(r.request_id, r.document_id): r.gain for r in evaluation.held_passages(docs, items, window=3).collect()}
     assert rows == {(7, 1): 1.0, (7, 2): pytest.approx(1 / 3), (7, 4): pytest.approx(2 / 3), (8, 1): 1.0, (8, 2): 1.0, (8, 4): 1.0}
+
+
+def test_tasks_of_a_keyword_search_hold_few_pairs(spark, monkeypatch):
+    """Numbers are dealt by the pairs they become, not by their bytes, and hits stay the same."""
+    items, requests, texts, asked = _worded(spark)
+    monkeypatch.setattr(inverted_index, "PAIRS", 5000)
+    found = inverted_index.search(items, requests, 7)
+    tasks = inverted_index.tasks_for(len(texts), len(asked))
+    assert tasks == len(texts) * len(asked) // 5000 + 1
+    assert "Exchange hashpartitioning(item_id" in found._jdf.queryExecution().executedPlan().toString()
+    assert f", {tasks}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.request_id, r.item_id, round(r.score, 9), r["rank"]) for r in found.collect()} == _plain_hits(texts, asked, 7)
