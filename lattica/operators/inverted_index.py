@@ -16,23 +16,35 @@ pass over the texts.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.operators.scoring import RANK_DIGITS, REQUEST_BYTES, request_blocks
 from lattica.operators.topk import top_k_per_group
+from lattica.session import new_folder, text_slices
 
 # Fixed value: frequency at which a keyword counts half.
 SATURATION = 1.2
 PER_BLOCK = 64
 FOLDERS = 256
+SCANS = 32  # tasks of the scan whose lists share a file of each folder
 SEEDS = 4  # blocks of each request that are scored to find the bar
 PAIRS = 1 << 18  # pairs of a request and an item that a task adds up at most
 MOST_TASKS = 10_000
 
+# White space as `terms_of` knows it, and what else str.split takes for it.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
 
 def terms_of(text: Column) -> Column:
     """Lower-case words, separated by any white space; empty strings are no asked terms."""
@@ -47,19 +59,56 @@ def folder_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
+def _words(text: str) -> list[str]:
+    """The words of `terms_of`; Python alone takes four separators of files and records for white space."""
+    return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
+
+
+def _lists(counts: dict, kind: pa.DataType, block: int, names: list[str]) -> pa.RecordBatch:
+    """One row per term of a block from the words' counts of each item."""
+    ids = sorted(counts, key=lambda i: (i is not None, i))
+    codes: dict[str, int] = {}
+    term = np.fromiter((codes.setdefault(t, len(codes)) for i in ids for t in counts[i]), np.int64)
+    n = np.fromiter((n for i in ids for n in counts[i].values()), np.int64, len(term))
+    place = np.repeat(np.arange(len(ids)), [len(counts[i]) for i in ids])
+    order = np.argsort(term, kind="stable")  # by term, then by id
+    starts = np.searchsorted(term[order], np.arange(len(codes) + 1)).astype(np.int32)
+    n, holders = n[order], pa.array(ids, kind).take(pa.array(place[order]))
+    most = np.maximum.reduceat(n, starts[:-1])
+    lists = [pa.ListArray.from_arrays(pa.array(starts), values) for values in (holders, pa.array(n))]
+    return pa.RecordBatch.from_arrays([pa.array(list(codes), pa.string()), pa.array(np.full(len(codes), block, np.int64)), pa.array(most), *lists], names=names)
+
+
 def postings(items: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(`term`, `block`, `item_id`, `n`) of every word of every item."""
-    numbered = items.select(F.col(id_column).alias("item_id"), F.shiftright(F.monotonically_increasing_id(), PER_BLOCK.bit_length() - 1).alias("block"), F.col(text).alias("_text"))
-    words = numbered.select("item_id", "block", F.explode(terms_of(F.col("_text"))).alias("term")).where("term <> ''")
-    return words.groupBy("term", "block", "item_id").agg(F.count("*").alias("n"))
+    """(`term`, `block`, `most`, `item_id`, `n`) of every word, the last two as lists: a block lies in one task, so its lists are made where it is read."""
+    block = F.shiftright(F.monotonically_increasing_id(), PER_BLOCK.bit_length() - 1)
+    numbered = items.select(F.col(id_column).alias("item_id"), block.alias("block"), F.lower(text).alias("text"))
+    kind = items.schema[id_column].dataType.simpleString()
+    names = ["term", "block", "most", "item_id", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, kind = None, {}, None
+        for batch in (part for whole in batches for part in text_slices(whole, 2)):
+            kind = batch.schema.field(0).type
+            for i, number, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != at:
+                    if counts:
+                        yield _lists(counts, kind, at, names)
+                    at, counts = number, {}
+                if words := _words(value or ""):
+                    counts.setdefault(i, Counter()).update(words)
+        if counts:
+            yield _lists(counts, kind, at, names)
+
+    return numbered.mapInArrow(run, f"term string, block long, most long, item_id array<{kind}>, n array<long>")
 
 
 def write(items: DataFrame, folder: str, id_column: str = "doc_id", text: str = "text") -> None:
-    """Write the index of `items`; a term of very many items spans several files of its folder."""
-    entry = F.struct("item_id", "n")
-    lists = postings(items, id_column, text).groupBy("term", "block").agg(F.max("n").alias("most"), F.array_sort(F.collect_list(entry)).alias("entries"))
-    dealt = lists.withColumn("folder", folder_of(F.col("term"))).repartitionByRange("folder", "term", "block").sortWithinPartitions("folder", "term", "block")
-    dealt.write.partitionBy("folder").parquet(folder)
+    """Write the index of `items` with one shuffle; the lists of SCANS tasks of a folder form a file, so a term of very many items spans several."""
+    part = F.shiftright("block", 33 - (PER_BLOCK.bit_length() - 1) + SCANS.bit_length() - 1)
+    lists = postings(items, id_column, text).withColumn("folder", folder_of(F.col("term")))
+    dealt = lists.repartition("folder", part).sortWithinPartitions("folder", "term", "block")
+    dealt.select("term", "block", "most", F.arrays_zip("item_id", "n").alias("entries"), "folder").write.partitionBy("folder").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,9 +134,13 @@ class Asked:
     def folders(self) -> list[int]:
         return sorted(r.folder for r in self.terms.select(folder_of(F.col("term")).alias("folder")).distinct().collect())  # FOLDERS at most
 
+    def numbered(self, lists: DataFrame) -> DataFrame:
+        """Rows of a table with a column `term` that any request asks for."""
+        return lists.join(self.terms, "term").drop("term")
+
     def hits(self, lists: DataFrame) -> DataFrame:
         """Rows of a table with a column `term`, for each request that asks for it."""
-        return lists.join(self.terms, "term").drop("term").join(self.pairs, "number")
+        return self.numbered(lists).join(self.pairs, "number")
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -124,7 +177,8 @@ def candidate_blocks(index: DataFrame, asked: Asked, k: int) -> tuple[DataFrame,
     bound = F.sum(saturated(F.col("most"))) / F.max("asked")
     bounds = hits.groupBy("request_id", "block").agg(bound.alias("bound"))
     seeds = top_k_per_group(bounds, ["request_id"], [F.col("bound").desc(), F.col("block")], SEEDS).select("request_id", "block")
-    seen = _ranked(_scores(_opened(hits, seeds)), k).groupBy("request_id").agg(F.min("score").alias("bar"), F.count("*").alias("found"))
+    # SEEDS rows for each request of a block of requests: small enough to travel to the lists.
+    seen = _ranked(_scores(_opened(hits, F.broadcast(seeds))), k).groupBy("request_id").agg(F.min("score").alias("bar"), F.count("*").alias("found"))
     bars = seen.where(F.col("found") == k).select("request_id", "bar")
     # The slack covers rounding; a block that could tie is still read.
     near = bounds.join(bars, "request_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - 1e-9))
@@ -136,10 +190,19 @@ def _opened(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     return chosen.select("request_id", "asked", F.explode("entries").alias("e")).select("request_id", "asked", "e.item_id", "e.n")
 
 
-def from_index(index: DataFrame, asked: Asked, k: int) -> DataFrame:
-    """Scores of the items in the blocks that may hold one of the k best of a request."""
-    _, near = candidate_blocks(index, asked, k)
-    return _scores(_opened(asked.hits(index), near))
+def from_index(index: DataFrame, asked: Asked, k: int, requests: int) -> DataFrame:
+    """Scores of the items in the blocks that may hold one of the k best of a request.
+
+    Lists of these blocks are opened once, whatever the number of requests, and
+    dealt by the pairs they become, like the numbers of `from_texts`.
+    """
+    folder = new_folder(index.sparkSession)
+    candidate_blocks(index, asked, k)[1].select("block").distinct().write.parquet(folder)
+    blocks = index.sparkSession.read.schema("block long").parquet(folder)
+    opened = asked.numbered(index.select("term", "block", "entries")).join(blocks, "block", "left_semi")
+    entries = opened.select("number", F.explode("entries").alias("e")).select("e.item_id", "number", "e.n")
+    dealt = entries.repartition(tasks_for(blocks.count() * PER_BLOCK, requests), "item_id")
+    return _scores(dealt.join(asked.pairs, "number"))
 
 
 def search(
@@ -166,7 +229,7 @@ def search(
         if index is None:
             scores = from_texts(items, asked, id_column, text, tasks_for(n_items, len(ids)))
         else:
-            scores = from_index(index.where(F.col("folder").isin(asked.folders())), asked, k)
+            scores = from_index(index.where(F.col("folder").isin(asked.folders())), asked, k, len(ids))
         best = _ranked(scores, k)
         if min_score is not None:
             best = best.where(F.col("score") >= min_score)

@@ -238,3 +238,16 @@ def test_tasks_of_a_keyword_search_hold_few_pairs(spark, monkeypatch):
     assert "Exchange hashpartitioning(item_id" in found._jdf.queryExecution().executedPlan().toString()
     assert f", {tasks}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.request_id, r.item_id, round(r.score, 9), r["rank"]) for r in found.collect()} == _plain_hits(texts, asked, 7)
+
+
+def test_index_is_written_with_one_shuffle(spark, tmp_path):
+    """Lists are made where a block is read; words end where `terms_of` ends them, and an item counts once in a block."""
+    texts = [(2, "B a\u2003b\x1cc"), (1, "a a"), (2, "b"), (None, "a"), (3, None), (4, " ")]
+    items = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    lists = inverted_index.postings(items, "doc_id", "text")
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    found = {r.term: list(zip(r.item_id, r.n)) for r in lists.collect()}
+    assert found == {"a": [(None, 1), (1, 2), (2, 1)], "b": [(2, 2)], "b\x1cc": [(2, 1)]}
+    inverted_index.write(items, f"{tmp_path}/index")
+    rows = {r.term: (r.most, [tuple(e) for e in r.entries]) for r in inverted_index.read(spark, f"{tmp_path}/index").collect()}
+    assert rows == {t: (max(n for _, n in entries), entries) for t, entries in found.items()}
