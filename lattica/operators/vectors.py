@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.access import DEFAULT_ACL, Principal, visible_to
 from lattica.operators.scoring import cosine_kernel, top_matches
+from lattica.session import SLICE_BYTES
 
 # Vector length of the embedding models people configure by name.
 MODEL_DIMENSIONS = {
@@ -65,13 +66,26 @@ class HashingEmbedder:
         return sums.reshape(len(each), self.dimension).astype(np.float32)
 
 
+def _parts(texts: list[str | None], size: int = SLICE_BYTES) -> Iterator[list[str | None]]:
+    """Runs of texts that add up to about `size` characters; one text may be longer."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        length = len(text or "")
+        if i > first and held + length > size:
+            yield texts[first:i]
+            first, held = i, 0
+        held += length
+    if texts:
+        yield texts[first:]
+
+
 def embed(text: Column, embedder: Embedder) -> Column:
-    """Vector of a text; one call of the embedder per Arrow batch."""
+    """Vector of a text; one call of the embedder per Arrow batch, or several where the texts are long."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(embedder.embed_batch(texts.tolist())))
+            yield pd.Series([v for part in _parts(texts.tolist()) for v in embedder.embed_batch(part)])
 
     return run(text)
 

@@ -251,3 +251,10 @@ def test_index_is_written_with_one_shuffle(spark, tmp_path):
     inverted_index.write(items, f"{tmp_path}/index")
     rows = {r.term: (r.most, [tuple(e) for e in r.entries]) for r in inverted_index.read(spark, f"{tmp_path}/index").collect()}
     assert rows == {t: (max(n for _, n in entries), entries) for t, entries in found.items()}
+
+
+def test_long_texts_are_embedded_a_few_at_a_time():
+    texts = ["a" * 300, None, "b" * 800, "c" * 100, "d" * 5000, ""]
+    parts = list(vectors._parts(texts, 1000))
+    assert [t for part in parts for t in part] == texts and list(vectors._parts([])) == []
+    assert [len(p) for p in parts] == [2, 2, 1, 1]
