@@ -23,6 +23,7 @@ pair that could join two components is left out.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
@@ -92,17 +93,13 @@ def _parities(elements: np.ndarray) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counters as they are, or places (two bytes) and counts of those that are not zero if that is shorter."""
-    used = np.flatnonzero(counts)
-    return counts.tobytes() if 3 * len(used) >= len(counts) else used.astype("<u2").tobytes() + counts[used].tobytes()
+    """Counters, most of them zero or small, in about a bit and a half each at most."""
+    squeeze = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return squeeze.compress(counts.tobytes()) + squeeze.flush()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    if len(data) == CHUNK:
-        return np.frombuffer(data, np.uint8)
-    n, counts = len(data) // 3, np.zeros(CHUNK, np.uint8)
-    counts[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, np.uint8, n, 2 * n)
-    return counts
+    return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
 def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -322,7 +319,11 @@ def _holds(bits: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _wanted_sets(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """Sets of (about) the given classes: `class`, `elements`; a filter keeps most others from being written."""
+    """Sets of (about) the given classes: `key`, `class`, `elements`; a filter keeps most others from being written.
+
+    Tasks may write the same class; its smallest key names the one that is used,
+    so that no set is shuffled to find copies.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(classes))
 
     def run(batches):
@@ -339,27 +340,30 @@ def _wanted_sets(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(keys[chosen]), pa.array([sets[i].tobytes() for i in chosen], pa.binary())], names=["class", "elements"])
 
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "class long, elements binary")
-    return stored(found.dropDuplicates(["class"]))
+    return stored(found.select(F.xxhash64("class", F.monotonically_increasing_id()).alias("key"), "class", "elements"))
 
 
 def _some_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(About) the sets that the pairs name, so that no other is shuffled."""
-    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("a", "b")).alias("class"))))
+    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("left", "right")).alias("class"))))
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_holds(shared.value, batch.column("class").to_numpy())))
+            yield batch.filter(pa.array(_holds(shared.value, batch.column("key").to_numpy())))
 
     return sets.mapInArrow(run, sets.schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose whole sets link."""
-    pairs = stored(pairs)
+    keys = sets.groupBy("class").agg(F.min("key").alias("key"))
+    pairs = stored(
+        pairs.join(keys.select(F.col("class").alias("a"), F.col("key").alias("left")), "a").join(keys.select(F.col("class").alias("b"), F.col("key").alias("right")), "b")
+    )
     rows = pairs.count()
     pairs, sets = few(pairs, rows), few(_some_sets(sets, pairs), 2 * rows, SETS_PER_TASK)
-    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("y"))
+    left = sets.select(F.col("key").alias("left"), F.col("elements").alias("x"))
+    right = sets.select(F.col("key").alias("right"), F.col("elements").alias("y"))
 
     def check(batches):
         for batch in batches:
@@ -371,7 +375,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    both = few(few(pairs.join(left, "a"), rows, SETS_PER_TASK).join(right, "b"), rows, SETS_PER_TASK)
+    both = few(few(pairs.join(left, "left"), rows, SETS_PER_TASK).join(right, "right"), rows, SETS_PER_TASK)
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 

@@ -123,6 +123,22 @@ def test_counters_survive_packing():
         assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
 
 
+def test_sparse_counters_pack_small():
+    counts = np.random.default_rng(2).poisson(0.5, jaccard.CHUNK).astype(np.uint8)
+    assert len(jaccard._packed(counts)) < jaccard.CHUNK / 4
+
+
+def test_sets_are_not_shuffled_to_find_copies(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, text) for i in range(8)] + [(8, text + " more")], "doc_id long, text string").repartition(4)
+    classes = jaccard._first_pass(docs, "doc_id", "text").where("size > 0").select("class").distinct()
+    sets = jaccard._wanted_sets(docs, "text", classes)
+    assert sets.count() > sets.select("class").distinct().count() == 2
+    a, b = sorted(r["class"] for r in classes.collect())
+    pairs = spark.createDataFrame([(a, b)], "a long, b long")
+    assert [tuple(r) for r in jaccard._verified(pairs, sets).collect()] == [(a, b)]
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({}) == 0
     assert jaccard.boundary({2: 1000, 3: 1000}) >= 3
