@@ -40,6 +40,7 @@ SCANS = 32  # tasks of the scan whose lists share a file of each folder
 SEEDS = 4  # blocks of each request that are scored to find the bar
 PAIRS = 1 << 18  # pairs of a request and an item that a task adds up at most
 MOST_TASKS = 10_000
+NEAR = 1 << 18  # pairs of a request and a block that are sent to every task at most
 
 # White space as `terms_of` knows it, and what else str.split takes for it.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -194,15 +195,22 @@ def from_index(index: DataFrame, asked: Asked, k: int, requests: int) -> DataFra
     """Scores of the items in the blocks that may hold one of the k best of a request.
 
     Lists of these blocks are opened once, whatever the number of requests, and
-    dealt by the pairs they become, like the numbers of `from_texts`.
+    dealt by the pairs they become, like the numbers of `from_texts`.  Up to
+    NEAR pairs of a request and a block travel to the entries, so that a request
+    skips blocks that only others need; more would cost more than they save.
     """
-    folder = new_folder(index.sparkSession)
-    candidate_blocks(index, asked, k)[1].select("block").distinct().write.parquet(folder)
-    blocks = index.sparkSession.read.schema("block long").parquet(folder)
+    spark, folder = index.sparkSession, new_folder(index.sparkSession)
+    near = candidate_blocks(index, asked, k)[1].select("request_id", "block")
+    near.write.parquet(folder)
+    near = spark.read.schema(near.schema).parquet(folder)
+    blocks = near.select("block").distinct()
     opened = asked.numbered(index.select("term", "block", "entries")).join(blocks, "block", "left_semi")
-    entries = opened.select("number", F.explode("entries").alias("e")).select("e.item_id", "number", "e.n")
+    entries = opened.select("number", "block", F.explode("entries").alias("e")).select("e.item_id", "number", "block", "e.n")
     dealt = entries.repartition(tasks_for(blocks.count() * PER_BLOCK, requests), "item_id")
-    return _scores(dealt.join(asked.pairs, "number"))
+    hits = dealt.join(asked.pairs.where("request_id IS NOT NULL"), "number")
+    if near.count() <= NEAR:
+        hits = hits.join(F.broadcast(near), ["request_id", "block"], "left_semi")
+    return _scores(hits)
 
 
 def search(
