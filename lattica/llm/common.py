@@ -97,3 +97,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_alone(df: DataFrame) -> DataFrame:
+    """`stored`, and the shuffles made for `df` leave the disk as soon as it is written.
+
+    Otherwise they stay until the driver collects its garbage.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stored(df)
+    finally:
+        conf.set(key, before)

@@ -12,6 +12,9 @@ least 3/4, that is when sets of a and b elements share c(a, b) = ceil(3(a+b)/7).
   element among their first size - c + 1; every link meets in the list of its
   first common element.  Sizes and positions discard most pairs in the join.
 
+All postings take one shuffle, which makes a list one row; lists that may be long
+stay rows of single sets, like subsets, and are paired by joins.
+
 Lists of many near copies would make pairs in the square of their length.  Only
 components are asked for, so each list compares its sets with `PIVOTS` of its
 own, chosen by hash, in several turns; sets that end up in one component need no
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import append_columns, few, free_name, stored, texts_of
+from lattica.llm.common import append_columns, few, free_name, stored, stored_alone, texts_of
 from lattica.llm.components import components
 from lattica.llm.shingles import Hasher, mix
 
@@ -48,7 +51,8 @@ PIVOTS = 8
 SETS_PER_TASK = 10_000  # while pairs are checked
 TURNS = 6  # of pivots for long lists, at most; what they leave is compared in full
 WORDS = 16  # numbers of 64 bits that hold the parities of a set
-LONG_LIST = 5_000  # elements estimated more frequent skip the sort that drops lists of one class
+LONG_LIST = 5_000  # lists of elements estimated more frequent are not gathered in a row
+FULL = 255  # largest count that a task tells of an element
 FILTER_BITS = 1 << 24  # of the filter that keeps sets of no candidate out of the shuffle
 
 
@@ -109,7 +113,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                            T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
-        hasher, sketch, seen, kind = Hasher(), np.zeros(SKETCH, np.uint16), set(), None
+        hasher, sketch, seen, kind = Hasher(), np.zeros(SKETCH, np.uint32), set(), None
         for batch in batches:
             kind = batch.schema.field("id").type
             classes, sizes, bits = [], [], []
@@ -120,13 +124,13 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bits.append(_parities(elements))
                 if key not in seen:  # copies within a task are counted once
                     seen.add(key)
-                    np.add.at(sketch, (elements & np.uint64(SKETCH - 1)).astype(np.int64), np.uint16(1))
+                    np.add.at(sketch, (elements & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
             n = len(classes)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()),
                                               pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
         if kind is None:
             return
-        small = np.minimum(sketch, 255).astype(np.uint8)
+        small = np.minimum(sketch, FULL).astype(np.uint8)
         for chunk in range(SKETCH // CHUNK):
             counts = _packed(small[chunk * CHUNK : (chunk + 1) * CHUNK])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
@@ -160,7 +164,8 @@ def _order(rows: DataFrame) -> Order:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + _unpacked(counts).astype(np.int64)
+                small = _unpacked(counts)  # a count that may be larger is taken for one of a long list
+                sums[chunk] = sums.get(chunk, 0) + np.where(small == FULL, 2 * LONG_LIST, small.astype(np.int64))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())],
             names=["chunk", "levels", "total"],
@@ -219,17 +224,29 @@ def _postings(docs: DataFrame, text_col: str, order: Order, x: int) -> DataFrame
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """Postings of lists that hold at least two classes, each once."""
-    columns = ["token", "kind", "class", "meta"]
-    cold = postings.where("NOT hot").repartition("token")
-    whole = Window.partitionBy("token", "kind")
-    cold = cold.withColumn("low", F.min("class").over(whole)).withColumn("high", F.max("class").over(whole)).where("low <> high")
-    return stored(cold.select(columns).union(postings.where("hot").select(columns)).dropDuplicates(["token", "kind", "class"]))
+    """Lists that hold at least two classes: `token`, `kind`, `hot` and `members`, each class and its meta once.
+
+    A list is one row, made by the one shuffle that all postings take.  A list
+    that may be long is `hot`: its classes are dealt out each for itself, and a
+    row holds one of them.  So does a row of subsets, which any number may share.
+    """
+    place = F.when(F.col("hot"), F.xxhash64("token", "class")).otherwise(F.col("token"))
+    dealt = postings.repartition(place).withColumn("place", place)
+    whole = Window.partitionBy("place", "token", "kind", "hot")
+    dealt = dealt.withColumn("low", F.min("class").over(whole)).withColumn("high", F.max("class").over(whole)).where("hot OR low <> high")
+    alone = F.when(F.col("hot") | (F.col("kind") == 1), F.col("class")).alias("alone")
+    lists = dealt.groupBy("place", "token", "kind", "hot", alone).agg(F.collect_set(F.struct("class", "meta")).alias("members"))
+    return stored_alone(lists.drop("place", "alone"))
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """One row for each class of a list: `token`, `class`, `meta`."""
+    return lists.select("token", F.inline("members"))
 
 
 def _light_links(shared: DataFrame) -> DataFrame:
     """Links proved by equal subsets: from each class to the smallest of its group."""
-    rows = shared.where("kind = 1").select("token", "class", (F.col("meta").bitwiseAND(0xFFFF)).alias("sizes"), F.shiftright("meta", 32).alias("size"))
+    rows = _members(shared.where("kind = 1")).select("token", "class", (F.col("meta").bitwiseAND(0xFFFF)).alias("sizes"), F.shiftright("meta", 32).alias("size"))
     groups = rows.groupBy("token", "sizes").agg(F.min("class").alias("first"), F.min("size").alias("low"), F.max("size").alias("high"))
     # A subset for two sizes proves nothing about sets of one of them alone.
     groups = groups.where("low <> high OR sizes div 256 = sizes % 256").select("token", "sizes", "first")
@@ -272,6 +289,14 @@ def _by_pivots(lists: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
 
 
+def _within(lists: DataFrame, turn: int) -> DataFrame:
+    """What `_by_pivots` finds, of lists that are one row each, where the rows lie."""
+    ordered = F.array_sort(F.transform("members", lambda m: F.struct(F.xxhash64(m["class"], F.lit(turn)).alias("h"), m["class"].alias("class"), m["meta"].alias("meta"))))
+    pivots = lists.select(ordered.alias("all")).select("all", F.explode(F.slice("all", 1, PIVOTS)).alias("p"))
+    pairs = pivots.select("p", F.explode("all").alias("m")).where((F.col("p.class") != F.col("m.class")) & _passes(F.col("m.class"), F.col("m.meta"), F.col("p.class"), F.col("p.meta")))
+    return pairs.select(F.least("m.class", "p.class").alias("a"), F.greatest("m.class", "p.class").alias("b")).distinct()
+
+
 def _filtered(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs whose parities allow a link."""
     left = bits.select(F.col("class").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
@@ -387,32 +412,32 @@ def classes_and_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     x = boundary({r["size"]: r["count"] for r in small})
     order = _order(first)
     shared = _shared_lists(_postings(docs, text_col, order, x))
-    lists = shared.where("kind = 0").select("token", "class", "meta")
+    lists, hot = shared.where("kind = 0 AND NOT hot"), _members(shared.where("kind = 0 AND hot"))
     bits = first.where("size > 0").dropDuplicates(["class"]).select("class", "size", "bits")
-    pairs = stored(_filtered(_by_pivots(lists, 1), bits))
+    pairs = stored_alone(_filtered(_within(lists, 1).union(_by_pivots(hot, 1)).distinct(), bits))
     # Lists of up to PIVOTS + 1 sets are now paired in full.
-    long = lists.groupBy("token").count().where(F.col("count") > PIVOTS + 1).select("token")
-    rest = stored(lists.join(long, "token", "left_semi"))
+    long = hot.groupBy("token").count().where(F.col("count") > PIVOTS + 1).select("token")
+    rest = stored_alone(_members(lists.where(F.size("members") > PIVOTS + 1)).union(hot.join(long, "token", "left_semi")))
     rest = few(rest, rest.count())
     some = rest.select("class").distinct()
-    bits = stored(bits.join(some, "class", "left_semi"))
+    bits = stored_alone(bits.join(some, "class", "left_semi"))
     sets = _wanted_sets(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("class")).union(some))
 
     def joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
         links = more if roots is None else more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         return stored(components(links))
 
-    roots = joined(None, _light_links(shared).union(_verified(pairs, sets)))
+    roots = joined(None, _light_links(shared).union(stored_alone(_verified(pairs, sets))))
     for turn in range(2, TURNS + 1):
         rest = stored(_with_roots(rest.select("token", "class", "meta"), roots))
         rest = few(rest, rest.count())
-        more = stored(_verified(_filtered(_by_pivots(rest, turn), bits), sets))
+        more = stored_alone(_verified(_filtered(_by_pivots(rest, turn), bits), sets))
         if more.isEmpty():
             break
         roots = joined(roots, more)
     else:
         rest = stored(_with_roots(rest.select("token", "class", "meta"), roots))
-    more = stored(_verified(_all_pairs(rest, bits), sets))
+    more = stored_alone(_verified(_all_pairs(rest, bits), sets))
     if not more.isEmpty():
         roots = joined(roots, more)
     return rows, roots.select(F.col("node").alias("class"), "root")

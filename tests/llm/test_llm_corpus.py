@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattica.llm import classlm, jaccard, multi_index, packing
+from lattica.llm.common import stored_alone
 from lattica.llm.components import components
 from lattica.llm.queries import added_tokens, tokenizer
 from lattica.llm.shingles import Hasher
@@ -139,6 +141,51 @@ def test_sets_are_not_shuffled_to_find_copies(spark):
     assert [tuple(r) for r in jaccard._verified(pairs, sets).collect()] == [(a, b)]
 
 
+POSTING = "token long, class long, meta long, hot boolean, kind byte"
+
+
+def test_lists_are_made_by_one_shuffle(spark, monkeypatch):
+    size = 20 << 32
+    rows = [(1, 10, size, False, 0), (1, 10, size, False, 0), (1, 11, size, False, 0), (1, 10, size, False, 1), (2, 10, size, False, 0), (2, 10, size, False, 0)]
+    rows += [(3, 10, size, True, 0), (3, 10, size, True, 0), (3, 11, size, True, 0), (4, 10, size, False, 1), (4, 10, size, False, 1), (4, 11, size, False, 1)]
+    plans, write = [], jaccard.stored_alone
+    monkeypatch.setattr(jaccard, "stored_alone", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    lists = jaccard._shared_lists(spark.createDataFrame(rows, POSTING))
+    assert len(plans) == 1 and plans[0].count("Exchange ") == 1
+    got = sorted((r.token, r.kind, r.hot, sorted(tuple(m) for m in r.members)) for r in lists.collect())
+    assert got == [(1, 0, False, [(10, size), (11, size)]), (3, 0, True, [(10, size)]), (3, 0, True, [(11, size)]), (4, 1, False, [(10, size)]), (4, 1, False, [(11, size)])]
+
+
+def test_lists_in_rows_pair_as_lists_of_rows(spark):
+    rng = random.Random(4)
+    rows = {(t, c): (t, c, rng.randrange(20, 30) << 32 | rng.randrange(8)) for t in range(12) for c in rng.sample(range(-50, 50), 3 * t + 2)}.values()
+    lists = jaccard._shared_lists(spark.createDataFrame([(*r, False, 0) for r in rows], POSTING))
+    assert sorted(tuple(r) for r in jaccard._members(lists).collect()) == sorted(rows)
+    for turn in (1, 2):
+        want = sorted(tuple(r) for r in jaccard._by_pivots(spark.createDataFrame(list(rows), "token long, class long, meta long"), turn).collect())
+        assert sorted(tuple(r) for r in jaccard._within(lists, turn).collect()) == want and len(want) > 50
+
+
+def test_counts_cut_off_make_long_lists(spark):
+    docs = spark.createDataFrame([(i, f"an often used line {i}x more {i}") for i in range(300)], "doc_id long, text string").coalesce(1)
+    order = jaccard._order(jaccard._first_pass(docs.selectExpr("doc_id", "concat('one common start of all texts ', text) AS text"), "doc_id", "text"))
+    shared, own = (next(jaccard.Hasher().sets([t])) for t in (b"one common start of all", b"a text of its own"))
+    assert order.prefix(shared, 1)[1].tolist() == [True]
+    assert order.prefix(own, 1)[1].tolist() == [False]
+
+
+def test_shuffles_leave_the_disk_when_their_table_is_written(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = shuffles()
+    table = stored_alone(spark.range(1000).repartition(3, "id"))
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({}) == 0
     assert jaccard.boundary({2: 1000, 3: 1000}) >= 3
