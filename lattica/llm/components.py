@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from lattica.llm.common import few, stored
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(`node`, `root`) for every node of a link; the root is the smallest node reachable.
 
     Each turn hangs neighbours under the smallest node they know; a node with
     many neighbours is aggregated before the shuffle and joined with split skew.
     The turns end when the links no longer change, after few turns even for
-    chains.  No link or component reaches the driver.
+    chains.  No link or component reaches the driver.  `rows`: of `links`, if known.
     """
-    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    edges = stored(edges if rows is None else few(edges, rows))
     rows, before = edges.count(), None
     while True:
         edges = few(edges, rows)

@@ -54,6 +54,7 @@ WORDS = 16  # numbers of 64 bits that hold the parities of a set
 LONG_LIST = 5_000  # lists of elements estimated more frequent are not gathered in a row
 FULL = 255  # largest count that a task tells of an element
 FILTER_BITS = 1 << 24  # of the filter that keeps sets of no candidate out of the shuffle
+FILTER_ROWS = 1_000_000  # whose bits one task puts together, each 200,000 in 2 MB at most
 
 
 def common(a: int, b: int) -> int:
@@ -223,6 +224,11 @@ def _postings(docs: DataFrame, text_col: str, order: Order, x: int) -> DataFrame
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, class long, meta long, hot boolean, kind byte")
 
 
+def _some(df: DataFrame, rows: int | None, per_task: int = 200_000) -> DataFrame:
+    """`few` of a table whose rows, or a bound of them, are known: a task costs the driver memory, with rows or without."""
+    return df if rows is None else few(df, rows, per_task)
+
+
 def _shared_lists(postings: DataFrame) -> DataFrame:
     """Lists that hold at least two classes: `token`, `kind`, `hot` and `members`, each class and its meta once.
 
@@ -277,8 +283,8 @@ def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     return lists.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PIVOTS).drop("place")
 
 
-def _by_pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs `a`, `b` of a pivot and another set of its list that pass the filters.
+def _by_pivots(lists: DataFrame, turn: int, rows: int | None = None) -> DataFrame:
+    """Distinct pairs `a`, `b` of a pivot and another set of its list that pass the filters, at most `rows` if told.
 
     Lists with a column `root` pair only sets of different components.
     """
@@ -286,7 +292,8 @@ def _by_pivots(lists: DataFrame, turn: int) -> DataFrame:
     other = _pivots(lists, turn).select(F.col("token").alias("t"), F.col("class").alias("c"), F.col("meta").alias("m"), *[F.col("root").alias("r")] * rooted)
     apart = F.col("root") != F.col("r") if rooted else F.col("class") != F.col("c")
     pairs = lists.join(other, (F.col("token") == F.col("t")) & apart & _passes(F.col("class"), F.col("meta"), F.col("c"), F.col("m")))
-    return pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
+    pairs = pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b"))
+    return _some(_some(pairs, rows).distinct(), rows)
 
 
 def _within(lists: DataFrame, turn: int) -> DataFrame:
@@ -297,18 +304,18 @@ def _within(lists: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("m.class", "p.class").alias("a"), F.greatest("m.class", "p.class").alias("b")).distinct()
 
 
-def _filtered(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs whose parities allow a link."""
+def _filtered(pairs: DataFrame, bits: DataFrame, rows: int | None = None) -> DataFrame:
+    """Pairs, at most `rows` if told, whose parities allow a link."""
     left = bits.select(F.col("class").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
     right = bits.select(F.col("class").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = _some(_some(pairs.join(left, "a"), rows).join(right, "b"), rows)
     difference = _difference([F.col("x")[k] for k in range(WORDS)], [F.col("y")[k] for k in range(WORDS)])
     return both.where(_near(F.col("n"), F.col("m"), difference)).select(*pairs.columns)
 
 
-def _all_pairs(lists: DataFrame, bits: DataFrame) -> DataFrame:
-    """All distinct pairs of sets of different components that share a list and pass the filters."""
-    known = lists.join(bits.select("class", *[F.col("bits")[k].alias(f"x{k}") for k in range(WORDS)]), "class")
+def _all_pairs(lists: DataFrame, bits: DataFrame, rows: int | None = None) -> DataFrame:
+    """All distinct pairs of sets of different components that share one of the lists, of `rows` rows, and pass the filters."""
+    known = _some(lists.join(bits.select("class", *[F.col("bits")[k].alias(f"x{k}") for k in range(WORDS)]), "class"), rows)
     other = known.select(F.col("token").alias("t"), F.col("class").alias("c"), F.col("meta").alias("m"), F.col("root").alias("r"),
                          *[F.col(f"x{k}").alias(f"y{k}") for k in range(WORDS)])
     difference = _difference([F.col(f"x{k}") for k in range(WORDS)], [F.col(f"y{k}") for k in range(WORDS)])
@@ -318,22 +325,22 @@ def _all_pairs(lists: DataFrame, bits: DataFrame) -> DataFrame:
     return pairs.select(F.col("class").alias("a"), F.col("c").alias("b")).distinct()
 
 
-def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists with the component of each set, without lists that lie in one component."""
-    known = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+def _with_roots(lists: DataFrame, roots: DataFrame, rows: int | None = None) -> DataFrame:
+    """Lists, of `rows` rows, with the component of each set, without lists that lie in one component."""
+    known = _some(lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), rows)
     mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return known.join(mixed, "token", "left_semi")
+    return _some(known.join(mixed, "token", "left_semi"), rows)
 
 
-def _filter_of(classes: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits that are set for the classes of the column `class`, and few others."""
+def _filter_of(classes: DataFrame, rows: int | None = None) -> np.ndarray:
+    """FILTER_BITS bits that are set for the classes of the column `class`, of `rows` rows, and few others."""
     bit = F.pmod(F.col("class"), F.lit(FILTER_BITS)) + 1  # bitmaps number their bits from 1
-    rows = (
-        classes.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    buckets = (
+        _some(classes.select(bit.alias("bit")).distinct(), rows).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     )
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:  # buckets of 32768 bits, numbered from 1
+    for r in _some(buckets, rows, FILTER_ROWS).collect():  # buckets of 32768 bits, numbered from 1
         bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
     return bits
 
@@ -343,13 +350,13 @@ def _holds(bits: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _wanted_sets(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """Sets of (about) the given classes: `key`, `class`, `elements`; a filter keeps most others from being written.
+def _wanted_sets(docs: DataFrame, text_col: str, classes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Sets of (about) the given classes, at most `rows` if told: `key`, `class`, `elements`; a filter keeps most others from being written.
 
     Tasks may write the same class; its smallest key names the one that is used,
     so that no set is shuffled to find copies.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(classes))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(classes, rows))
 
     def run(batches):
         hasher, seen = Hasher(), set()
@@ -368,9 +375,9 @@ def _wanted_sets(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFram
     return stored(found.select(F.xxhash64("class", F.monotonically_increasing_id()).alias("key"), "class", "elements"))
 
 
-def _some_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(About) the sets that the pairs name, so that no other is shuffled."""
-    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("left", "right")).alias("class"))))
+def _some_sets(sets: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """(About) the sets that the pairs, of `rows` rows, name, so that no other is shuffled."""
+    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("left", "right")).alias("class")), 2 * rows))
 
     def run(batches):
         for batch in batches:
@@ -379,14 +386,13 @@ def _some_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, sets.schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose whole sets link."""
+def _verified(pairs: DataFrame, sets: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs, at most `most` if told, whose whole sets link."""
     keys = sets.groupBy("class").agg(F.min("key").alias("key"))
-    pairs = stored(
-        pairs.join(keys.select(F.col("class").alias("a"), F.col("key").alias("left")), "a").join(keys.select(F.col("class").alias("b"), F.col("key").alias("right")), "b")
-    )
+    pairs = _some(pairs.join(keys.select(F.col("class").alias("a"), F.col("key").alias("left")), "a"), most)
+    pairs = stored(_some(pairs.join(keys.select(F.col("class").alias("b"), F.col("key").alias("right")), "b"), most))
     rows = pairs.count()
-    pairs, sets = few(pairs, rows), few(_some_sets(sets, pairs), 2 * rows, SETS_PER_TASK)
+    pairs, sets = few(pairs, rows), few(_some_sets(sets, pairs, rows), 2 * rows, SETS_PER_TASK)
     left = sets.select(F.col("key").alias("left"), F.col("elements").alias("x"))
     right = sets.select(F.col("key").alias("right"), F.col("elements").alias("y"))
 
@@ -418,26 +424,34 @@ def classes_and_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Lists of up to PIVOTS + 1 sets are now paired in full.
     long = hot.groupBy("token").count().where(F.col("count") > PIVOTS + 1).select("token")
     rest = stored_alone(_members(lists.where(F.size("members") > PIVOTS + 1)).union(hot.join(long, "token", "left_semi")))
-    rest = few(rest, rest.count())
+    n, n_pairs = rest.count(), pairs.count()
+    rest = few(rest, n)
     some = rest.select("class").distinct()
     bits = stored_alone(bits.join(some, "class", "left_semi"))
-    sets = _wanted_sets(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("class")).union(some))
+    sets = _wanted_sets(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("class")).union(some), 2 * n_pairs + n)
 
     def joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
-        links = more if roots is None else more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        return stored(components(links))
+        if roots is None:
+            return stored(components(more))
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return stored(components(more.union(known), rows=more.count() + roots.count()))
+
+    def apart(lists: DataFrame, n: int, roots: DataFrame) -> tuple[DataFrame, int]:
+        left = stored(_with_roots(lists.select("token", "class", "meta"), roots, n))
+        n = left.count()
+        return few(left, n), n
 
-    roots = joined(None, _light_links(shared).union(stored_alone(_verified(pairs, sets))))
+    roots = joined(None, _light_links(shared).union(stored_alone(_verified(pairs, sets, n_pairs))))
     for turn in range(2, TURNS + 1):
-        rest = stored(_with_roots(rest.select("token", "class", "meta"), roots))
-        rest = few(rest, rest.count())
-        more = stored_alone(_verified(_filtered(_by_pivots(rest, turn), bits), sets))
+        rest, n = apart(rest, n, roots)
+        most = PIVOTS * n
+        more = stored_alone(_verified(_filtered(_by_pivots(rest, turn, most), bits, most), sets, most))
         if more.isEmpty():
             break
         roots = joined(roots, more)
     else:
-        rest = stored(_with_roots(rest.select("token", "class", "meta"), roots))
-    more = stored_alone(_verified(_all_pairs(rest, bits), sets))
+        rest, n = apart(rest, n, roots)
+    more = stored_alone(_verified(_all_pairs(rest, bits, n), sets))
     if not more.isEmpty():
         roots = joined(roots, more)
     return rows, roots.select(F.col("node").alias("class"), "root")
@@ -452,11 +466,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links like any other; its component is null if it reaches no id.
     """
     rows, roots = classes_and_roots(docs, id_col, text_col)
+    n = rows.count()
     by_class = rows.where("size > 0").groupBy("class").agg(F.min("id").alias("least"))
-    by_class = by_class.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    by_class = few(by_class.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), n)
     by_root = by_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = by_class.join(by_root, "root").select(F.col("class").alias("k"), "component_id")
-    found = rows.join(names, (F.col("class") == F.col("k")) & (F.col("size") > 0), "left")
+    names = few(by_class.join(by_root, "root"), n).select(F.col("class").alias("k"), "component_id")
+    found = few(rows.join(names, (F.col("class") == F.col("k")) & (F.col("size") > 0), "left"), n)
     return found.select(F.col("id").alias("doc_id"), F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -468,7 +483,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id")
     gone = stored(found.select(F.xxhash64("doc_id").alias("class"), F.col("doc_id").alias("_gone")).distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(gone))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(gone, gone.count()))
     key, flag = free_name(docs, "_key"), free_name(docs, "_flag")
 
     def start():

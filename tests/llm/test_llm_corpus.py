@@ -96,6 +96,31 @@ def test_near_copies_beyond_the_pivots(spark):
     assert len(set(want.values())) > 1
 
 
+def test_small_tables_take_few_tasks(spark):
+    rng = random.Random(3)
+    rows = []
+    for group in range(6):  # chains of near copies, whose ends do not link
+        words = [f"g{group}w{i}" for i in range(60)]
+        for k in range(25):
+            rows.append((len(rows), " ".join(words)))
+            words[rng.randrange(60)] = f"new{group}x{k}"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    for key, value in zip(before, ("40", "false")):
+        spark.conf.set(key, value)
+    context.setJobGroup("few tasks", "near duplicates")
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+        wide = sum(info.numTasks >= 40 for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == plain_components(rows)
+    assert wide <= 14  # 21 before the turns knew their rows
+
+
 def test_jaccard_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, None), (None, "q r s t u v")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
